@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, sharding, simhash, token_count, vafile
+from . import langid, media, mixing, pieces, pii, sharding, simhash, token_count, vafile, wrappers
 from .util import documents
 
 
@@ -38,6 +38,22 @@ def op6_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_table(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op9_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.with_language(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_table(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
@@ -46,6 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_variants": op4_simhash_variants,
         "op5_avi_frames": op5_avi_frames,
         "op6_va_file_search": op6_va_file_search,
+        "op7_piece_sampling": op7_piece_sampling,
+        "op8_wrapper_text": op8_wrapper_text,
+        "op9_bitmask_language": op9_bitmask_language,
+        "op10_pii_spans": op10_pii_spans,
     }
 
 

@@ -189,7 +189,7 @@ def simhash_groups(
     return rows.join(named, names).select(F.col("id").alias(id_col), "row_key", *names, "n", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 2, segment_bits: int = 16, max_bits: int = 20, banded: bool = True) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 2, segment_bits: int = 16, max_bits: int = 22, banded: bool = True) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row stays, with all columns.
 
     By default five-word shingles, 128 bits and at most 20 differing bits, the expected distance of
