@@ -1,15 +1,14 @@
-"""Named queries and their SQL, by group."""
+"""All queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import books, corpora, ingest, panels, risks, streams, ticks  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
