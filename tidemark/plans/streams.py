@@ -1 +1,115 @@
-"""Queries."""
+"""Streaming queries over the event table, run to the end of what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import queries as sq
+from ..streaming import stateful
+from . import views as v
+from .ingest import scratch
+from .registry import query
+from .views import sql
+
+
+def event_stream(spark, sf_dir):
+    """The event table as a file stream."""
+    schema = v.table(spark, sf_dir, "events").schema
+    return sq.replay(spark, sf_dir, schema, "events.parquet")
+
+
+def stream_view(spark, sf_dir, view):
+    """A market view over the event stream: the views read one table, here the stream takes its place."""
+    live = event_stream(spark, sf_dir)
+    table, v.table = v.table, lambda s, d, n: live if n == "events" else table(s, d, n)
+    try:
+        return view(spark, sf_dir)
+    finally:
+        v.table = table
+
+
+def finished(spark, stream, mode="append"):
+    path = scratch(spark)
+    return sq.finished(stream, f"{path}/out", f"{path}/state", mode)
+
+
+def with_state(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_STORE)
+
+
+@query(sql("fills", """
+SELECT hour, n, mean_spread_bps FROM (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00') AS hour, date_trunc('hour', ts) + INTERVAL 1 HOUR AS past, count(*) AS n, round(avg(abs(spread_cost_per_unit / nullif(mid_at_fill, 0)) * 1e4), 6) AS mean_spread_bps FROM fills GROUP BY 1, 2)
+WHERE past <= (SELECT max(ts) FROM fills) - INTERVAL 1 HOUR"""))
+def st11_hourly_costs(spark, sf_dir):
+    """ST11: hourly fill costs with a watermark; hours that it has not passed are not out yet."""
+    fills = stream_view(spark, sf_dir, v.fills).withColumn("ts", F.col("ts").cast("timestamp"))
+    return finished(spark, sq.hourly_costs(fills)).select("hour", "n", F.round("mean_spread_bps", 6).alias("mean_spread_bps"))
+
+
+@query(sql("ticks", "SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour, count(*) AS n FROM ticks GROUP BY 1, 2"))
+def st3_hourly_sink(spark, sf_dir):
+    """ST3 S8: a stream rotated into hourly folders."""
+    path = scratch(spark)
+    sq.rotate_hours(stream_view(spark, sf_dir, v.ticks).select("inst", "seq", "ms"), f"{path}/log", f"{path}/state").awaitTermination()
+    read = spark.read.schema("inst long, seq long, ms long, day string, hour string").parquet(f"{path}/log")
+    return read.groupBy("day", "hour").agg(F.count("*").alias("n"))
+
+
+@query(sql("quotes trades", "SELECT q.seq AS q_seq, t.seq AS t_seq FROM quotes q JOIN trades t ON q.product = t.product AND t.ts >= q.ts AND t.ts <= q.ts + INTERVAL 1 HOUR"))
+def st10_quote_trade_pairs(spark, sf_dir):
+    """ST10: quotes and trades of two streams joined on an interval, with watermarks."""
+    q = stream_view(spark, sf_dir, v.quotes).select("product", F.col("seq").alias("q_seq"), F.col("ts").cast("timestamp").alias("ts"))
+    t = stream_view(spark, sf_dir, v.trades).select("product", F.col("seq").alias("t_seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return finished(spark, sq.quote_trade_pairs(q, t, "product", "1 hour").select("q_seq", "t_seq"))
+
+
+@query(sql("ticks", """
+SELECT CAST(inst AS VARCHAR) AS product, seq, CASE WHEN lag(bid_px) OVER w IS NULL THEN 0.0 ELSE
+    (CASE WHEN bid_px > lag(bid_px) OVER w THEN bid_sz WHEN bid_px = lag(bid_px) OVER w THEN bid_sz - lag(bid_sz) OVER w ELSE -lag(bid_sz) OVER w END)
+  - (CASE WHEN ask_px < lag(ask_px) OVER w THEN ask_sz WHEN ask_px = lag(ask_px) OVER w THEN ask_sz - lag(ask_sz) OVER w ELSE -lag(ask_sz) OVER w END) END AS ofi,
+  round((ask_px * bid_sz + bid_px * ask_sz) / (bid_sz + ask_sz), 6) AS micro FROM ticks WINDOW w AS (PARTITION BY inst ORDER BY ms, seq)"""))
+def st2_stream_order_flow(spark, sf_dir):
+    """ST2: order flow with the last quote as state; equals the batch form."""
+    with_state(spark)
+    t = stream_view(spark, sf_dir, v.ticks).select(F.col("inst").cast("string").alias("product"), "ms", "seq", "bid_px", "bid_sz", "ask_px", "ask_sz")
+    return finished(spark, stateful.stream_order_flow(t)).select("product", "seq", F.round("ofi", 6).alias("ofi"), F.round("micro", 6).alias("micro"))
+
+
+@query()
+def st1_stream_book(spark, sf_dir):
+    """ST1: top of book from level updates with price levels as state."""
+    from ..sources.readers import book_messages
+    from .ingest import messages
+
+    with_state(spark)
+    raw = stream_view(spark, sf_dir, messages)
+    return finished(spark, stateful.stream_book(book_messages(raw).select("product_id", "ms", "seq", "event_no", "update_no", "side", "price", "size")))
+
+
+@query()
+def st7_order_gate(spark, sf_dir):
+    """ST7: orders approved against what was approved before."""
+    with_state(spark)
+    t = stream_view(spark, sf_dir, v.ticks)
+    orders = t.select(F.col("product").cast("string").alias("account"), F.expr("ms div 1000L").alias("ms"), "seq", (F.col("bid_sz") * F.col("bid_px") * 1000).alias("notional"))
+    return finished(spark, stateful.stream_gate(orders))
+
+
+@query()
+def st6_token_context(spark, sf_dir):
+    """ST6: the last 256 tokens per product."""
+    from .corpora import token_rows
+
+    with_state(spark)
+    t = stream_view(spark, sf_dir, lambda s, d: token_rows(s, d).withColumn("product", (F.col("inst") % 10).cast("string")))
+    return finished(spark, stateful.stream_context(t.select("product", "ms", "seq", "tokens")))
+
+
+@query()
+def st9_refit(spark, sf_dir):
+    """ST9: bin edges refitted on the last days of each micro-batch."""
+    path = scratch(spark)
+    t = stream_view(spark, sf_dir, v.ticks).select("ms", "bid_px", "bid_sz")
+    sink = lambda edges, number: edges.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/edges")
+    sq.refit_edges(t, ["bid_px", "bid_sz"], 16, 7 * 86_400_000, sink, f"{path}/state").awaitTermination()
+    return spark.read.schema("feature string, kind string, edges array<double>, batch int").parquet(f"{path}/edges")
