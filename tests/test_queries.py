@@ -29,8 +29,8 @@ def cell(v):
         return "null"
     if isinstance(v, (bool, str)) or type(v).__name__ == "bool_":
         return str(v)
-    if hasattr(v, "tolist") and getattr(v, "ndim", 0):
-        return str(v.tolist())
+    if isinstance(v, (list, tuple)) or (hasattr(v, "tolist") and getattr(v, "ndim", 0)):
+        return str([x.item() if hasattr(x, "item") else x for x in v])
     try:
         return repr(float(v) + 0.0)
     except (TypeError, ValueError):
