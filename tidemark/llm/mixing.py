@@ -146,8 +146,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: the rows of ``df``, each as often as ``mix_table`` says, with the columns of ``df``."""
     table = mix_table(df, id_col, text_col, source_col, weights, cap)
     key, nth, copies = free_name(df, "row_key"), free_name(df, "row_nth"), free_name(df, "row_copies")
-    each = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(by))
-    table = table.select(F.col("row_key").alias(key), each("row_key").alias(nth), F.col("copies").alias(copies))
-    rows = df.withColumn(key, F.xxhash64(id_col, source_col, text_col)).withColumn(nth, each(key))
-    kept = rows.join(table.where(F.col(copies) > 0), [key, nth])
-    return kept.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in df.columns])
+    table = table.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = df.withColumn(key, F.xxhash64(id_col, source_col, text_col)).join(table, key)
+    # equal rows: the first stands for all of them, so that texts are shuffled once
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
