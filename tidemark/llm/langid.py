@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import free_name
+from .util import bounded_batches, free_name
 
 #: Characters in an n-gram, slots (a power of two), slots of an n-gram.
 ORDER, SLOTS, HASHES = 3, 1 << 20, 3
@@ -101,6 +101,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The sample goes by a hash of the id, so that it does not depend on the order of rows. Only
     language counts and filled slots reach the driver, at most SLOTS for each 64 languages.
     """
+    bounded_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     languages = sorted(totals, key=lambda lang: (-totals[lang], lang))

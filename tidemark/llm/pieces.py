@@ -25,12 +25,14 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import bounded_batches
+
 SPACE = "▁"
 #: Stands for a literal U+2581 inside a word; a lone surrogate never occurs in valid text.
 _ESCAPED = "\ud800"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text that are sampled together.
-GROUP = 12 << 20
+GROUP = 1 << 19
 _MASK, _TABLE_BITS = (1 << 64) - 1, 21
 #: Odd multipliers of the hashes and counters.
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -103,7 +105,7 @@ class PieceLattice:
         a piece gets an edge of its own whose piece is -1 - code point.
         """
         starts, lengths, found = [], [], []
-        at, hashes = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        at, hashes = np.arange(len(code), dtype=np.int32), np.zeros(len(code), np.uint64)
         for length in range(1, self.longest + 1):
             if length > 1:
                 fits = room[at] >= length
@@ -115,12 +117,12 @@ class PieceLattice:
             good = np.flatnonzero((self.keys[hit] == hashes) & (self.sizes[hit] == length))
             starts.append(at[good])
             found.append(hit[good])
-            lengths.append(np.full(len(good), length, np.int64))
+            lengths.append(np.full(len(good), length, np.int8))
             if length == 1 and len(good) < len(at):
                 none = np.setdiff1d(at, at[good], assume_unique=True)
                 starts.append(none)
-                found.append(-1 - code[none].astype(np.int64))
-                lengths.append(np.full(len(none), 1, np.int64))
+                found.append(-1 - code[none].astype(np.int32))
+                lengths.append(np.full(len(none), 1, np.int8))
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(found)
 
     def filtered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,13 +135,14 @@ class PieceLattice:
         size = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         first = np.concatenate([[0], np.cumsum(size)[:-1]])  # first character of each word
-        word_of = np.repeat(np.arange(len(words)), size)
-        inside = np.arange(len(code)) - first[word_of]
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        inside = (np.arange(len(code)) - first[word_of]).astype(np.int32)
         start, length, found = self._edges(code, (size[word_of] - inside))
         source = start + word_of[start]  # a word has one place more than characters
         target = source + length
         order = np.argsort(target, kind="stable")
         source, target, found = source[order], target[order], found[order]
+        del start, length, order
         places = len(code) + len(words)
         degree = np.bincount(target, minlength=places)
         begin = np.concatenate([[0], np.cumsum(degree)[:-1]])
@@ -158,9 +161,11 @@ class PieceLattice:
             top = np.maximum.reduceat(value, runs)
             total[here] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), runs))
         chance = np.exp(total[source] + weight - total[target])
-        upto = np.cumsum(chance)
-        base = upto[begin[target]] - chance[begin[target]]
-        ladder = target + np.clip(upto - base, 0.0, 1.0 - 2.0**-20)
+        del weight, total
+        ladder = np.cumsum(chance)
+        ladder -= ((ladder - chance)[np.minimum(begin, len(chance) - 1)])[target] if len(chance) else 0.0
+        np.clip(ladder, 0.0, 1.0 - 2.0**-20, out=ladder)
+        ladder += target
         return np.cumsum(size + 1) - 1, degree, ladder, source, found
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -174,12 +179,12 @@ class PieceLattice:
                 parts += map(index.__getitem__, own)
         if not parts:
             return [np.empty(0, np.int32)] * len(texts)
-        words = np.array(parts, np.int64)
+        words = np.array(parts, np.int32)
         del parts
         end, degree, ladder, source, piece = self.filtered(list(index))
         ground = np.concatenate([[0], end[:-1] + 1])  # place before each word
         last_edge = np.cumsum(degree) - 1
-        text_of = np.repeat(np.arange(len(texts)), per_text)
+        text_of = np.repeat(np.arange(len(texts), dtype=np.int32), per_text)
         starts = np.concatenate([[0], np.cumsum(per_text)])
         stream = seeds[text_of] + (np.arange(len(words)) - starts[text_of] + 1).astype(np.uint64) * _STEP
         # backward sampling of all words at once, equal words side by side
@@ -264,6 +269,7 @@ def decoded(ids: Column, model: str) -> Column:
 
 def with_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 1.0) -> DataFrame:
     """``df`` with piece_ids and n_pieces; rows do not move. Columns with these names are replaced."""
+    bounded_batches(df.sparkSession)
     ids = sampled_pieces(F.col(text_col), F.col(id_col), model, sharpness)
     return df.withColumn("piece_ids", ids).withColumn("n_pieces", F.coalesce(F.size("piece_ids"), F.lit(0)))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import free_name, written
+from .util import bounded_batches, free_name, written
 
 #: Fingerprints that may share a variant and still be joined pair by pair.
 SMALL = 32
@@ -94,7 +94,7 @@ def _variants(prints: DataFrame, lanes: int, segment_bits: int, banded: bool) ->
     if banded:  # copies have nearly as many shingles; each segment cuts the lengths elsewhere
         band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1.25)) + F.col("seg") / segments)
         key = key.bitwiseOR(F.shiftleft(band.cast("long"), 48))
-    return pos.select(key.alias("key"), *[f"f{i}" for i in range(lanes)])
+    return pos.select(key.alias("key"), *[f"f{i}" for i in range(lanes)], *(["id"] if lanes > 1 else []))
 
 
 def _far(left: str, right: str, lanes: int) -> Column:
@@ -120,6 +120,7 @@ def _block_links(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", *names)
 
     def link(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id")  # the smallest id is the root in every variant that holds it
         prints, ids = block[names].to_numpy().view(np.uint64), block["id"].to_numpy()
         near = np.zeros((len(ids), len(ids)), bool)
         for at in range(0, len(ids), 256):
@@ -147,7 +148,7 @@ def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: in
     keyed = _variants(prints, lanes, segment_bits, banded)
     # one shuffle: distinct fingerprints that agree in a whole variant are few enough for a window
     keyed = keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
-    keyed = written(keyed if lanes == 1 else keyed.join(prints.select("id", *names), names))
+    keyed = written(keyed)
     if lanes == 1:  # the fingerprint names itself
         keyed = keyed.withColumn("id", F.col("f0"))
     few = keyed.where(F.col("many") <= SMALL)
@@ -176,6 +177,7 @@ def simhash_groups(
     if max_bits == 1 and lanes == 1:
         raise ValueError("links at one bit are not transitive through stars; use max_bits 0, 2 or more")
     names = [f"f{i}" for i in range(lanes)]
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), fingerprints(F.col(text_col), words, lanes).alias("p"))
     rows = written(rows.select("id", "row_key", "p.*"))
     prints = rows.groupBy(*names).agg(F.min("id").alias("low"), F.min("n").alias("n"))

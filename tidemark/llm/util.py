@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters that are neither a space nor one of the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts; Python workers hold a few batches at a time.
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
@@ -36,6 +39,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of whole texts hold at most ``rows`` rows; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name starting with ``base`` that ``df`` does not use (Spark compares without case)."""
     taken, name, n = {c.lower() for c in df.columns}, base, 0
