@@ -32,7 +32,7 @@ SPACE = "▁"
 _ESCAPED = "\ud800"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text that are sampled together.
-GROUP = 1 << 19
+GROUP = 1 << 20
 _MASK, _TABLE_BITS = (1 << 64) - 1, 21
 #: Odd multipliers of the hashes and counters.
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
