@@ -188,6 +188,15 @@ def test_blocks_find_links_of_wide_prints(spark):
     assert got.select("root").distinct().count() == 1 and got.count() == df.count()
 
 
+def test_lengths_at_the_ratio_of_copies_meet(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k, n in enumerate(range(4, 604, 4)):  # the longer copy has 1.25 times as many shingles, or 1.18 times
+        f0, f1 = (int(x) for x in rng.integers(0, 2**63, 2))
+        rows += [(3 * k, f0, f1, n), (3 * k + 1, f0 ^ 0b11, f1 ^ 0b10100, n * 5 // 4), (3 * k + 2, f0 ^ 0b11, f1 ^ 0b1000100, int(n * 1.18))]
+    got = {r["node"]: r["root"] for r in graph.components(simhash.simhash_links(spark.createDataFrame(rows, "id long, f0 long, f1 long, n long"), 2, 16, 22, True)).collect()}
+    assert got == {r[0]: r[0] - r[0] % 3 for r in rows}
+
+
 def test_one_of_each(odd, docs):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ SMALL = 32
 BLOCK = 2048
 #: Shingles whose bits are added at once.
 CHUNK = 1 << 18
+#: Width of a length band, in steps of 1.25; a step at its upper end lies in the next one too.
+BAND = 4
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -91,9 +94,10 @@ def _variants(prints: DataFrame, lanes: int, segment_bits: int, banded: bool) ->
     value = F.expr(f"shiftrightunsigned(lane, cast((seg % {per_lane}) * {segment_bits} as int)) & {(1 << segment_bits) - 1}L")
     left_out = value.bitwiseAND(F.expr("~shiftleft(1L, bit)"))
     key = left_out.bitwiseOR(F.shiftleft(F.col("bit").cast("long"), 32)).bitwiseOR(F.shiftleft(F.col("seg").cast("long"), 38))
-    if banded:  # copies have nearly as many shingles; each segment cuts the lengths elsewhere
-        band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1.25)) + F.col("seg") / segments)
-        key = key.bitwiseOR(F.shiftleft(band.cast("long"), 48))
+    if banded:  # sets at a Jaccard similarity of 0.8 or more have counts at most one step of 1.25 apart and share a band
+        step = F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1.25))
+        pos = pos.withColumn("band", F.explode(F.array_distinct(F.array(F.floor(step / BAND), F.floor((step + 1 + 1e-9) / BAND)))))
+        key = key.bitwiseOR(F.shiftleft(F.col("band").cast("long"), 48))
     return pos.select(key.alias("key"), *[f"f{i}" for i in range(lanes)], *(["id"] if lanes > 1 else []))
 
 
@@ -138,6 +142,55 @@ def _block_links(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
 
 
+def _searched(keyed: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """Links (a, b, many = 0) inside variants of at most ``SMALL``, and the rows (key, many, a = id, f0..) of larger ones.
+
+    One shuffle: the variants are read in order. A variant gives at most one link a row, which keep its components.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        counts = np.diff(np.r_[starts, len(rows)])
+        many, nth = np.repeat(counts, counts), np.arange(len(rows)) - np.repeat(starts, counts)
+        prints, label = rows[:, 2:].view(np.uint64), np.arange(len(rows))
+        links = [np.empty((2, 0), np.int64)]
+        for d in range(1, SMALL):
+            at = np.flatnonzero((many <= SMALL) & (nth + d < many))
+            near = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1, dtype=np.int32) <= max_bits]
+            links.append(np.stack([near, near + d]))
+        low, high = np.concatenate(links, axis=1)
+        while True:  # rows are in order of ids: the smallest id is the root
+            last = label.copy()
+            np.minimum.at(label, high, last[low])
+            np.minimum.at(label, low, last[high])
+            label = label[label]
+            if (label == last).all():
+                break
+        linked, hot = np.flatnonzero(label != np.arange(len(rows))), np.flatnonzero(many > SMALL)
+        take, zero = np.r_[linked, hot], np.zeros(len(linked), np.int64)
+        out = [rows[take, 1], rows[label[take], 1], rows[take, 0], np.r_[zero, many[hot]], *(rows[take, 2 + i] for i in range(lanes))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "key", "many", *names])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, CHUNK
+        for batch in batches:
+            held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= limit:
+                rows = np.concatenate(held)
+                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last variant may go on
+                if cut:
+                    yield found(rows[:cut])
+                held, size = [rows[cut:]], len(rows) - cut
+                limit = max(CHUNK, 2 * size)
+        if size:
+            yield found(np.concatenate(held))
+
+    ordered = keyed.select("key", "id", *names).repartition("key").sortWithinPartitions("key", "id")
+    return ordered.mapInArrow(search, "a long, b long, key long, many long, " + ", ".join(f"{c} long" for c in names))
+
+
 def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: int, banded: bool = False) -> DataFrame:
     """Links (a, b) between ids of distinct fingerprints (id, f0.., n) that differ in at most ``max_bits`` bits.
 
@@ -146,16 +199,18 @@ def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: in
     """
     names = [f"f{i}" for i in range(lanes)]
     keyed = _variants(prints, lanes, segment_bits, banded)
+    if lanes > 1:
+        found = written(_searched(keyed, lanes, max_bits))
+        hot = found.where("many > 0").select("key", "many", F.col("a").alias("id"), *names)
+        return found.where("many = 0").select("a", "b").unionByName(_block_links(hot, lanes, max_bits)).distinct()
     # one shuffle: distinct fingerprints that agree in a whole variant are few enough for a window
     keyed = keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
-    keyed = written(keyed)
-    if lanes == 1:  # the fingerprint names itself
-        keyed = keyed.withColumn("id", F.col("f0"))
+    keyed = written(keyed).withColumn("id", F.col("f0"))  # the fingerprint names itself
     few = keyed.where(F.col("many") <= SMALL)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (_far("a", "b", lanes) <= max_bits)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     hot = keyed.where(F.col("many") > SMALL)
-    if max_bits <= 2 and lanes == 1:
+    if max_bits <= 2:
         more = _ball_links(hot.select("f0").distinct())
         if max_bits < 2:
             more = more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
