@@ -206,6 +206,73 @@ def test_one_of_each(odd, docs):
     assert len(texts) == len(set(texts)) and {r["text"] for r in docs.collect()} >= set(texts) and len(texts) > 850
 
 
+def shingle_set(text, n=5):
+    w = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    w = WORD.findall(w)
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_roots(sets, least=0.8):
+    """Links (i, j) of sets of shingles, and the first member of each one's component."""
+    where, parent, links = collections.defaultdict(list), list(range(len(sets))), []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        common = collections.Counter(j for s in own for j in where[s])
+        links += [(j, i) for j, c in common.items() if c >= least * (len(own) + len(sets[j]) - c)]
+        for s in own:
+            where[s].append(i)
+    blank = [i for i, s in enumerate(sets) if not s]
+    links += [(blank[0], i) for i in blank[1:]]
+    for i, j in links:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    return links, [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_against_brute_force(spark, docs):
+    rng, rows = random.Random(11), []
+    for _ in range(300):  # a text, a copy with words added at its end, and one with words changed
+        w = [f"w{rng.randrange(50_000)}" for _ in range(rng.randint(80, 600))]
+        n, j = len(w) - 4, rng.uniform(0.8, 0.9)
+        more = [f"v{rng.randrange(50_000)}" for _ in range(int(n / j - n))]
+        changed = list(w)
+        for k in rng.sample(range(len(w)), int(len(w) * rng.uniform(0.01, 0.12))):
+            changed[k] = "x"
+        rows += [" ".join(x) for x in (w, w + more, changed)]
+    for texts, least in ((rows, 0.85), ([r["text"] for r in docs.orderBy("doc_id").collect()], 0.85)):
+        got = simhash.simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, lanes=2, segment_bits=16, max_bits=32, banded=True, least=0.8).collect()
+        comp = {r["doc_id"]: r["component_id"] for r in got}
+        links, root = brute_roots([shingle_set(t) for t in texts])
+        assert len(comp) == len(texts)
+        assert all(root[i] == root[c] for i, c in comp.items())  # no false link
+        found = sum(comp[i] == comp[j] for i, j in links)
+        print("found", found, "of", len(links))
+        assert found >= least * len(links)
+
+
+def test_large_clusters_link_by_sets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 2000)  # several blocks
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(200), 3 if k < 90 else 12):
+            w[at] = f"x{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, root = brute_roots([shingle_set(t) for t in texts])
+    rows = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").alias("s"), F.lit(196).alias("n"))
+    clusters = df.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("root"))
+    got = {r["node"]: r["root"] for r in graph.components(simhash.similar_links(df, "doc_id", "text", rows, clusters, 5, 0.8)).collect()}
+    assert links and [got.get(i, i) for i in range(120)] == root and len(set(root)) > 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

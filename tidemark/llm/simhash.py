@@ -11,6 +11,10 @@ of the group. With up to two differing bits its fingerprints get the exact linea
 link if and only if some bit string lies within one bit of both, so all 65 strings around each are
 grouped, and every group is a star. With more bits they are compared in blocks of bounded size, of
 which only the links of a spanning forest leave.
+
+With a least Jaccard similarity the fingerprints only search: they are those of the sets of distinct
+shingles, their links make clusters of candidates, and inside each cluster the sets themselves are
+compared. Only sets that are similar enough link, and only these links make components.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ SMALL = 32
 BLOCK = 2048
 #: Shingles whose bits are added at once.
 CHUNK = 1 << 18
+#: Shingles in a block of a cluster of candidates.
+SHINGLES = 1 << 19
+#: Rows up to which a table is sent to all executors.
+SENT_ROWS = 200_000
 #: Width of a length band, in steps of 1.25; a step at its upper end lies in the next one too.
 BAND = 4
 
@@ -81,6 +89,24 @@ def fingerprints(text: Column, words: int = 3, lanes: int = 1) -> Column:
     return of(text)
 
 
+def shingle_sets(text: Column, words: int, lanes: int) -> Column:
+    """``struct(f0.., n, s)``: as ``fingerprints`` of the distinct shingles, with a hash ``s`` of their set."""
+    names = [f"f{i}" for i in range(lanes)]
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in names) + ", n long, s long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = np.zeros((len(texts), lanes + 2), np.uint64)
+            for k, text in enumerate(texts):
+                own, at = np.unique(shingle_hashes(text, words, 42), return_index=True)
+                for lane in range(lanes):
+                    rows[k, lane] = fingerprint(shingle_hashes(text, words, 42 + lane)[at] if lane else own)
+                rows[k, lanes:] = len(own), xxhash.xxh64_intdigest(own.tobytes())
+            yield pd.DataFrame(rows.view(np.int64), columns=[*names, "n", "s"])
+
+    return of(text)
+
+
 def _variants(prints: DataFrame, lanes: int, segment_bits: int, banded: bool) -> DataFrame:
     """One row per fingerprint, segment and left-out bit, with a long ``key`` that is equal for equal variants."""
     per_lane = 64 // segment_bits
@@ -219,44 +245,108 @@ def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: in
     return pairs.unionByName(more).distinct()
 
 
+def _parted(rows: DataFrame, parts: Column, *group: str) -> DataFrame:
+    """``rows`` by blocks i <= j of their group: every part of it meets every other, and itself in i = j."""
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).groupBy(*group, "i", "j")
+
+
+def similar_links(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, clusters: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) between shingle sets of one cluster (node, root) whose Jaccard similarity is at least ``least``.
+
+    ``rows`` has row_key, n and s of the rows of ``df``. All sets of a cluster that no link joins yet
+    are compared; the links keep the components, not every pair.
+    """
+    members = rows.groupBy(F.col("s").alias("node")).agg(F.min("row_key").alias("row_key"), F.first("n").alias("n")).join(clusters, "node")
+    members = written(members)
+    sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
+    members = written(members.join(sizes, "root").select("row_key", "root", F.col("node").alias("id"), F.ceil(F.greatest("total", F.lit(1)) / SHINGLES).alias("parts")))
+    few = F.broadcast(members) if members.count() <= SENT_ROWS else members
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words, 42).astype(np.uint64)).view(np.int64) for t in texts], dtype=object)
+
+    texts = df.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(few, "row_key")
+    sets = written(texts.select("root", "id", "parts", hashes("text").alias("hashes")))
+
+    def link(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("id").sort_values("id")
+        ids, own = block["id"].to_numpy(), block["hashes"].tolist()
+        sizes = np.array([len(h) for h in own])
+        _, word = np.unique(np.concatenate(own), return_inverse=True)
+        of, mark = np.repeat(np.arange(len(ids)), sizes), np.zeros(len(word), bool)
+        starts, full = np.cumsum(sizes) - sizes, word
+        open_, left, a, b = np.ones(len(ids), bool), len(ids), [], []
+        for seed in range(len(ids)):
+            queue = [seed] if open_[seed] else []
+            open_[queue] = False
+            for at in queue:  # a component, breadth first: each member against all that are in none yet
+                if 2 * open_.sum() < left:
+                    keep, left = open_[of], open_.sum()
+                    word, of = word[keep], of[keep]
+                mine = full[starts[at] : starts[at] + sizes[at]]
+                mark[mine] = True
+                common = np.bincount(of[mark[word]], minlength=len(ids))
+                mark[mine] = False
+                near = np.flatnonzero(open_ & (common >= least * (sizes + sizes[at] - common) - 1e-9) & (common > 0))
+                open_[near] = False
+                queue += near.tolist()
+                a += near.tolist()
+                b += [at] * len(near)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]}) if a else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    return _parted(sets, F.col("parts"), "root").applyInPandas(link, "a long, b long").distinct()
+
+
 def simhash_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, segment_bits: int = 32, max_bits: int = 2, banded: bool = False
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, segment_bits: int = 32, max_bits: int = 2, banded: bool = False, least: float | None = None
 ) -> DataFrame:
     """One row per row of ``df``: id, row_key, f0.. (longs), n (shingles), component_id.
 
     Texts whose fingerprints link, directly or through others, form a component; its id is the
     smallest id in it (null if all are null). Null, empty and wordless texts have fingerprint zero
     and are linked like any other. Repeated rows are rows of their own in one component. An empty
-    table gives an empty table. ``row_key`` is a hash of id and text.
+    table gives an empty table. ``row_key`` is a hash of id and text. With ``least`` texts link only
+    if the Jaccard similarity of their sets of shingles is at least that, and there is a hash ``s`` of
+    the set.
     """
     if max_bits == 1 and lanes == 1:
         raise ValueError("links at one bit are not transitive through stars; use max_bits 0, 2 or more")
     names = [f"f{i}" for i in range(lanes)]
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), fingerprints(F.col(text_col), words, lanes).alias("p"))
+    prints = fingerprints(F.col(text_col), words, lanes) if least is None else shingle_sets(F.col(text_col), words, lanes)
+    same = names if least is None else [*names, "s"]
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), prints.alias("p"))
     rows = written(rows.select("id", "row_key", "p.*"))
-    prints = rows.groupBy(*names).agg(F.min("id").alias("low"), F.min("n").alias("n"))
-    key = F.col("f0") if lanes == 1 else F.xxhash64(*names)
+    prints = rows.groupBy(*same).agg(F.min("id").alias("low"), F.min("n").alias("n"))
+    key = F.col("s") if least is not None else F.col("f0") if lanes == 1 else F.xxhash64(*names)
     prints = written(prints.withColumn("id", key))
     roots = components(simhash_links(prints.select("id", "n", *names), lanes, segment_bits, max_bits, banded))
-    rooted = prints.join(roots, prints["id"] == roots["node"], "left").select(*names, "low", F.coalesce("root", "id").alias("root"))
+    if least is not None:
+        roots = components(similar_links(df, id_col, text_col, rows, written(roots), words, least))
+    rooted = prints.join(roots, prints["id"] == roots["node"], "left").select(*same, "low", F.coalesce("root", "id").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(rooted.join(lows, "root").select(*names, "component_id"))
-    return rows.join(named, names).select(F.col("id").alias(id_col), "row_key", *names, "n", "component_id")
+    if least is not None:
+        lows = lows.withColumn("component_root", F.col("root"))
+    named = written(rooted.join(lows, "root").select(*same, "component_id", *([] if least is None else ["component_root"])))
+    return rows.join(named, same).select(F.col("id").alias(id_col), "row_key", *same, "n", "component_id", *([] if least is None else ["component_root"]))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 2, segment_bits: int = 16, max_bits: int = 22, banded: bool = True) -> DataFrame:
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 2, segment_bits: int = 16, max_bits: int = 32, banded: bool = True, least: float = 0.8
+) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row stays, with all columns.
 
-    By default five-word shingles, 128 bits and at most 22 differing bits: texts whose shingle sets
-    have a Jaccard similarity of 0.8 differ in 19 bits on average. The row with the smallest id stays
-    (null ids last, then the smallest row key); of repeated rows one.
+    By default five-word shingles: texts link if their sets of shingles have a Jaccard similarity of
+    at least 0.8. Candidates are found by 128 bits, of which at most 32 differ (at 0.8 they are 19
+    on average, with a deviation of 4). The row with the smallest id stays (null ids last, then the
+    smallest row key); of repeated rows one.
     """
-    groups = simhash_groups(df, id_col, text_col, words, lanes, segment_bits, max_bits, banded)
-    first = groups.select("component_id", F.col(id_col).alias("id"), "row_key", *[f"f{i}" for i in range(lanes)])
-    # components without any id: told apart by their fingerprint
-    whole = F.coalesce(F.col("component_id").cast("string"), F.concat_ws(",", *[f"f{i}" for i in range(lanes)]))
-    kept = first.groupBy(whole.alias("whole")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first"))
+    groups = simhash_groups(df, id_col, text_col, words, lanes, segment_bits, max_bits, banded, least)
+    first = groups.select(F.col("component_root").alias("whole"), F.col(id_col).alias("id"), "row_key")
+    kept = first.groupBy("whole").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first"))
     key, nth = free_name(df, "row_key"), free_name(df, "row_nth")
     kept = kept.select(F.col("first.row_key").alias(key))
     rows = df.withColumn(key, F.xxhash64(id_col, text_col)).join(kept, key)
