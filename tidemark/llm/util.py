@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ BATCH_ROWS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests on one machine) a local temporary folder takes its place.
+    Where the setting is missing on a single machine (``local[..]``, as in tests) a temporary folder
+    takes its place; on a cluster, whose executors would not share it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,7 +44,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches of whole texts hold at most ``rows`` rows; a smaller setting of the session stays."""
+    """Let Arrow batches of whole texts hold at most ``rows`` rows; a smaller setting of the session stays.
+
+    This is a setting of the session, so queries and the pipeline make it where they read their
+    tables; no operator changes the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -67,4 +75,5 @@ def word_count(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
