@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, pieces, pii, simhash
-from tidemark.llm.util import written
+from tidemark.llm.util import bounded_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; null labels become the prediction."""
+    bounded_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -37,6 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with sampled piece ids, from which their texts can be decoded."""
+    bounded_batches(spark)
     return pieces.with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded_batches, free_name
+from .util import free_name
 
 #: Characters in an n-gram, slots (a power of two), slots of an n-gram.
 ORDER, SLOTS, HASHES = 3, 1 << 20, 3
 #: Expected training texts of a language at most; least share of them that must have an n-gram.
 SAMPLE, SHARE = 2000, 0.01
+#: More labels than this are refused, as each lane of 64 sends a filter of SLOTS masks to all workers.
+MOST_LANGUAGES = 1024
 UNDETERMINED = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
@@ -101,9 +103,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The sample goes by a hash of the id, so that it does not depend on the order of rows. Only
     language counts and filled slots reach the driver, at most SLOTS for each 64 languages.
     """
-    bounded_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels; they don't look like languages")
     languages = sorted(totals, key=lambda lang: (-totals[lang], lang))
     lanes = max(1, -(-len(languages) // 64))
     masks = np.zeros((SLOTS, lanes), np.uint64)

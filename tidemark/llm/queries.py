@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, media, mixing, pieces, pii, sharding, simhash, token_count, vafile, wrappers
-from .util import documents
+from .util import bounded_batches, documents
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_heap_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(documents(spark, sf_dir)).drop("row_key")
+    return mixing.mix_table(documents(spark, sf_dir)).drop("row_id")
 
 
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,7 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return wrappers.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
