@@ -8,7 +8,8 @@ over the table of (source, size) counts, which is exact and far smaller than the
 
 Rates become whole copies by systematic rounding over documents in order of size, so that each
 rounding error is paid back by a document of nearly the same size; what still lacks a source's
-target is then made up by single copies of its smallest documents.
+target is then made up by single copies of its smallest documents. Equal rows are counted first and
+rounded as one, then share what they got, so no window grows with the repeats of a row.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .util import free_name, word_count, written
 UNIT = 20
 #: Newton stops when every source is this close to its target, or after so many steps.
 TOLERANCE, MOST_STEPS = 1e-7, 60
-#: A run of documents that one window orders holds at least about this many rows, or the root of all rows.
-RUN_ROWS = 512
+#: Runs that the documents of one source and of about one size are cut into, whatever the corpus's size.
+RUNS = 1024
+#: Equal rows that one window numbers.
+SHARED_ROWS = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -86,16 +89,44 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     return state.select("idx", F.round("tilt", 6).alias("tilt"))
 
 
-def mix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """One row per row of ``df``: id, row_key, size, source_size, target, rate, copies, taken.
+def _content(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of the columns in which a null is not the same as no column; it only orders rows."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
+def _shared(groups: DataFrame) -> DataFrame:
+    """Rows with ``copies``: ``all_copies`` of a group of ``m`` equal rows, dealt out evenly, the first rows getting one more."""
+    single = groups.where("m = 1").withColumn("copies", F.col("all_copies"))
+    same = ["idx", "size", "id", "row_key", "salt"]
+    many = groups.where("m > 1").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.ceil(F.col("m") / SHARED_ROWS)))
+    before = Window.partitionBy(*same[:-1]).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy(*same).agg(F.count("*").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))).select(F.col("id").alias("g_id"), *[c for c in same if c != "id"], "before")
+    many = many.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("row_id")))
+    many = many.join(counts, (many["id"].eqNullSafe(counts["g_id"])) & _equal(many, counts, ["idx", "size", "row_key", "salt"])).select(many["*"], "before")
+    more = F.when(F.col("nth") + F.col("before") <= F.pmod("all_copies", "m"), 1).otherwise(0)
+    return single.unionByName(many.withColumn("copies", F.expr("all_copies div m") + more).drop("salt", "before", "nth"))
+
+
+def _equal(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & (left[c] == right[c])
+    return out
+
+
+def mix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``df``: id, row_id, size, source_size, target, rate, copies, taken.
 
     size is the number of words (null text: 0) and taken = copies * size, at most ``cap`` times the
     size. A null source is a source of its own, the last. Documents without words keep one copy and
-    take 0 words. Repeated rows are rows of their own; equal rows are told apart by no order, so
-    which of them gets a copy more is open, the multiset of results is not. An empty table gives an
-    empty table. row_key is a hash of id, source and text by which a caller finds the row again.
+    take 0 words. Repeated rows are rows of their own; which of several equal rows gets a copy more is
+    open, the multiset of results is not. An empty table gives an empty table. row_id is ``row_col``,
+    a unique long, or made here; it tells rows apart and decides nothing else.
     """
-    rows = written(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, source_col, text_col).alias("row_key")))
+    content = [c for c, kind in df.dtypes if c != row_col and "map<" not in kind]
+    row_id = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
+    col = lambda c: F.col(f"`{c}`")
+    rows = written(df.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), word_count(col(text_col)).alias("size"), _content(df, content).alias("row_key"), row_id.alias("row_id")))
     sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = written(source_targets(sizes, weights, cap))
     named = targets.select("idx", F.col("source").alias("s"))
@@ -103,51 +134,52 @@ def mix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sizes = written(sizes.join(named, same).select("idx", "size", "n"))
     tilts = balance(sizes, targets, cap)
 
-    # runs: a source's documents by size, in bins of about a tenth, cut where a bin is large
+    # runs: a source's documents by size, in bins of about a tenth, each cut by a hash
     bin_of = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) * 10)).otherwise(-1).cast("int")
-    run_rows = max(RUN_ROWS, math.isqrt(rows.count()))
-    bins = sizes.groupBy("idx", bin_of.alias("bin")).agg(F.ceil(F.sum("n") / run_rows).alias("parts"))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(_rate(F.col("size"), F.col("mean_size"), F.col("tilt"), float(cap)))
     per_source = targets.join(tilts, "idx", "left").select("idx", F.col("source").alias("s"), "mean_size", "target", "tilt")
-    placed = (
-        rows.join(per_source, same)
-        .withColumn("bin", bin_of)
-        .join(bins, ["idx", "bin"])
-        .select("idx", "bin", F.pmod(F.xxhash64("row_key"), "parts").alias("part"), "id", "row_key", "size", F.when(F.col("size") > 0, F.round(rate * (1 << UNIT))).otherwise(0).cast("long").alias("rate"))
-    )
+    groups = rows.groupBy("source", "size", "id", "row_key").agg(F.count("*").alias("m"))
+    part = F.pmod(F.xxhash64("row_key"), F.lit(RUNS)).cast("int")
+    units = F.when(F.col("size") > 0, F.round(rate * (1 << UNIT))).otherwise(0).cast("long")
+    placed = groups.join(per_source, same).select("idx", bin_of.alias("bin"), part.alias("part"), "id", "row_key", "size", "m", units.alias("rate"))
     run = ["idx", "bin", "part"]
     inside = Window.partitionBy(*run).orderBy(F.col("size").desc(), "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*run).agg(F.sum("rate").alias("all"))
+    sums = placed.groupBy(*run).agg(F.sum(F.col("rate") * F.col("m")).alias("all"))
     before = Window.partitionBy("idx").orderBy(F.col("bin").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*run, F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
-    upto = F.sum("rate").over(inside)
     whole = lambda c: F.shiftright(c + (1 << UNIT - 1), UNIT)
-    rounded = placed.withColumn("upto", upto).join(offsets, run).withColumn("upto", F.col("upto") + F.col("offset"))
-    copies = F.when(F.col("size") > 0, whole(F.col("upto")) - whole(F.col("upto") - F.col("rate"))).otherwise(1)
-    rounded = written(rounded.select(*run, "id", "row_key", "size", "rate", copies.cast("int").alias("copies")))
+    rounded = placed.withColumn("upto", F.sum(F.col("rate") * F.col("m")).over(inside)).join(offsets, run).withColumn("upto", F.col("upto") + F.col("offset"))
+    copies = F.when(F.col("size") > 0, whole(F.col("upto")) - whole(F.col("upto") - F.col("rate") * F.col("m"))).otherwise(F.col("m"))
+    rounded = written(rounded.select(*run, "id", "row_key", "size", "m", "rate", copies.alias("copies")))
 
-    # what a source still lacks or has too much, made up by its smallest documents
+    # what a source still lacks or has too much, made up by its smallest documents, one copy each
     taken = rounded.groupBy("idx").agg(F.sum(F.col("size") * F.col("copies")).alias("has"))
     lack = targets.join(taken, "idx").select("idx", "source_size", "target", (F.round("target").cast("long") - F.col("has")).alias("lack"))
-    fits = F.when((F.col("lack") > 0) & (F.col("copies") < cap), F.col("size")).when((F.col("lack") < 0) & (F.col("copies") > 0), F.col("size")).otherwise(0)
-    open_ = rounded.join(F.broadcast(lack) if targets.count() <= 10_000 else lack, "idx").withColumn("fits", fits.cast("long"))
+    able = F.when(F.col("size") == 0, 0).when(F.col("lack") > 0, F.least("m", F.col("m") * cap - F.col("copies"))).when(F.col("lack") < 0, F.least("m", "copies")).otherwise(0)
+    open_ = rounded.join(F.broadcast(lack) if targets.count() <= 10_000 else lack, "idx").withColumn("able", able.cast("long")).withColumn("fits", F.col("able") * F.col("size"))
     small_first = Window.partitionBy("idx").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = open_.groupBy(*run).agg(F.sum("fits").alias("all")).select(*run, F.coalesce(F.sum("all").over(small_first), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*run).orderBy("size", "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     final = open_.withColumn("upto", F.sum("fits").over(inside)).join(offsets, run)
-    one = F.when((F.col("fits") > 0) & (F.col("upto") + F.col("offset") <= F.abs("lack")), F.signum("lack")).otherwise(0).cast("int")
-    final = final.withColumn("copies", F.col("copies") + one)
-    return final.select(
-        F.col("id").alias(id_col), "row_key", "size", "source_size", "target", (F.col("rate") / (1 << UNIT)).alias("rate"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    left = F.abs("lack") - (F.col("upto") + F.col("offset") - F.col("fits"))
+    some = F.greatest(F.lit(0), F.least(F.col("able"), F.floor(left / F.greatest("size", F.lit(1))))) * F.signum("lack").cast("int")
+    final = final.select(F.col("idx"), F.col("id").alias("g_id"), F.col("size").alias("g_size"), F.col("row_key").alias("g_key"), "source_size", "target", "rate", "m", (F.col("copies") + some).alias("all_copies"))
+    final = final.join(named.select(F.col("idx").alias("i"), "s"), F.col("idx") == F.col("i"))
+    matched = (F.col("row_key") == F.col("g_key")) & (F.col("size") == F.col("g_size")) & F.col("id").eqNullSafe(F.col("g_id")) & same
+    dealt = _shared(written(rows.join(final, matched).select("idx", "row_id", "id", "row_key", "size", "source_size", "target", "rate", "m", "all_copies")))
+    return dealt.select(
+        F.col("id").alias(id_col), "row_id", "size", "source_size", "target", (F.col("rate") / (1 << UNIT)).alias("rate"), F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """The mix itself: the rows of ``df``, each as often as ``mix_table`` says, with the columns of ``df``."""
-    table = mix_table(df, id_col, text_col, source_col, weights, cap)
-    key, nth, copies = free_name(df, "row_key"), free_name(df, "row_nth"), free_name(df, "row_copies")
-    table = table.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
-    rows = df.withColumn(key, F.xxhash64(id_col, source_col, text_col)).join(table, key)
-    # equal rows: the first stands for all of them, so that texts are shuffled once
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)
-    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The mix itself: the rows of ``df``, each as often as ``mix_table`` says, with the columns of ``df``.
+
+    Rows are told apart by a number that is written with them, so equal rows and rows that differ in
+    any column are all kept, each with its own copies.
+    """
+    row_id, copies = free_name(df, "row_id"), free_name(df, "row_copies")
+    rows = written(df.withColumn(row_id, F.monotonically_increasing_id()))
+    table = mix_table(rows, id_col, text_col, source_col, weights, cap, row_id).where("copies > 0").select(F.col("row_id").alias(row_id), F.col("copies").alias(copies))
+    rows = rows.join(table, row_id)
+    return rows.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in df.columns])
