@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .windows import by
+
 FLOOR = 1e-9
+#: Spans of about equal count that a group's values are cut into.
+MARKS = 128
 
 
 def _steps(n: int) -> Column:
@@ -30,18 +35,45 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
     return df.select(*keep, parts.alias("p")).select(*keep, "p.*").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < math.inf))
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float], value: str = "value") -> DataFrame:
+    """(keys.., q, rows): quantiles at ``levels``, linear between ranks, and the number of values, per group.
+
+    Equal values are counted first. A sketch cuts each group's values into ``MARKS`` spans of about
+    equal count; ranks are sums inside a span plus the counts of the spans before, so no task holds a
+    group. The sketch only balances the work, the quantiles are exact. Nulls and NaN take no part.
+    """
+    counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    marks = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"), F.sum("_n").alias("rows"))
+    h = [F.lit(p) * (F.col("rows") - 1) for p in levels]
+    marks = marks.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h]))))
+    spans = (counts.join(marks, keys) if keys else counts.crossJoin(F.broadcast(marks))).withColumn("_span", F.size(F.filter("_marks", lambda m: m <= F.col("_v"))))  # without keys: one row
+    sums = spans.groupBy(*keys, "_span").agg(F.sum("_n").alias("_all"))
+    before = F.sum("_all").over(by(keys, "_span").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(by([*keys, "_span"], "_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = spans.withColumn("_upto", upto).join(offsets, [*keys, "_span"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    mine = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
+    picked = placed.select(*keys, "rows", "_v", F.explode(mine).alias("_rank"))
+    found = picked.groupBy(*keys, "rows").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two values a level
+    at = lambda r: F.element_at("_at", r)
+    q = [(F.when(F.ceil(x) > F.floor(x), (F.ceil(x) - x) * at(F.floor(x)) + (x - F.floor(x)) * at(F.ceil(x))).otherwise(at(F.floor(x)))) for x in h]
+    return found.select(*keys, F.array(*q).alias("q"), "rows")
+
+
 def quantile_edges(df: DataFrame, features: list[str], n: int, keys: list[str] | None = None, least: int | None = None, exact: bool = True) -> DataFrame:
     """Edges (feature, edges) by quantiles, per key if given; features with too few values are left out.
 
-    ``exact=False`` uses a mergeable sketch, for data where exact percentiles would gather too many
-    distinct values.
+    ``exact=False`` uses a mergeable sketch: one pass with a fixed error of rank.
     """
     keys = keys or []
     levels = [i / n for i in range(n + 1)]
-    how = F.percentile("value", F.array(*map(F.lit, levels))) if exact else F.percentile_approx("value", levels, 100_000)
     least = max(2 * n, 50) if least is None else least
-    got = long_features(df, features, keys).groupBy(*keys, "feature").agg(how.alias("q"), F.count("*").alias("rows")).where(F.col("rows") >= least)
-    return got.select(*keys, "feature", F.lit("quantile").alias("kind"), pad_edges(F.col("q"), n).alias("edges"))
+    rows = long_features(df, features, keys)
+    if exact:
+        got = exact_quantiles(rows, [*keys, "feature"], levels)
+    else:
+        got = rows.groupBy(*keys, "feature").agg(F.percentile_approx("value", levels, 100_000).alias("q"), F.count("*").alias("rows"))
+    return got.where(F.col("rows") >= least).select(*keys, "feature", F.lit("quantile").alias("kind"), pad_edges(F.col("q"), n).alias("edges"))
 
 
 def log_edges(df: DataFrame, features: list[str], n: int, robust: bool = False) -> DataFrame:
@@ -51,7 +83,7 @@ def log_edges(df: DataFrame, features: list[str], n: int, robust: bool = False)
     """
     rows = long_features(df, features, []).withColumn("value", F.abs("value") + FLOOR)
     if robust:
-        ends = rows.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.0001), F.lit(0.9999))).alias("q"))
+        ends = exact_quantiles(rows, ["feature"], [0.0001, 0.9999])
         low = F.greatest(F.col("q")[0], F.lit(FLOOR))
         ends = ends.select("feature", low.alias("low"), F.greatest(F.col("q")[1], low * 10).alias("high"))
     else:

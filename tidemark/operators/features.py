@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.market import book_imbalance, log_ratio, microprice, mid
-from .windows import by, previous
+from .windows import in_blocks, numbered, previous
 
 
 def require_columns(df: DataFrame, needed: set[str]) -> DataFrame:
@@ -70,16 +70,20 @@ def order_flow(df: DataFrame, key: str, ms: str = "ms", seq: str = "seq") -> Dat
 
 def forward_returns(df: DataFrame, key: str, price: str, steps: int, name: str, ms: str = "ms", seq: str = "seq") -> DataFrame:
     """ln(price ``steps`` rows ahead / price), null at the end."""
-    ahead = F.lead(price, steps).over(by(key, ms, seq))
-    return df.withColumn(name, F.when((ahead > 0) & (F.col(price) > 0), F.log(ahead / F.col(price))))
 
+    def ahead(rows: DataFrame, w) -> DataFrame:
+        later = F.lead(price, steps).over(w)
+        return rows.withColumn(name, F.when((later > 0) & (F.col(price) > 0), F.log(later / F.col(price))))
 
-def out_of_order(df: DataFrame, key: str, seq: str = "seq", ms: str = "ms") -> DataFrame:
-    """Rows that arrive (by ``seq``) with an earlier time than the row before."""
-    return df.withColumn("prev_ms", F.lag(ms).over(by(key, seq))).where(F.col("prev_ms") > F.col(ms))
+    return in_blocks(df, key, ms, seq, ahead, ahead=steps)
+
+
+def out_of_order(df: DataFrame, key: str, arrival: str, tie: str, ms: str = "ms", chunk: int = 1 << 17) -> DataFrame:
+    """Rows that arrive, by the number ``arrival`` and then ``tie``, with an earlier time than the row before."""
+    return previous(df, key, arrival, tie, [ms], chunk).where(F.col(f"prev_{ms}") > F.col(ms))
 
 
 def every_nth(df: DataFrame, key: str, n: int, least: int, ms: str = "ms", seq: str = "seq") -> DataFrame:
     """Every n-th row of a key once ``least`` rows have come."""
-    nth = F.row_number().over(by(key, ms, seq))
-    return df.withColumn("nth", nth).where((F.col("nth") % n == 0) & (F.col("nth") >= least))
+    rows = numbered(df, key, ms, seq, "nth").withColumn("nth", F.col("nth") + 1)
+    return rows.where((F.col("nth") % n == 0) & (F.col("nth") >= least))

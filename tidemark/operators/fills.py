@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import asof, by
+from .windows import asof, by, in_blocks
 
 
 def within(left: DataFrame, right: DataFrame, key: str, horizon_ms: int, columns: list[str], *, ms: str = "ms", seq: str = "seq") -> DataFrame:
@@ -60,11 +60,10 @@ def two_sided(labelled: DataFrame, fair: Column, tick: float, keep: list[str]) -
 
 def markout_rows(fills: DataFrame, tob: DataFrame, key: str, horizons: list[int]) -> DataFrame:
     """side * (mid ``h`` book rows after the fill - fill price), clipped to the key's last row."""
-    n = F.count("*").over(Window.partitionBy(key))
-    pos = F.row_number().over(by(key, "ms", "seq"))
-    book = tob.withColumns({"pos": pos, "n": n})
-    ahead = {f"m_{h}": F.coalesce(F.lead("mid", h).over(by(key, "ms", "seq")), F.last("mid").over(by(key, "ms", "seq").rowsBetween(0, Window.unboundedFollowing))) for h in horizons}
-    book = book.withColumns(ahead).drop("pos", "n")
+    end = tob.groupBy(key).agg(F.max_by("mid", F.struct("ms", "seq")).alias("end_mid"))
+    leads = lambda rows, w: rows.withColumns({f"m_{h}": F.lead("mid", h).over(w) for h in horizons})
+    book = in_blocks(tob, key, "ms", "seq", leads, ahead=max(horizons)).join(end, key)
+    book = book.withColumns({f"m_{h}": F.coalesce(f"m_{h}", "end_mid") for h in horizons})
     at = asof(fills, book, key, "ms", [f"m_{h}" for h in horizons], forward=True)
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
     return at.withColumns({f"mkout_{h}": sign * (F.col(f"m_{h}") - F.col("fill_px")) for h in horizons}).drop(*[f"m_{h}" for h in horizons])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.market import normal_cdf
-from .windows import asof, before, by, if_enough, running_sum
+from ..sources.shared import written
+from .windows import BLOCK_ROWS, asof, if_enough, in_blocks, last_known, previous, running_sum
 
 
 def volume_classes(trades: DataFrame, key: str, window: int = 50) -> DataFrame:
@@ -15,19 +16,24 @@ def volume_classes(trades: DataFrame, key: str, window: int = 50) -> DataFrame:
     p_buy = Phi(price change / rolling deviation). A rolling deviation that is missing or 0 is taken
     from the next row that has one, else from the whole key.
     """
-    w = by(key, "ms", "seq")
-    rows = trades.withColumn("dp", F.coalesce(F.col("last_px") - F.lag("last_px").over(w), F.lit(0.0)).cast("double"))
-    frame = before(window, key, "ms", "seq")
-    sd = if_enough(F.stddev_samp("dp").over(frame), F.count("dp").over(frame), window)
-    rows = rows.withColumn("sd", F.when(sd > 0, sd)).withColumn("all_sd", F.stddev_samp("dp").over(Window.partitionBy(key)))
-    following = w.rowsBetween(0, Window.unboundedFollowing)
-    sigma = F.coalesce(F.first("sd", ignorenulls=True).over(following), F.when(F.col("all_sd") > 0, F.col("all_sd")), F.lit(1e-9))
+
+    def deviations(rows: DataFrame, w) -> DataFrame:
+        rows = rows.withColumn("dp", F.coalesce(F.col("last_px") - F.lag("last_px").over(w), F.lit(0.0)).cast("double"))
+        frame = w.rowsBetween(-(window - 1), 0)
+        sd = if_enough(F.stddev_samp("dp").over(frame), F.count("dp").over(frame), window)
+        return rows.withColumn("sd", F.when(sd > 0, sd))
+
+    rows = written(in_blocks(trades, key, "ms", "seq", deviations, back=window))  # read three times
+    whole = rows.groupBy(key).agg(F.stddev_samp("dp").alias("all_sd"))
+    rows = last_known(rows, key, "ms", "seq", "sd", "next_sd", backward=True).join(whole, key)
+    sigma = F.coalesce("next_sd", F.when(F.col("all_sd") > 0, F.col("all_sd")), F.lit(1e-9))
     rows = rows.withColumn("p_buy", normal_cdf(F.col("dp") / sigma))
-    return rows.withColumns({"buy_v": F.col("last_sz") * F.col("p_buy"), "sell_v": F.col("last_sz") * (1 - F.col("p_buy"))}).drop("sd", "all_sd")
+    return rows.withColumns({"buy_v": F.col("last_sz") * F.col("p_buy"), "sell_v": F.col("last_sz") * (1 - F.col("p_buy"))}).drop("sd", "next_sd", "all_sd")
 
 
 def volume_buckets(classed: DataFrame, key: str, bucket_size: float | None = None) -> DataFrame:
     """Append ``bucket``, the number of full buckets of cumulative volume; by default 20 trades' volume each."""
+    classed = written(classed)  # read three times
     rows = running_sum(classed, key, "ms", "seq", "last_sz", "cum_v")
     if bucket_size is None:
         sizes = classed.groupBy(key).agg((F.sum("last_sz") / F.greatest(F.count("*") / 20.0, F.lit(1.0))).alias("bucket_size"))
@@ -45,39 +51,47 @@ def bucket_imbalance(rows: DataFrame, key: str) -> DataFrame:
 
 def vpin(trades: DataFrame, key: str, bucket_size: float | None = None, window: int = 50) -> DataFrame:
     """Trades with ``vpin``: the mean imbalance of the last ``window`` volume buckets."""
-    rows = volume_buckets(volume_classes(trades, key), key, bucket_size)
-    means = bucket_imbalance(rows, key).select(key, "bucket", F.avg("imbalance").over(before(window, key, "bucket")).alias("vpin"))
-    return rows.join(means, [key, "bucket"]).withColumn("vpin", F.coalesce("vpin", F.lit(0.0)))
+    rows = written(volume_buckets(volume_classes(trades, key), key, bucket_size))
+    mean = lambda b, w: b.withColumn("vpin", F.avg("imbalance").over(w.rowsBetween(-(window - 1), 0)))
+    means = in_blocks(bucket_imbalance(rows, key), key, "bucket", "bucket", mean, back=window, chunk_ms=BLOCK_ROWS)
+    return rows.join(means.select(key, "bucket", "vpin"), [key, "bucket"]).withColumn("vpin", F.coalesce("vpin", F.lit(0.0)))
 
 
 def kyle_lambda(trades: DataFrame, key: str, window: int = 200, least: int = 10) -> DataFrame:
     """Rolling price impact per unit of signed volume; missing values take the last one, then 0."""
-    w, frame = by(key, "ms", "seq"), before(window, key, "ms", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("dp", F.abs((F.col("last_px") - F.lag("last_px").over(w)).cast("double")))
-    side = F.coalesce(F.last(F.when(F.col("last_side") != 0, F.col("last_side")), ignorenulls=True).over(upto), F.lit(0))
-    rows = rows.withColumn("sv", (F.col("last_sz") * side).cast("double"))
-    num = if_enough(F.sum(F.col("dp") * F.abs("sv")).over(frame), F.count("dp").over(frame), least)
-    den = if_enough(F.sum(F.col("sv") * F.col("sv")).over(frame), F.count("sv").over(frame), least)
-    rows = rows.withColumn("raw", F.when(den != 0, num / den))
-    return rows.withColumn("kyle_lambda", F.coalesce(F.last("raw", ignorenulls=True).over(upto), F.lit(0.0))).drop("raw", "sv", "dp")
+    rows = trades.withColumn("known_side", F.when(F.col("last_side") != 0, F.col("last_side")))
+    rows = last_known(rows, key, "ms", "seq", "known_side", "side")
+    rows = rows.withColumn("sv", (F.col("last_sz") * F.coalesce("side", F.lit(0))).cast("double"))
+
+    def impact(rows: DataFrame, w) -> DataFrame:
+        frame = w.rowsBetween(-(window - 1), 0)
+        rows = rows.withColumn("dp", F.abs((F.col("last_px") - F.lag("last_px").over(w)).cast("double")))
+        num = if_enough(F.sum(F.col("dp") * F.abs("sv")).over(frame), F.count("dp").over(frame), least)
+        den = if_enough(F.sum(F.col("sv") * F.col("sv")).over(frame), F.count("sv").over(frame), least)
+        return rows.withColumn("raw", F.when(den != 0, num / den))
+
+    rows = last_known(written(in_blocks(rows, key, "ms", "seq", impact, back=window)), key, "ms", "seq", "raw", "kyle_lambda")
+    return rows.withColumn("kyle_lambda", F.coalesce("kyle_lambda", F.lit(0.0))).drop("raw", "sv", "dp", "side", "known_side")
 
 
 def volatility(tob: DataFrame, key: str, rv_window: int = 100, vr_window: int = 200, q: int = 4) -> DataFrame:
     """rv (sum of squared log returns, 5 at least) and vr (variance ratio at lag q, 10 at least)."""
-    w = by(key, "ms", "seq")
-    rows = tob.withColumns({"r1": F.log(F.col("mid") / F.lag("mid").over(w)), "rq": F.log(F.col("mid") / F.lag("mid", q).over(w))})
-    a, b = before(rv_window, key, "ms", "seq"), before(vr_window, key, "ms", "seq")
-    v1 = if_enough(F.var_samp("r1").over(b), F.count("r1").over(b), 10)
-    vq = if_enough(F.var_samp("rq").over(b), F.count("rq").over(b), 10)
-    return rows.withColumns({"rv": if_enough(F.sum(F.col("r1") * F.col("r1")).over(a), F.count("r1").over(a), 5), "vr": F.when(v1 > 0, vq / (q * v1))}).drop("r1", "rq")
+
+    def measures(rows: DataFrame, w) -> DataFrame:
+        rows = rows.withColumns({"r1": F.log(F.col("mid") / F.lag("mid").over(w)), "rq": F.log(F.col("mid") / F.lag("mid", q).over(w))})
+        a, b = w.rowsBetween(-(rv_window - 1), 0), w.rowsBetween(-(vr_window - 1), 0)
+        v1 = if_enough(F.var_samp("r1").over(b), F.count("r1").over(b), 10)
+        vq = if_enough(F.var_samp("rq").over(b), F.count("rq").over(b), 10)
+        return rows.withColumns({"rv": if_enough(F.sum(F.col("r1") * F.col("r1")).over(a), F.count("r1").over(a), 5), "vr": F.when(v1 > 0, vq / (q * v1))}).drop("r1", "rq")
+
+    return in_blocks(tob, key, "ms", "seq", measures, back=max(rv_window, vr_window) + q)
 
 
 def calibrate(tob: DataFrame, trades: DataFrame, key: str, default_kappa: float = 500.0) -> DataFrame:
     """Per key: tick, sigma (price units a step) and kappa (decay of buy prints with distance from the ask)."""
     spread = F.col("ask_px") - F.col("bid_px")
-    r = F.log(F.col("mid") / F.lag("mid").over(by(key, "ms", "seq")))
-    base = tob.withColumns({"r": r, "spread": spread}).groupBy(key).agg(
+    r = F.log(F.col("mid") / F.col("prev_mid"))
+    base = previous(tob, key, "ms", "seq", ["mid"]).withColumns({"r": r, "spread": spread}).groupBy(key).agg(
         F.min(F.when(F.col("spread") > 0, F.col("spread").cast("double"))).alias("least"),
         F.stddev_samp("r").alias("sd"), F.max_by("mid", F.struct("ms", "seq")).alias("last_mid"),
     )

@@ -2,15 +2,21 @@
 
 A key may hold a third of all rows, so a running value over a key is computed inside (key, chunk)
 windows, where a chunk is a span of time, and carried over chunks in a table of one row per key and
-chunk. Every order ends with a sequence column, as Spark keeps no arrival order.
+chunk. Frames of a bounded number of rows work in blocks of a key's rows, each with copies of the rows
+at its borders that its frames reach. Every order ends with a sequence column, as Spark keeps no
+arrival order. Rows whose key or time is null are not returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+#: Rows of a block of a key, or as many as a frame reaches.
+BLOCK_ROWS = 1 << 17
 
 
 def by(keys, *order):
@@ -52,6 +58,42 @@ def previous(df: DataFrame, key: str, ms: str, seq: str, columns: list[str], chu
     return rows.withColumns({f"prev_{c}": took[c] for c in columns}).drop("_chunk", "_in", "_nth", "_carry")
 
 
+def numbered(df: DataFrame, key: str, ms: str, seq: str, name: str, chunk_ms: int = DAY_MS) -> DataFrame:
+    """Append the position (from 0) of each row in its key's (ms, seq) order: a number in the chunk plus the rows of the chunks before."""
+    rows = df.withColumn("_chunk", F.expr(f"{ms} div {chunk_ms}L"))
+    counts = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_all"))
+    carried = counts.select(key, "_chunk", F.coalesce(F.sum("_all").over(by(key, "_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
+    rows = rows.withColumn(name, F.row_number().over(by([key, "_chunk"], ms, seq)) - 1).join(carried, [key, "_chunk"])
+    return rows.withColumn(name, F.col(name) + F.col("_carry")).drop("_chunk", "_carry")
+
+
+def in_blocks(df: DataFrame, key: str, ms: str, seq: str, append: Callable, back: int = 0, ahead: int = 0, chunk_ms: int = DAY_MS) -> DataFrame:
+    """``append(rows, w)`` where ``w`` is the key's (ms, seq) order and no frame reaches over ``back`` rows back or ``ahead`` rows on.
+
+    Rows are dealt into blocks by their position in the key; the last ``back`` rows of a block also go
+    to the next one and its first ``ahead`` rows to the one before, so windows stay inside blocks.
+    """
+    size = max(BLOCK_ROWS, back, ahead)
+    rows = numbered(df, key, ms, seq, "_pos", chunk_ms)
+    own, at = F.expr(f"_pos div {size}"), F.col("_pos") % size
+    more = [F.when(at >= size - back, own + 1)] * (back > 0) + [F.when((at < ahead) & (own > 0), own - 1)] * (ahead > 0)
+    rows = rows.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(F.array(own, *more))))
+    return append(rows, by([key, "_block"], "_pos")).where("_block = _own").drop("_pos", "_own", "_block")
+
+
+def last_known(df: DataFrame, key: str, ms: str, seq: str, column: str, name: str, backward: bool = False, chunk_ms: int = DAY_MS) -> DataFrame:
+    """Append the last value of ``column`` that is not null up to the row, or, ``backward``, the first one from the row on."""
+    rows = df.withColumn("_chunk", F.expr(f"{ms} div {chunk_ms}L"))
+    turn = (lambda c: F.col(c).desc()) if backward else F.col
+    edge = F.min_by if backward else F.max_by
+    ends = rows.groupBy(key, "_chunk").agg(edge(column, F.when(F.col(column).isNotNull(), F.struct(ms, seq))).alias("_end"))
+    chunks = by(key, turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(key, "_chunk", F.last("_end", ignorenulls=True).over(chunks).alias("_carry"))
+    inside = by([key, "_chunk"], turn(ms), turn(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.last(column, ignorenulls=True).over(inside)).join(ends, [key, "_chunk"])
+    return rows.withColumn(name, F.coalesce("_in", "_carry")).drop("_chunk", "_in", "_carry")
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, ms: str, columns: list[str], *, seq: str = "seq", ties: bool = True, forward: bool = False, chunk_ms: int = DAY_MS) -> DataFrame:
     """Each row of ``left`` with ``columns`` of the last row of ``right`` at or before its time.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fills as fl
-from ..operators import models, quality
+from ..operators import bins, models, quality
 from ..operators.windows import asof
 from ..sources import readers
 from . import views as v
@@ -93,11 +93,14 @@ SELECT product, seq, CASE WHEN count(*) OVER w = 20 THEN min(last_px) OVER w END
 FROM trades WINDOW w AS (PARTITION BY product ORDER BY ms, seq ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)"""))
 def w17_forward_hits(spark, sf_dir):
     """Whether the next 20 prints reach a level."""
-    from ..operators.windows import by
+    from ..operators.windows import in_blocks
 
-    w = by("product", "ms", "seq").rowsBetween(1, 20)
-    low = F.when(F.count("*").over(w) == 20, F.min("last_px").over(w))
-    return v.trades(spark, sf_dir).select("product", "seq", low.alias("low"), (low <= F.col("bid_px")).cast("int").alias("hit"))
+    def lows(rows, w):
+        w = w.rowsBetween(1, 20)
+        return rows.withColumn("low", F.when(F.count("*").over(w) == 20, F.min("last_px").over(w)))
+
+    rows = in_blocks(v.trades(spark, sf_dir), "product", "ms", "seq", lows, ahead=20)
+    return rows.select("product", "seq", "low", (F.col("low") <= F.col("bid_px")).cast("int").alias("hit"))
 
 
 @query(sql("fills book", """
@@ -164,12 +167,12 @@ SELECT CAST(len(list_filter(q, lambda x: x < fill_qty)) AS INTEGER) AS bucket, r
 def a14_edge_curve(spark, sf_dir):
     """Mean markout by quantile bin of a signal, bins closed on the right."""
     m = fl.markout_rows(v.fills(spark, sf_dir), v.book(spark, sf_dir), "product", [5])
-    edges = v.fills(spark, sf_dir).agg(F.array_distinct(F.percentile("fill_qty", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8))))).alias("q"))
+    edges = bins.exact_quantiles(v.fills(spark, sf_dir), [], [0.2, 0.4, 0.6, 0.8], "fill_qty").select(F.array_distinct("q").alias("q"))
     binned = m.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("q", lambda x: x < F.col("fill_qty"))))  # one row of edges
     return binned.groupBy("bucket").agg(F.round(F.avg("mkout_5"), 6).alias("mkout_5"), F.count("*").alias("n"))
 
 
-REPLAY = f"""WITH o AS (SELECT product, seq AS order_id, ms, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 5.0 + seq % 40 AS qty, CASE WHEN seq % 3 = 0 THEN CASE WHEN seq % 2 = 0 THEN ask ELSE bid END END AS limit_px FROM quotes WHERE seq % 4 = 0),
+REPLAY = f"""WITH o AS (SELECT product, seq AS order_id, ms, CASE WHEN seq % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 5.0 + seq % 40 AS qty, CASE WHEN seq % 3 = 0 THEN CASE WHEN seq % 2 = 0 THEN ask ELSE bid END END AS limit_px FROM quotes),
  t AS (SELECT o.*, b.ms AS t_ms, b.seq AS t_seq, bid_px, ask_px, CASE WHEN side = 'buy' THEN ask_px ELSE bid_px END AS px, CASE WHEN side = 'buy' THEN ask_sz ELSE bid_sz END AS sz FROM o JOIN book b ON o.product = b.product AND b.ms BETWEEN o.ms AND o.ms + {H}),
  c AS (SELECT *, CASE WHEN sz <= 0 THEN qty ELSE greatest(1.0, sz * 0.1) END AS cap FROM t WHERE limit_px IS NULL OR CASE WHEN side = 'buy' THEN px <= limit_px ELSE px >= limit_px END),
  u AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY order_id ORDER BY t_ms, t_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM c),
@@ -177,7 +180,7 @@ REPLAY = f"""WITH o AS (SELECT product, seq AS order_id, ms, CASE WHEN seq % 2 =
 
 
 def replayed(spark, sf_dir):
-    q = v.quotes(spark, sf_dir).where("seq % 4 = 0")  # the orders of this view
+    q = v.quotes(spark, sf_dir)  # every quote is an order
     buy = F.col("seq") % 2 == 0
     orders = q.select("product", F.col("seq").alias("order_id"), "ms", F.when(buy, "buy").otherwise("sell").alias("side"), (5.0 + F.col("seq") % 40).alias("qty"), F.when(F.col("seq") % 3 == 0, F.when(buy, F.col("ask")).otherwise(F.col("bid"))).alias("limit_px"))
     return fl.replay_orders(orders, v.book(spark, sf_dir), "product", H)
@@ -209,16 +212,17 @@ def a34_strategy_summary(spark, sf_dir):
 @query(sql("ticks", "SELECT product, round(quantile_cont(bid_sz, 0.5), 6) AS p50, round(quantile_cont(bid_sz, 0.9), 6) AS p90, round(quantile_cont(bid_sz, 0.99), 6) AS p99 FROM ticks GROUP BY product"))
 def a28_latency(spark, sf_dir):
     """Percentiles of a latency column per group."""
-    p = F.percentile("bid_sz", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return v.ticks(spark, sf_dir).groupBy("product").agg(p.alias("p")).select("product", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p90"), F.round(F.col("p")[2], 6).alias("p99"))
+    p = bins.exact_quantiles(v.ticks(spark, sf_dir), ["product"], [0.5, 0.9, 0.99], "bid_sz")
+    return p.select("product", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p50", "p90", "p99"))])
 
 
 @query(sql("ticks", "SELECT inst, seq, round(quantile_cont(bid_sz, 0.9) OVER (PARTITION BY inst ORDER BY ms, seq ROWS 49 PRECEDING), 6) AS p90 FROM ticks"))
 def w30_rolling_latency(spark, sf_dir):
     """Rolling percentiles."""
-    from ..operators.windows import before
+    from ..operators.windows import in_blocks
 
-    return v.ticks(spark, sf_dir).select("inst", "seq", F.round(F.percentile("bid_sz", 0.9).over(before(50, "inst", "ms", "seq")), 6).alias("p90"))
+    p90 = lambda rows, w: rows.withColumn("p90", F.round(F.percentile("bid_sz", 0.9).over(w.rowsBetween(-49, 0)), 6))
+    return in_blocks(v.ticks(spark, sf_dir), "inst", "ms", "seq", p90, back=50).select("inst", "seq", "p90")
 
 
 @query(sql("ticks", """

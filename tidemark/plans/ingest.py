@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import readers, sinks
+from ..sources.shared import new_path as scratch
 from . import ticks as tk
 from . import views as v
 from .registry import query
 from .views import sql
 
 
-def scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def messages(spark, sf_dir):
     t = v.ticks(spark, sf_dir)
     level = lambda side, px, sz: F.struct(F.lit(side).alias("side"), F.col(px).cast("string").alias("price_level"), F.col(sz).cast("string").alias("new_quantity"))

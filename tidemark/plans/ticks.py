@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market
 from ..operators import bins, features, toxicity
+from ..sources.shared import written
 from . import views as v
 from .registry import query
 from .views import cdf_sql, sql
@@ -27,7 +28,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, n: int = N) -> tuple[DataFrame, DataFrame]:
-    rows = feature_table(spark, sf_dir)
+    rows = written(feature_table(spark, sf_dir).select("inst", "seq", *FEATURES))  # the fit and the encoding read it
     return rows, bins.quantile_edges(rows, QUANTILE, n).unionByName(bins.log_edges(rows, LOG, n))
 
 
@@ -44,10 +45,10 @@ def w1_returns(spark, sf_dir):
 @query(sql("ticks", """
 SELECT inst, seq, round(CASE WHEN bid_px > 0 AND lag(m) OVER w > 0 THEN ln(m / lag(m) OVER w) ELSE 0 END, 6) AS ret,
   greatest(coalesce(CAST(ms - lag(ms) OVER w AS DOUBLE), 0.0), 1.0) AS inter_arrival_ms
-FROM (SELECT *, (bid_px + ask_px) / 2 AS m FROM ticks WHERE bid_px > 20 AND bid_px > 0 AND ask_px > 0) WINDOW w AS (PARTITION BY inst ORDER BY ms, seq)"""))
+FROM (SELECT *, (bid_px + ask_px) / 2 AS m FROM ticks WHERE bid_px > 0 AND ask_px > 0) WINDOW w AS (PARTITION BY inst ORDER BY ms, seq)"""))
 def w28_refit_stream(spark, sf_dir):
     """Returns against the last valid mid with a floor of 1 ms."""
-    rows = features.base_features(features.valid_quotes(v.ticks(spark, sf_dir).where("bid_px > 20")))
+    rows = features.base_features(features.valid_quotes(v.ticks(spark, sf_dir)))
     return features.returns(rows, "inst", least_gap=1.0).select("inst", "seq", *r6("ret"), "inter_arrival_ms")
 
 
@@ -86,8 +87,8 @@ def w3_forward_labels(spark, sf_dir):
 SELECT inst, seq, ms, prev_ms FROM (SELECT inst, seq, ms, lag(ms) OVER (PARTITION BY inst ORDER BY seq % 1000, seq) AS prev_ms FROM ticks) WHERE prev_ms > ms"""))
 def w24_out_of_order(spark, sf_dir):
     """Arrivals with an earlier time than the one before (arrival order stirred on purpose)."""
-    stirred = v.ticks(spark, sf_dir).withColumn("arrival", F.struct(F.col("seq") % 1000, F.col("seq")))
-    return features.out_of_order(stirred, "inst", seq="arrival").select("inst", "seq", "ms", "prev_ms")
+    stirred = v.ticks(spark, sf_dir).withColumn("arrival", F.col("seq") % 1000)
+    return features.out_of_order(stirred, "inst", "arrival", "seq").select("inst", "seq", "ms", "prev_ms")
 
 
 @query(sql("ticks", "SELECT inst, seq, nth FROM (SELECT inst, seq, row_number() OVER (PARTITION BY inst ORDER BY ms, seq) AS nth FROM ticks) WHERE nth % 5 = 0 AND nth >= 20"))
@@ -184,7 +185,7 @@ def f14_bucketise(spark, sf_dir):
 SELECT inst, seq, CAST(len(list_filter(e, lambda b: b < mid)) AS INTEGER) AS bucket FROM feat, i WHERE i.feature = 'mid'"""))
 def f15_bucketise_left(spark, sf_dir):
     """buckets whose edges belong to the left."""
-    rows = feature_table(spark, sf_dir)
+    rows = written(feature_table(spark, sf_dir).select("inst", "seq", "mid"))
     edges = bins.collect_edges(bins.quantile_edges(rows, ["mid"], N))["mid"][1]
     return rows.select("inst", "seq", bins.bucket(F.col("mid"), edges, left=True).alias("bucket"))
 
@@ -194,7 +195,7 @@ def f15_bucketise_left(spark, sf_dir):
 SELECT inst, seq, round(CASE WHEN code = 0 THEN e[2] - (e[3] - e[2]) WHEN code = {N - 1} THEN e[{N}] + (e[{N}] - e[{N - 1}]) ELSE (e[code + 1] + e[code + 2]) / 2 END, 6) AS mid_point FROM c"""))
 def f16_decode(spark, sf_dir):
     """F16: bucket to midpoint, the outer ones extended."""
-    rows = feature_table(spark, sf_dir)
+    rows = written(feature_table(spark, sf_dir).select("inst", "seq", "mid"))
     edges = bins.quantile_edges(rows, ["mid"], N).select("edges")
     coded = rows.join(F.broadcast(edges)).withColumn("code", bins.bucket(F.col("mid"), F.col("edges")))  # one row of edges
     return coded.select("inst", "seq", F.round(bins.midpoint(F.col("code"), F.col("edges")), 6).alias("mid_point"))
