@@ -35,16 +35,17 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
     return df.select(*keep, parts.alias("p")).select(*keep, "p.*").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < math.inf))
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float], value: str = "value") -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Column], value: str = "value") -> DataFrame:
     """(keys.., q, rows): quantiles at ``levels``, linear between ranks, and the number of values, per group.
 
     Equal values are counted first. A sketch cuts each group's values into ``MARKS`` spans of about
     equal count; ranks are sums inside a span plus the counts of the spans before, so no task holds a
-    group. The sketch only balances the work, the quantiles are exact. Nulls and NaN take no part.
+    group. The sketch only balances the work, the quantiles are exact. Nulls and NaN take no part. A
+    level may be a column over ``rows``, the place of a value in the order (from 0).
     """
     counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     marks = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"), F.sum("_n").alias("rows"))
-    h = [F.lit(p) * (F.col("rows") - 1) for p in levels]
+    h = [p.cast("double") if isinstance(p, Column) else F.lit(p) * (F.col("rows") - 1) for p in levels]
     marks = marks.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h]))))
     spans = (counts.join(marks, keys) if keys else counts.crossJoin(F.broadcast(marks))).withColumn("_span", F.size(F.filter("_marks", lambda m: m <= F.col("_v"))))  # without keys: one row
     sums = spans.groupBy(*keys, "_span").agg(F.sum("_n").alias("_all"))

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import by, previous
+from ..sources.shared import written
+from .bins import exact_quantiles
+from .windows import in_blocks, previous, running_sum
 
 
 def history_windows(tokens: DataFrame, key: str, rows: int = 16) -> DataFrame:
     """Features: tokens of the ``rows`` rows before, flattened; rows without a full history are left out."""
-    w = by(key, "ms", "seq").rowsBetween(-rows, -1)
-    out = tokens.withColumn("history", F.flatten(F.collect_list("tokens").over(w))).withColumn("_n", F.count("*").over(w))
-    return out.where(F.col("_n") == rows).drop("_n")
+
+    def histories(out: DataFrame, w) -> DataFrame:
+        w = w.rowsBetween(-rows, -1)
+        return out.withColumn("history", F.flatten(F.collect_list("tokens").over(w))).withColumn("_n", F.count("*").over(w))
+
+    return in_blocks(tokens, key, "ms", "seq", histories, back=rows).where(F.col("_n") == rows).drop("_n")
 
 
 def sliding_windows(rows: DataFrame, key: str, value: str, length: int) -> DataFrame:
     """All runs of ``length`` values per key but the last, T - length of them, by their start."""
-    w = by(key, "ms", "seq")
-    out = rows.withColumns({"window": F.collect_list(value).over(w.rowsBetween(0, length - 1)), "start": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(key))})
+    runs = lambda out, w: out.withColumns({"window": F.collect_list(value).over(w.rowsBetween(0, length - 1)), "start": F.col("_pos")})
+    out = in_blocks(rows, key, "ms", "seq", runs, ahead=length).join(rows.groupBy(key).agg(F.count("*").alias("_n")), key)
     return out.where(F.col("start") < F.col("_n") - length).select(key, "start", "window")
 
 
@@ -29,7 +34,8 @@ def pack_contexts(tokens: DataFrame, key: str, context: int, features: int) -> D
     twice; feature_offset is the feature that the first token belongs to.
     """
     size = F.size("tokens")
-    upto = F.sum(size).over(by(key, "ms", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    tokens = running_sum(tokens.withColumn("_size", size), key, "ms", "seq", "_size", "_upto")
+    upto = F.col("_upto")
     flat = tokens.withColumn("first", upto - size).select(key, "first", F.posexplode("tokens").alias("i", "token")).withColumn("pos", F.col("first") + F.col("i"))
     block = F.expr(f"pos div {context}L")
     own = F.when((F.col("pos") % context == 0) & (F.col("pos") > 0), F.array(block - 1, block)).otherwise(F.array(block))
@@ -45,7 +51,8 @@ def quality_weights(rows: DataFrame, shard: str, proximity: float = 1.0, iv_rank
     Medians, deviations and maxima are one aggregate per shard, joined back.
     """
     moved = previous(rows, shard, "ms", "seq", ["mid"]).withColumn("_d", F.coalesce(F.abs(F.col("mid") - F.col("prev_mid")), F.lit(0.0)))
-    stats = moved.groupBy(shard).agg(F.percentile("iv", 0.5).alias("_m"), F.max("last_sz").alias("_x"), F.stddev_pop("_d").alias("_s"))
+    medians = exact_quantiles(rows, [shard], [0.5], "iv").select(shard, F.col("q")[0].alias("_m"))
+    stats = moved.groupBy(shard).agg(F.max("last_sz").alias("_x"), F.stddev_pop("_d").alias("_s")).join(medians, shard, "left")
     rows = moved.join(stats, shard)
     filled = rows.withColumn("_iv", F.coalesce("iv", "_m"))
     rows = filled.join(filled.groupBy(shard).agg(F.stddev_samp("_iv").alias("_sd")), shard)
@@ -67,10 +74,13 @@ def weighted_order(rows: DataFrame, shard: str, key: str, seed: int = 0) -> Data
 
 
 def mass_concentration(weighted: DataFrame, shard: str, share: float = 0.1) -> DataFrame:
-    """Per shard the weight in its heaviest ``share`` of rows."""
-    n = F.count("*").over(Window.partitionBy(shard))
-    rows = weighted.withColumns({"nth": F.row_number().over(by(shard, F.col("weight").desc(), "seq")), "n": n})
-    return rows.where(F.col("nth") <= F.ceil(F.col("n") * share)).groupBy(shard).agg(F.sum("weight").alias("top_mass"))
+    """Per shard the weight in its heaviest ``share`` of rows: what lies over the last weight that counts, and as often that weight as rows are left."""
+    rows = written(weighted.select(shard, "weight"))
+    many = F.ceil(F.col("rows") * share)
+    last = exact_quantiles(rows, [shard], [F.col("rows") - many], "weight").select(shard, F.col("q")[0].alias("_last"), many.alias("_many"))
+    over = F.col("weight") > F.col("_last")
+    sums = rows.join(last, shard).groupBy(shard, "_last", "_many").agg(F.sum(F.when(over, F.col("weight")).otherwise(0.0)).alias("_over"), F.count(F.when(over, 1)).alias("_n"))
+    return sums.select(shard, (F.col("_over") + (F.col("_many") - F.col("_n")) * F.col("_last")).alias("top_mass"))
 
 
 def pick_days(ticks: DataFrame, days: DataFrame) -> DataFrame:
@@ -98,7 +108,7 @@ def shard_slices(rows: DataFrame, shard: str, world: int, seed: int = 0) -> Data
 
 def time_split(rows: DataFrame, ms: str = "ms", share: float = 0.8) -> DataFrame:
     """split = train up to the ``share`` quantile of time, eval after."""
-    cut = rows.agg(F.percentile(ms, share).alias("cut")).first()["cut"]
+    cut = exact_quantiles(rows, [], [share], ms).first()["q"][0]
     return rows.withColumn("split", F.when(F.col(ms) <= F.lit(cut), "train").otherwise("eval"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import before, by, if_enough
+from .windows import before, by, if_enough, in_blocks
 
 MARKET = "_MARKET_"
 
@@ -86,8 +86,10 @@ def lexicon_sentiment(items: DataFrame, lexicon: DataFrame, ident: str, text: st
 
 def mention_spikes(daily: DataFrame, window: int = 14, least: float = 2.0) -> DataFrame:
     """Tickers whose mentions on the last date stand ``least`` deviations over their trailing mean; absent days count 0."""
-    dates, names = daily.select("date").distinct(), daily.select("ticker").distinct()
-    dense = dates.join(names).join(daily.select("date", "ticker", "mentions"), ["date", "ticker"], "left").fillna(0, ["mentions"])
+    # a calendar of days, small by nature, is one array that each ticker lays open
+    calendar = daily.agg(F.collect_set("date").alias("days"))
+    dense = daily.select("ticker").distinct().join(F.broadcast(calendar)).select("ticker", F.explode("days").alias("date"))
+    dense = dense.join(daily.select("date", "ticker", "mentions"), ["date", "ticker"], "left").fillna(0, ["mentions"])
     z = rolling_z(dense, "ticker", "date", "mentions", window, "mention_z")
     return z.join(F.broadcast(daily.agg(F.max("date").alias("date"))), "date").where(F.col("mention_z") >= least).select("ticker", "mention_z")
 
@@ -99,10 +101,13 @@ def rolling_corr(rows: DataFrame, key: str, order: str, x: str, y: str, window:
 
 def probe_features(bars: DataFrame, key: str) -> DataFrame:
     """Features of a bar from what is known at it, and y = whether the next return is positive (null at the end)."""
-    w = by(key, "ms", "seq")
+    return in_blocks(bars, key, "ms", "seq", _probe_features, back=31, ahead=1)
+
+
+def _probe_features(bars: DataFrame, w) -> DataFrame:
     price = F.log(F.greatest(F.col("close"), F.lit(1e-9)))
     rows = bars.withColumn("lp", price).withColumn("r1", F.col("lp") - F.lag("lp").over(w))
-    f5, f15, f30 = (before(n, key, "ms", "seq") for n in (5, 15, 30))
+    f5, f15, f30 = (w.rowsBetween(-(n - 1), 0) for n in (5, 15, 30))
     full = lambda c, f, n, of: if_enough(c, F.count(of).over(f), n)
     ahead = F.lead("r1").over(w)
     return rows.withColumns(
@@ -111,7 +116,7 @@ def probe_features(bars: DataFrame, key: str) -> DataFrame:
             "rvol15": full(F.stddev_samp("r1").over(f15), f15, 15, "r1"),
             "vol_z": full((F.col("volume") - F.avg("volume").over(f30)) / (F.stddev_samp("volume").over(f30) + 1e-9), f30, 30, "volume"),
             "range": (F.col("high") - F.col("low")) / F.greatest(F.col("close"), F.lit(1e-9)),
-            "mom_sign": full(F.signum(F.sum("r1").over(f5)), f5, 5, "r1"),
+            "mom_sum": F.sum("r1").over(f5), "mom_sign": full(F.signum(F.sum("r1").over(f5)), f5, 5, "r1"),
             "minute": F.expr("cast((ms div 60000L) % 390 as int)"),
             "y": F.when(ahead.isNotNull(), (ahead > 0).cast("int")),
         }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import by
+from .windows import previous
 
 
 def finding(name: str, ok: Column, detail: Column, severity: str) -> Column:
@@ -14,9 +14,9 @@ def finding(name: str, ok: Column, detail: Column, severity: str) -> Column:
 
 def tick_findings(ticks: DataFrame, key: str) -> DataFrame:
     """Findings on raw ticks: order of arrival, session hours, crossed and zero quotes, share of trades."""
-    late = F.when(F.lag("ms").over(by(key, "seq")) > F.col("ms"), 1).otherwise(0)
+    late = F.when(F.col("prev_ms") > F.col("ms"), 1).otherwise(0)
     hour = F.expr("(ms div 3600000L) % 24")
-    rows = ticks.withColumns({"late": late, "outside": F.when((hour < 12) | (hour >= 22), 1).otherwise(0)})
+    rows = previous(ticks, key, "seq", "seq", ["ms"], 1 << 17).withColumns({"late": late, "outside": F.when((hour < 12) | (hour >= 22), 1).otherwise(0)})
     a = rows.agg(
         F.sum("late").alias("late"), F.avg("outside").alias("outside"), F.count(F.when(F.col("bid_px") > F.col("ask_px"), 1)).alias("crossed"),
         F.count(F.when(F.col("ask_px") <= 0, 1)).alias("zero_ask"), F.avg(F.when(F.col("trade_sz") > 0, 1.0).otherwise(0.0)).alias("trades"),
@@ -83,7 +83,10 @@ def metric_gate(metrics: DataFrame) -> DataFrame:
     step; six steps at least; train and validation at most 1 apart; accuracy in [0.53, 0.99).
     """
     back = Window.partitionBy("run").orderBy(F.col("step").desc())
-    rows = metrics.withColumns({"nth": F.row_number().over(back), "older": F.lead("val_loss").over(back), "steps": F.count("*").over(Window.partitionBy("run"))})
+    steps = metrics.groupBy("run").agg(F.count("*").alias("steps"))
+    # the last six steps of a run, which Spark finds before it shuffles; the sixth is only compared with
+    rows = metrics.withColumn("nth", F.row_number().over(back)).where("nth <= 6").join(steps, "run")
+    rows = rows.withColumn("older", F.lead("val_loss").over(back))
     last = rows.where("nth <= 5").groupBy("run").agg(
         F.max("steps").alias("steps"), F.bool_and(F.when(F.col("nth") < 5, F.col("val_loss") < F.col("older")).otherwise(True)).alias("falls"),
         F.regr_slope("val_loss", F.col("step").cast("double")).alias("slope"), F.avg("val_loss").alias("mean"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import gamma_cap_scale
-from .windows import by
+from .windows import DAY_MS, by, in_spans, running_sum
 
 # Margin coefficients where a table has none.
 DEFAULTS = {"k_gross": 0.05, "k_delta": 0.15, "k_vega": 1.2, "k_gamma": 0.001, "floor_dollars": 500.0, "tod_mult_power_hour": 1.2, "tod_mult_last_30": 1.5}
@@ -92,20 +92,27 @@ def can_place(positions: DataFrame, candidates: DataFrame, equity: DataFrame, ke
 
 def order_rates(orders: DataFrame, key: str, notional_cap: float, rate_cap: int, minute_ms: int = 60_000, second_ms: int = 1_000) -> DataFrame:
     """Notional of the last minute and orders of the last second, own row included, against caps."""
-    w = by(key, "ms")
-    rows = orders.withColumns({"notional_1m": F.sum("notional").over(w.rangeBetween(-minute_ms, 0)), "orders_1s": F.count("*").over(w.rangeBetween(-second_ms, 0))})
+
+    def rates(rows: DataFrame, w) -> DataFrame:
+        return rows.withColumns({"notional_1m": F.sum("notional").over(w.rangeBetween(-minute_ms, 0)), "orders_1s": F.count("*").over(w.rangeBetween(-second_ms, 0))})
+
+    rows = in_spans(orders, key, "ms", rates, max(minute_ms, second_ms))
     return rows.withColumns({"velocity_ok": F.col("notional_1m") <= notional_cap, "rate_ok": F.col("orders_1s") <= rate_cap})
 
 
-def budget_prefix(items: DataFrame, order: list[str], cost: str, budget: float, key: str | None = None) -> DataFrame:
-    """Running cost in order and whether the item still fits."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = items.withColumn("running_cost", F.sum(cost).over(w))
-    return rows.withColumn("status", F.when(F.col("running_cost") <= budget, "OK").otherwise("OVER"))
+def budget_prefix(items: DataFrame, order: str, tie: str, cost: str, budget: float, key: str | None = None, chunk: int = DAY_MS) -> DataFrame:
+    """Running cost in the order of the number ``order``, then ``tie``, and whether the item still fits; summed in chunks of ``order``."""
+    name = key or "_all_items"
+    rows = running_sum(items if key else items.withColumn(name, F.lit(0)), name, order, tie, cost, "running_cost", chunk)
+    rows = rows.withColumn("status", F.when(F.col("running_cost") <= budget, "OK").otherwise("OVER"))
+    return rows if key else rows.drop(name)
 
 
 def l1_projection(weights: DataFrame, key: str, name: str, value: str, radius: float) -> DataFrame:
-    """Weights projected onto the L1 ball of ``radius`` per key: sorted by size, the threshold shrinks all."""
+    """Weights projected onto the L1 ball of ``radius`` per key: sorted by size, the threshold shrinks all.
+
+    A key's weights are one portfolio and are sorted together.
+    """
     w = by(key, F.abs(value).desc(), name)
     rows = weights.withColumns({"_nth": F.row_number().over(w), "_sum": F.sum(F.abs(value)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     whole = Window.partitionBy(key)

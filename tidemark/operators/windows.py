@@ -81,6 +81,15 @@ def in_blocks(df: DataFrame, key: str, ms: str, seq: str, append: Callable, back
     return append(rows, by([key, "_block"], "_pos")).where("_block = _own").drop("_pos", "_own", "_block")
 
 
+def in_spans(df: DataFrame, key: str, ms: str, append: Callable, back_ms: int, chunk_ms: int = DAY_MS) -> DataFrame:
+    """``append(rows, w)`` where ``w`` is the key's time order and no frame reaches over ``back_ms`` back: spans of time, each with copies of the rows that end the one before."""
+    size = max(chunk_ms, back_ms)
+    own = F.expr(f"{ms} div {size}L")
+    rows = df.withColumn("_own", own)
+    rows = rows.withColumn("_block", F.explode(F.array_compact(F.array(F.col("_own"), F.when(F.col(ms) - F.col("_own") * size >= size - back_ms, F.col("_own") + 1)))))
+    return append(rows, by([key, "_block"], ms)).where("_block = _own").drop("_own", "_block")
+
+
 def last_known(df: DataFrame, key: str, ms: str, seq: str, column: str, name: str, backward: bool = False, chunk_ms: int = DAY_MS) -> DataFrame:
     """Append the last value of ``column`` that is not null up to the row, or, ``backward``, the first one from the row on."""
     rows = df.withColumn("_chunk", F.expr(f"{ms} div {chunk_ms}L"))

@@ -153,7 +153,9 @@ def a15_roots(spark, sf_dir):
     return v.ticks(spark, sf_dir).groupBy(F.col("event_type").alias("root")).agg(F.count("*").alias("n")).withColumn("unexpected", ~F.col("root").isin("view", "click", "purchase"))
 
 
-@query()
+@query(sql("ticks", f"""WITH {TOK}, a AS (SELECT count(*) AS n, min(len(tokens)) AS least, max(len(tokens)) AS most, count(*) FILTER (strftime(make_timestamp(ms * 1000), '%Y-%m-%d') = '2024-01-01') AS there FROM tok)
+SELECT 'rows' AS name, n > 0 AS ok, CAST(n AS VARCHAR) AS detail, 'fail' AS severity FROM a UNION ALL SELECT 'token_length', least = 3 AND most = 3, concat_ws('-', least, most), 'fail' FROM a
+UNION ALL SELECT 'day_coverage', there > 0, CASE WHEN there > 0 THEN '' ELSE '2024-01-01' END, 'warn' FROM a"""))
 def a16_shard_findings(spark, sf_dir):
     """Findings on a token table."""
     rows = token_rows(spark, sf_dir).withColumn("day", F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd"))
@@ -161,19 +163,20 @@ def a16_shard_findings(spark, sf_dir):
 
 
 @query(sql("", """
-WITH r AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS run, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS step, o_orderkey FROM orders),
- m AS (SELECT run, step, 5.0 - step * 0.01 * (CAST(run AS INTEGER) % 3) AS val_loss, 4.9 - step * 0.01 - CASE WHEN run = '7' THEN 3 ELSE 0 END AS train_loss, 0.5 + (CAST(run AS INTEGER) % 5) * 0.02 AS accuracy FROM r WHERE step <= 8 + CAST(run AS INTEGER) % 4 - CASE WHEN run = '4' THEN 8 ELSE 0 END),
+WITH r AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o_orderkey) AS step FROM (SELECT CASE WHEN o_orderkey <= 4 THEN 20 ELSE o_custkey % 20 END AS k, o_orderkey FROM orders)),
+ m AS (SELECT CAST(k AS VARCHAR) AS run, step, 5.0 - (step % 400) * 0.01 * (k % 3) / 2 AS val_loss, 4.9 - (step % 400) * 0.01 - CASE WHEN k = 7 THEN 3 ELSE 0 END AS train_loss, 0.5 + (k % 5) * 0.02 AS accuracy FROM r),
  w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS nth, lead(val_loss) OVER (PARTITION BY run ORDER BY step DESC) AS older, count(*) OVER (PARTITION BY run) AS steps FROM m),
  l AS (SELECT run, max(steps) AS steps, bool_and(CASE WHEN nth < 5 THEN val_loss < older ELSE true END) AS falls, regr_slope(val_loss::DOUBLE, step::DOUBLE) AS slope, avg(val_loss) AS mean, arg_max(train_loss, step) AS tr, arg_max(val_loss, step) AS va, arg_max(accuracy, step) AS acc FROM w WHERE nth <= 5 GROUP BY 1)
 SELECT run, concat_ws(',', CASE WHEN steps < 6 THEN 'too_few_steps' END, CASE WHEN NOT falls OR -slope / mean < 1e-3 THEN 'not_falling' END, CASE WHEN abs(va - tr) > 1 THEN 'gap' END, CASE WHEN acc < 0.53 OR acc >= 0.99 THEN 'accuracy' END) AS reasons FROM l"""))
 def a36_metric_gate(spark, sf_dir):
     """Reasons against going on with a run."""
-    from ..operators.windows import by
+    from ..operators.windows import numbered
 
-    run = (F.col("o_custkey") % 20).cast("int")
-    r = v.table(spark, sf_dir, "orders").select(run.alias("k"), "o_orderkey").withColumn("step", F.row_number().over(by("k", "o_orderkey")))
-    r = r.where(F.col("step") <= 8 + F.col("k") % 4 - F.when(F.col("k") == 4, 8).otherwise(0))
-    m = r.select(F.col("k").cast("string").alias("run"), "step", (5.0 - F.col("step") * 0.01 * (F.col("k") % 3)).alias("val_loss"), (4.9 - F.col("step") * 0.01 - F.when(F.col("k") == 7, 3).otherwise(0)).alias("train_loss"), (0.5 + (F.col("k") % 5) * 0.02).alias("accuracy"))
+    run = F.when(F.col("o_orderkey") <= 4, 20).otherwise(F.col("o_custkey") % 20).cast("int")
+    orders = v.table(spark, sf_dir, "orders").select(run.alias("k"), "o_orderkey")
+    r = numbered(orders, "k", "o_orderkey", "o_orderkey", "step", 1 << 17).withColumn("step", F.col("step") + 1)
+    down = (F.col("step") % 400) * 0.01
+    m = r.select(F.col("k").cast("string").alias("run"), "step", (5.0 - down * (F.col("k") % 3) / 2).alias("val_loss"), (4.9 - down - F.when(F.col("k") == 7, 3).otherwise(0)).alias("train_loss"), (0.5 + (F.col("k") % 5) * 0.02).alias("accuracy"))
     return quality.metric_gate(m).select("run", F.array_join("reasons", ",").alias("reasons"))
 
 

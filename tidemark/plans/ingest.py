@@ -35,38 +35,41 @@ def s7_trade_messages(spark, sf_dir):
     return readers.trade_messages(raw).select("product_id", "seq", "last_px", "last_sz", "last_side")
 
 
-@query(sql("items", "SELECT CAST(item AS VARCHAR) AS id, source AS subreddit, left(text, 20) AS title, item % 50 AS score FROM items"))
+@query(sql("items", "SELECT CAST(item AS VARCHAR) AS id, source AS subreddit, coalesce(text, '') AS title, item % 50 AS score FROM items"))
 def s6_posts(spark, sf_dir):
     """Listing posts from landed JSON."""
     i = v.items(spark, sf_dir)
-    post = F.struct(F.struct(F.col("item").cast("string").alias("id"), F.substring("text", 1, 20).alias("title"), (F.col("item") % 50).alias("score"), F.col("source").alias("subreddit")).alias("data"))
+    post = F.struct(F.struct(F.col("item").cast("string").alias("id"), F.col("text").alias("title"), (F.col("item") % 50).alias("score"), F.col("source").alias("subreddit")).alias("data"))
     raw = i.select(F.to_json(F.struct(F.struct(F.array(post).alias("children")).alias("data"))).alias("value"))
     return readers.posts(raw).select("id", "subreddit", "title", "score")
 
 
-@query(sql("items", "SELECT source, left(text, 20) AS title, url, CAST(day AS VARCHAR) AS published FROM items"))
+@query(sql("items", "SELECT source, coalesce(text, '') AS title, url, CAST(day AS VARCHAR) AS published FROM items"))
 def s6_articles(spark, sf_dir):
     """Articles from landed JSON."""
     i = v.items(spark, sf_dir)
-    a = F.struct(F.substring("text", 1, 20).alias("title"), F.col("url").alias("url"), F.col("day").cast("string").alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
+    a = F.struct(F.col("text").alias("title"), F.col("url").alias("url"), F.col("day").cast("string").alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
     return readers.articles(i.select(F.to_json(F.struct(F.array(a).alias("articles"))).alias("value"))).select("source", "title", "url", "published")
 
 
-@query(sql("items", "SELECT CAST(item AS VARCHAR) AS id, left(text, 20) AS text, item % 9 AS likes, 0 AS retweets FROM items"))
+@query(sql("items", "SELECT CAST(item AS VARCHAR) AS id, text AS text, item % 9 AS likes, 0 AS retweets FROM items"))
 def s6_tweets(spark, sf_dir):
     """Short posts with counts from landed JSON; missing counts are 0."""
     i = v.items(spark, sf_dir)
-    t = F.struct(F.col("item").cast("string").alias("id"), F.substring("text", 1, 20).alias("text"), F.struct((F.col("item") % 9).alias("like_count")).alias("public_metrics"))
+    t = F.struct(F.col("item").cast("string").alias("id"), F.col("text").alias("text"), F.struct((F.col("item") % 9).alias("like_count")).alias("public_metrics"))
     return readers.tweets(i.select(F.to_json(F.struct(F.array(t).alias("data"))).alias("value"))).select("id", "text", "likes", F.col("retweets").cast("int").alias("retweets"))
 
 
-@query(sql("options", "SELECT 'O:' || contract AS ticker, round(s, 2) AS strike, CASE WHEN contract % 2 = 0 THEN 'C' ELSE 'P' END AS cp_flag, round(sigma, 4) AS iv FROM options"))
-def s6_chain(spark, sf_dir):
-    """S6 ST12: option-chain snapshots from landed JSON."""
+def chain_messages(spark, sf_dir):
     o = v.options(spark, sf_dir)
     d = F.struct(F.concat(F.lit("O:"), F.col("contract").cast("string")).alias("ticker"), F.round("s", 2).alias("strike_price"), F.when(F.col("contract") % 2 == 0, "call").otherwise("put").alias("contract_type"))
-    raw = o.select(F.to_json(F.struct(F.array(F.struct(d.alias("details"), F.round("sigma", 4).alias("implied_volatility"))).alias("results"))).alias("value"))
-    return readers.chain_snapshots(raw).select("ticker", "strike", "cp_flag", "iv")
+    return o.select(F.to_json(F.struct(F.array(F.struct(d.alias("details"), F.round("sigma", 4).alias("implied_volatility"))).alias("results"))).alias("value"))
+
+
+@query(sql("options", "SELECT 'O:' || contract AS ticker, round(s, 2) AS strike, CASE WHEN contract % 2 = 0 THEN 'C' ELSE 'P' END AS cp_flag, round(sigma, 4) AS iv FROM options"))
+def s6_chain(spark, sf_dir):
+    """Option-chain snapshots from landed JSON."""
+    return readers.chain_snapshots(chain_messages(spark, sf_dir)).select("ticker", "strike", "cp_flag", "iv")
 
 
 SYM = "p_partkey, rpad('SPX', 6, ' ') || '2401' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END || lpad(CAST(p_partkey * 500 AS VARCHAR), 8, '0')"

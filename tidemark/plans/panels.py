@@ -194,9 +194,8 @@ SELECT round(accuracy, 6) AS accuracy, round(always_up, 6) AS always_up, round(m
  CASE WHEN accuracy >= 0.53 THEN 'signal' WHEN accuracy >= 0.51 THEN 'weak' ELSE 'none' END AS verdict FROM a"""))
 def a27_verdict(spark, sf_dir):
     """A probe's accuracy against a coin and baselines."""
-    w = by("inst", "ms", "seq").rowsBetween(-4, 0)
     rows = panel.probe_features(bars(spark, sf_dir), "inst")
-    rows = rows.withColumns({"pred": (F.col("seq") % 2).cast("int"), "momentum": F.when(F.sum("r1").over(w) > 1e-12, 1).otherwise(0)}).where("y is not null and mom_sign is not null")
+    rows = rows.withColumns({"pred": (F.col("seq") % 2).cast("int"), "momentum": F.when(F.col("mom_sum") > 1e-12, 1).otherwise(0)}).where("y is not null and mom_sign is not null")
     return quality.probe_verdict(rows).select(*r6("accuracy", "always_up", "momentum_accuracy"), "n", *r6("z", "base_rate"), "verdict")
 
 

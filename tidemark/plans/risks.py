@@ -81,7 +81,7 @@ def w26_order_rates(spark, sf_dir):
 @query(sql("ticks", "SELECT product, seq, sum(bid_sz) OVER (PARTITION BY product ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS running_cost, CASE WHEN sum(bid_sz) OVER (PARTITION BY product ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) <= 1000 THEN 'OK' ELSE 'OVER' END AS status FROM ticks"))
 def w25_budget(spark, sf_dir):
     """Running cost against a budget."""
-    return risk.budget_prefix(v.ticks(spark, sf_dir), ["ms", "seq"], "bid_sz", 1000.0, "product").select("product", "seq", "running_cost", "status")
+    return risk.budget_prefix(v.ticks(spark, sf_dir), "ms", "seq", "bid_sz", 1000.0, "product").select("product", "seq", "running_cost", "status")
 
 
 @query(sql("positions", """WITH w AS (SELECT account, contract, sum(qty) / 50 AS x FROM positions GROUP BY 1, 2),

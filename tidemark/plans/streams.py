@@ -19,13 +19,8 @@ def event_stream(spark, sf_dir):
 
 
 def stream_view(spark, sf_dir, view):
-    """A market view over the event stream: the views read one table, here the stream takes its place."""
-    live = event_stream(spark, sf_dir)
-    table, v.table = v.table, lambda s, d, n: live if n == "events" else table(s, d, n)
-    try:
-        return view(spark, sf_dir)
-    finally:
-        v.table = table
+    """A market view over the event stream."""
+    return view(spark, v.Live(sf_dir, {"events": event_stream(spark, sf_dir)}))
 
 
 def finished(spark, stream, mode="append"):
@@ -83,7 +78,7 @@ def st1_stream_book(spark, sf_dir):
 
     with_state(spark)
     raw = stream_view(spark, sf_dir, messages)
-    return finished(spark, stateful.stream_book(book_messages(raw).select("product_id", "ms", "seq", "event_no", "update_no", "side", "price", "size")))
+    return finished(spark, stateful.stream_book(book_messages(raw).select("product_id", "ms", "seq", "event_type", "event_no", "update_no", "side", "price", "size")))
 
 
 @query()
@@ -95,7 +90,10 @@ def st7_order_gate(spark, sf_dir):
     return finished(spark, stateful.stream_gate(orders))
 
 
-@query()
+@query(sql("ticks", """
+WITH r AS (SELECT CAST(inst % 10 AS VARCHAR) AS product, ms, seq, i, [CAST(bid_px AS INTEGER) % 64, CAST(ask_px AS INTEGER) % 64, CAST(bid_sz AS INTEGER) % 64][i] AS token FROM ticks, range(1, 4) t(i)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ms DESC, seq DESC, i DESC) AS back FROM r)
+SELECT product, max(ms) AS ms, list(CAST(token AS INTEGER) ORDER BY ms, seq, i) AS context FROM n WHERE back <= 256 GROUP BY 1"""))
 def st6_token_context(spark, sf_dir):
     """ST6: the last 256 tokens per product."""
     from .corpora import token_rows
@@ -105,11 +103,39 @@ def st6_token_context(spark, sf_dir):
     return finished(spark, stateful.stream_context(t.select("product", "ms", "seq", "tokens")))
 
 
+@query(sql("ticks", "SELECT CAST(product AS VARCHAR) AS product, seq, nth, round(m, 6) AS mean FROM (SELECT product, seq, row_number() OVER w AS nth, avg(bid_px) OVER (PARTITION BY product ORDER BY ms, seq ROWS 2047 PRECEDING) AS m FROM ticks WINDOW w AS (PARTITION BY product ORDER BY ms, seq)) WHERE nth % 5 = 0 AND nth >= 20"))
+def st5_count_buffers(spark, sf_dir):
+    """ST5: every fifth update with a mean over a buffer of the last 2048, both as state."""
+    with_state(spark)
+    t = stream_view(spark, sf_dir, v.ticks).select(F.col("product").cast("string").alias("product"), "ms", "seq", F.col("bid_px").alias("value"))
+    return finished(spark, stateful.stream_every_nth(t)).select("product", "seq", "nth", F.round("mean", 6).alias("mean"))
+
+
+@query(sql("ticks trades", "SELECT 'quote' AS kind, count(*) AS n, sum(seq) AS seqs FROM ticks WHERE trade_sz = 0 UNION ALL SELECT 'trade', count(*), sum(seq) FROM trades"))
+def st4_tagged_outputs(spark, sf_dir):
+    """ST4: one tagged stream as one output per kind."""
+    t = stream_view(spark, sf_dir, v.ticks).select("seq", F.when(F.col("trade_sz") > 0, "trade").otherwise("quote").alias("kind"))
+    outs = [finished(spark, part) for part in sq.by_kind(t, ["quote", "trade"]).values()]
+    both = outs[0].unionByName(outs[1])
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(sql("options", "SELECT 'O:' || contract AS ticker, round(s, 2) AS strike, CASE WHEN contract % 2 = 0 THEN 'C' ELSE 'P' END AS cp_flag, round(sigma, 4) AS iv FROM options"))
+def st12_snapshots(spark, sf_dir):
+    """ST12: landed snapshots as micro-batches."""
+    from ..sources.readers import chain_snapshots
+    from .ingest import chain_messages
+
+    path = scratch(spark)
+    chain_messages(spark, sf_dir).write.text(path)
+    return finished(spark, chain_snapshots(sq.snapshots(spark, path)).select("ticker", "strike", "cp_flag", "iv"))
+
+
 @query()
 def st9_refit(spark, sf_dir):
-    """ST9: bin edges refitted on the last days of each micro-batch."""
+    """ST9: bin edges refitted on the last days of what has come, after each micro-batch."""
     path = scratch(spark)
     t = stream_view(spark, sf_dir, v.ticks).select("ms", "bid_px", "bid_sz")
     sink = lambda edges, number: edges.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/edges")
-    sq.refit_edges(t, ["bid_px", "bid_sz"], 16, 7 * 86_400_000, sink, f"{path}/state").awaitTermination()
+    sq.refit_edges(t, ["bid_px", "bid_sz"], 16, 7 * 86_400_000, sink, f"{path}/state", f"{path}/log").awaitTermination()
     return spark.read.schema("feature string, kind string, edges array<double>, batch int").parquet(f"{path}/edges")

@@ -28,7 +28,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, n: int = N) -> tuple[DataFrame, DataFrame]:
-    rows = written(feature_table(spark, sf_dir).select("inst", "seq", *FEATURES))  # the fit and the encoding read it
+    rows = written(feature_table(spark, sf_dir).select("inst", "seq", "ms", *FEATURES))  # the fit and the encoding read it
     return rows, bins.quantile_edges(rows, QUANTILE, n).unionByName(bins.log_edges(rows, LOG, n))
 
 

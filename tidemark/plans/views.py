@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class Live:
+    """A folder of tables of which some are streams."""
+
+    sf_dir: str
+    streams: dict[str, DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str | Live, name: str) -> DataFrame:
+    if isinstance(sf_dir, Live):
+        return sf_dir.streams[name] if name in sf_dir.streams else table(spark, sf_dir.sf_dir, name)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +18,56 @@ from . import schemas
 
 
 def option_trade_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Option trades from a tree of CSV files (plain or gzip); ``columns`` prune the parse."""
-    df = spark.read.schema(schemas.OPTION_TRADES).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").csv(path)
+    """Option trades from a tree of CSV files (plain, gzip or Zstandard); ``columns`` prune the parse."""
+    df = spark.read.schema(schemas.OPTION_TRADES).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv{,.gz}").csv(path)
+    packed = zstd_lines(spark, path, "*.csv.zst").select(F.from_csv("line", schemas.OPTION_TRADES).alias("r")).select("r.*")
+    df = df.unionByName(packed)
     return df.select(*columns) if columns else df
 
 
+def zstd_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Lines, without the header, of Zstandard files in a tree.
+
+    Spark's own codec needs a native library that many installations lack. A file is one task, as with
+    gzip, and is unpacked in pieces.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            for file in batch.column("content"):
+                with zstandard.ZstdDecompressor().stream_reader(file.as_buffer(), read_across_frames=True) as raw:
+                    lines = io.TextIOWrapper(raw, encoding="utf-8")
+                    next(lines, None)
+                    while some := [x.rstrip("\r\n") for x in islice(lines, 10_000)]:
+                        yield pa.RecordBatch.from_arrays([pa.array([x for x in some if x], pa.string())], ["line"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("content")
+    return files.mapInArrow(unpack, "line string")
+
+
 def vendor_days(spark: SparkSession, root: str, kind: str, days: list[str]) -> DataFrame:
     """Daily ``root/kind/YYYY/MM/YYYY-MM-DD.csv.gz`` files; ``kind`` is trades or quotes."""
     schema = schemas.VENDOR_TRADES if kind == "trades" else schemas.VENDOR_QUOTES
     return spark.read.schema(schema).option("header", True).csv([f"{root}/{kind}/{d[:4]}/{d[5:7]}/{d}.csv.gz" for d in days])
 
 
-def token_shards(spark: SparkSession, globs: str, columns: tuple[str, ...] = ("tokens",)) -> DataFrame:
-    """Token rows from comma-separated globs; only ``columns`` are read."""
-    return spark.read.parquet(*[g.strip() for g in globs.split(",") if g.strip()]).select(*columns)
+def token_shards(spark: SparkSession, globs: str, columns: tuple[str, ...] = ("tokens",), most: int | None = None) -> DataFrame:
+    """Token rows from comma-separated globs; only ``columns`` are read.
+
+    A file that several globs name is read once. With ``most`` only the first so many files, by path, are
+    read; partition columns still come from their folders.
+    """
+    paths = [g.strip() for g in globs.split(",") if g.strip()]
+    if most is None and len(paths) == 1:
+        return spark.read.parquet(*paths).select(*columns)
+    files: set[str] = set()
+    for path in paths:  # one list of names for each glob, as a scan makes it
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        files |= {r["path"] for r in found.select("path").collect()}
+    top = os.path.commonpath([p.split("*")[0].rstrip("/") for p in paths]).replace(":/", "://").replace("////", "///") if len(paths) > 1 else paths[0].split("*")[0]
+    return spark.read.option("basePath", top).parquet(*sorted(files)[:most]).select(*columns)
 
 
 def only_roots(df: DataFrame, roots: list[str], ticker: str = "ticker") -> DataFrame:
@@ -64,11 +106,14 @@ def vendor_events(trades: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def book_messages(df: DataFrame, value: str = "value") -> DataFrame:
-    """Level-2 messages (JSON) to one row per price update; works on batches and streams."""
+    """Level-2 messages (JSON) to one row per price update; works on batches and streams.
+
+    An event of type ``snapshot``, as a feed sends it after a reconnect, replaces the product's book.
+    """
     m = df.withColumn("m", F.from_json(value, schemas.L2_MESSAGE)).where(F.col("m.channel") == "l2_data")
     e = m.select("*", F.posexplode("m.events").alias("event_no", "e")).select("*", F.posexplode("e.updates").alias("update_no", "u"))
     rest = [c for c in df.columns if c != value]
-    return e.select(*rest, F.col("e.product_id").alias("product_id"), "event_no", "update_no", F.col("u.side").alias("side"), F.col("u.price_level").try_cast("double").alias("price"), F.col("u.new_quantity").try_cast("double").alias("size"))
+    return e.select(*rest, F.col("e.product_id").alias("product_id"), F.col("e.type").alias("event_type"), "event_no", "update_no", F.col("u.side").alias("side"), F.col("u.price_level").try_cast("double").alias("price"), F.col("u.new_quantity").try_cast("double").alias("size"))
 
 
 def trade_messages(df: DataFrame, value: str = "value") -> DataFrame:

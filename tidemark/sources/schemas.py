@@ -8,7 +8,7 @@ OPTION_TRADES = (
 VENDOR_TRADES = "ticker string, conditions string, correction int, exchange int, price double, sip_timestamp long, size double, sequence_number long, tape int"
 VENDOR_QUOTES = "ticker string, ask_exchange int, ask_price double, ask_size double, bid_exchange int, bid_price double, bid_size double, sequence_number long, sip_timestamp long, tape int"
 EVENT = "kind string, ts long, underlying string, strike double, expiry string, cp_flag string, bid double, ask double, bid_sz double, ask_sz double, last_px double, last_sz double, last_side int, iv double, delta double, gamma double, theta double, vega double"
-L2_MESSAGE = "channel string, events array<struct<product_id:string,updates:array<struct<side:string,price_level:string,new_quantity:string>>,trades:array<struct<product_id:string,side:string,price:string,size:string>>>>"
+L2_MESSAGE = "channel string, events array<struct<type:string,product_id:string,updates:array<struct<side:string,price_level:string,new_quantity:string>>,trades:array<struct<product_id:string,side:string,price:string,size:string>>>>"
 POSTS = "data struct<children:array<struct<data:struct<id:string,title:string,selftext:string,score:long,num_comments:long,created_utc:double,url:string,author:string,subreddit:string>>>>"
 ARTICLES = "articles array<struct<title:string,description:string,url:string,publishedAt:string,source:struct<name:string>>>"
 TWEETS = "data array<struct<id:string,text:string,created_at:string,public_metrics:struct<like_count:long,retweet_count:long>>>"

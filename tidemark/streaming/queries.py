@@ -51,13 +51,21 @@ def rotate_hours(stream: DataFrame, path: str, checkpoint: str, ms: str = "ms")
     return with_hour(stream, ms).writeStream.format("parquet").partitionBy("day", "hour").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def refit_edges(stream: DataFrame, features: list[str], buckets: int, lookback_ms: int, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Refit bin edges on the last ``lookback_ms`` of every micro-batch."""
+def refit_edges(stream: DataFrame, features: list[str], buckets: int, lookback_ms: int, sink: Callable[[DataFrame, int], None], checkpoint: str, log: str) -> StreamingQuery:
+    """After every micro-batch refit bin edges on the last ``lookback_ms`` of all that has come.
+
+    Rows are kept under ``log`` by micro-batch, which is rewritten if the batch is run again; a fit
+    reads the batches from the look-back on, and older ones can be deleted.
+    """
+    spark = stream.sparkSession
 
     def fit(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("ms").alias("newest")).first()["newest"]
+        rows = batch.select("ms", *features)
+        rows.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        seen = spark.read.schema(rows.schema.add("batch", "long")).parquet(log).where(F.col("batch") <= number)
+        newest = seen.agg(F.max("ms").alias("newest")).first()["newest"]
         if newest is not None:
-            sink(quantile_edges(batch.where(F.col("ms") >= newest - lookback_ms), features, buckets, least=2), number)
+            sink(quantile_edges(seen.where(F.col("ms") >= newest - lookback_ms), features, buckets, least=2), number)
 
     return stream.writeStream.foreachBatch(fit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

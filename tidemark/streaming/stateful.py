@@ -1,13 +1,18 @@
-"""Stateful stream operators; each has a batch twin that it must equal."""
+"""Stateful stream operators.
+
+A key's rows of one micro-batch are put in time order in its task, so micro-batches should hold a
+bounded span of time (files by hour, ``maxFilesPerTrigger``); state is bounded as each class says.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State of keyed processors lives in RocksDB, so it may exceed memory.
@@ -18,7 +23,11 @@ GATE = "account string, ms long, seq long, notional double, approved boolean, no
 
 
 class BookProcessor(StatefulProcessor):
-    """Price levels of one product; a size of 0 deletes. Emits the touch after each message with both sides."""
+    """Price levels of one product; a size of 0 deletes, a snapshot after a reconnect replaces all levels.
+
+    Emits the touch after each message with both sides. State holds the live levels; the best ones are
+    at the top of heaps, from which dead prices are dropped when they come up.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, price double", "size double")
@@ -28,19 +37,40 @@ class BookProcessor(StatefulProcessor):
         book: dict[str, dict[float, float]] = {"bid": {}, "offer": {}}
         for (side, price), (size,) in self.levels.iterator():
             book[side][price] = size
+        before = {(side, price): size for side, own in book.items() for price, size in own.items()}
+        heaps = {"bid": [-p for p in book["bid"]], "offer": list(book["offer"])}
+        for heap in heaps.values():
+            heapq.heapify(heap)
+        sign = {"bid": -1.0, "offer": 1.0}
+
+        def best(side: str) -> float:
+            while heaps[side][0] * sign[side] not in book[side]:
+                heapq.heappop(heaps[side])
+            return heaps[side][0] * sign[side]
+
         out = []
         for (ms, seq, _), part in frame.groupby(["ms", "seq", "event_no"], sort=False):
+            if (part["event_type"] == "snapshot").any():
+                for side in book:
+                    book[side].clear()
+                    heaps[side].clear()
             for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
                 side = "bid" if str(side).lower().startswith("b") else "offer"
-                if size:
-                    book[side][price] = size
-                    self.levels.updateValue((side, float(price)), (float(size),))
-                elif price in book[side]:
-                    del book[side][price]
-                    self.levels.removeKey((side, float(price)))
+                if not size:
+                    book[side].pop(price, None)
+                    continue
+                if price not in book[side]:
+                    heapq.heappush(heaps[side], price * sign[side])
+                book[side][price] = size
             if book["bid"] and book["offer"]:
-                bid, ask = max(book["bid"]), min(book["offer"])
+                bid, ask = best("bid"), best("offer")
                 out.append((key[0], int(ms), int(seq), bid, book["bid"][bid], ask, book["offer"][ask]))
+        after = {(side, price): size for side, own in book.items() for price, size in own.items()}
+        for level in before.keys() - after.keys():
+            self.levels.removeKey(level)
+        for level, size in after.items():
+            if before.get(level) != size:
+                self.levels.updateValue((level[0], float(level[1])), (float(size),))
         yield pd.DataFrame(out, columns=["product_id", "ms", "seq", "bid_px", "bid_sz", "ask_px", "ask_sz"])
 
     def close(self) -> None:
@@ -82,15 +112,21 @@ class OrderGate(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        recent = list(self.recent.get()) if self.recent.exists() else []
+        recent = deque(self.recent.get() if self.recent.exists() else [])
+        second = deque(t for t, _ in recent)
         out = []
         for ms, seq, notional in zip(frame["ms"], frame["seq"], frame["notional"], strict=True):
-            recent = [(t, n) for t, n in recent if ms - t <= 60_000]
-            total, orders = sum(n for _, n in recent) + notional, sum(ms - t <= 1_000 for t, _ in recent)
+            while recent and ms - recent[0][0] > 60_000:
+                recent.popleft()
+            while second and ms - second[0] > 1_000:
+                second.popleft()
+            total, orders = sum(n for _, n in recent) + notional, len(second)  # a minute of approved orders, within the cap
             approved = total <= self.notional_cap and orders < self.rate_cap
             if approved:
                 recent.append((int(ms), float(notional)))
+                second.append(int(ms))
             out.append((key[0], int(ms), int(seq), float(notional), bool(approved), float(total), int(orders)))
+        recent = list(recent)
         self.recent.put(recent) if recent else self.recent.clear()
         yield pd.DataFrame(out, columns=["account", "ms", "seq", "notional", "approved", "notional_1m", "orders_1s"])
 
@@ -117,12 +153,39 @@ class TokenContext(StatefulProcessor):
         pass
 
 
+class EveryNth(StatefulProcessor):
+    """Every ``n``-th update once ``least`` have come, with the mean of the last ``length`` values; state is a buffer of that length and a count."""
+
+    n, least, length = 5, 20, 2048
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+        self.buffer = handle.getListState("buffer", "value double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        buffer = deque((v for (v,) in self.buffer.get()) if self.buffer.exists() else (), self.length)
+        out = []
+        for ms, seq, value in zip(frame["ms"], frame["seq"], frame["value"], strict=True):
+            seen += 1
+            buffer.append(float(value))
+            if seen >= self.least and seen % self.n == 0:
+                out.append((key[0], int(ms), int(seq), seen, sum(buffer) / len(buffer)))
+        self.seen.update((seen,))
+        self.buffer.put([(v,) for v in buffer])
+        yield pd.DataFrame(out, columns=["product", "ms", "seq", "nth", "mean"])
+
+    def close(self) -> None:
+        pass
+
+
 def _keyed(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
 
 
 def stream_book(updates: DataFrame) -> DataFrame:
-    """Top of book from a stream of updates (product_id, ms, seq, event_no, update_no, side, price, size)."""
+    """Top of book from a stream of updates (product_id, ms, seq, event_type, event_no, update_no, side, price, size)."""
     return _keyed(updates, "product_id", BookProcessor(), TOB)
 
 
@@ -138,45 +201,6 @@ def stream_context(tokens: DataFrame) -> DataFrame:
     return _keyed(tokens, "product", TokenContext(), "product string, ms long, context array<int>")
 
 
-def batch_gate(orders: DataFrame) -> DataFrame:
-    """The order gate over a finished table: a fold per account in time order.
-
-    The decision depends on earlier decisions, so one account's orders are folded in one place; its
-    state is one minute of orders.
-    """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        recent: list[tuple[int, float]] = []
-        out = []
-        for ms, seq, notional in frame.sort_values(["ms", "seq"])[["ms", "seq", "notional"]].itertuples(index=False):
-            recent = [(t, n) for t, n in recent if ms - t <= 60_000]
-            total, orders_1s = sum(n for _, n in recent) + notional, sum(ms - t <= 1_000 for t, _ in recent)
-            approved = total <= OrderGate.notional_cap and orders_1s < OrderGate.rate_cap
-            if approved:
-                recent.append((ms, notional))
-            out.append((frame["account"].iloc[0], ms, seq, notional, approved, total, orders_1s))
-        return pd.DataFrame(out, columns=["account", "ms", "seq", "notional", "approved", "notional_1m", "orders_1s"])
-
-    return orders.groupBy("account").applyInPandas(fold, GATE)
-
-
-def batch_book(updates: DataFrame) -> DataFrame:
-    """Top of book after each message of a finished table, without state.
-
-    A level is alive from an update with a size until the product's next update of it. Best prices at
-    a message are those of the levels alive then; levels are few per product, so message and level
-    meet by product and time bucket.
-    """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("product_id", "side", "price").orderBy("ms", "seq", "event_no", "update_no")
-    at = F.struct("ms", "seq", "event_no")
-    rows = updates.withColumn("at", at).withColumn("until", F.lead(at).over(order))
-    messages = updates.select("product_id", "ms", "seq", at.alias("at")).distinct()
-    alive = rows.where("size > 0").select("product_id", "side", "price", "size", F.col("at").alias("since"), "until")
-    live = messages.join(alive, "product_id").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-    bid = F.lower("side").startswith("b")
-    best = live.groupBy("product_id", "ms", "seq", "at").agg(
-        F.max(F.when(bid, F.struct("price", "size"))).alias("b"), F.min(F.when(~bid, F.struct("price", "size"))).alias("a")
-    )
-    return best.where("a is not null and b is not null").select("product_id", "ms", "seq", F.col("b.price").alias("bid_px"), F.col("b.size").alias("bid_sz"), F.col("a.price").alias("ask_px"), F.col("a.size").alias("ask_sz"))
+def stream_every_nth(values: DataFrame) -> DataFrame:
+    """(product, ms, seq, value) to every n-th update."""
+    return _keyed(values, "product", EveryNth(), "product string, ms long, seq long, nth long, mean double")
