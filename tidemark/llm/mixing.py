@@ -107,6 +107,15 @@ def _shared(groups: DataFrame) -> DataFrame:
     return single.unionByName(many.withColumn("copies", F.expr("all_copies div m") + more).drop("salt", "before", "nth"))
 
 
+def _offsets(rows: DataFrame, value: Column, bins: Column) -> DataFrame:
+    """Per run (idx, bin, part) the sum of ``value`` over the runs before it: the bins before (a few hundred a source) and the parts before in its bin."""
+    sums = rows.groupBy("idx", "bin", "part").agg(F.sum(value).alias("all"))
+    over = lambda w: F.coalesce(F.sum("all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = sums.groupBy("idx", "bin").agg(F.sum("all").alias("all")).select("idx", "bin", over(Window.partitionBy("idx").orderBy(bins)).alias("before"))
+    parts = sums.withColumn("inside", over(Window.partitionBy("idx", "bin").orderBy("part")))
+    return parts.join(whole, ["idx", "bin"]).select("idx", "bin", "part", (F.col("before") + F.col("inside")).alias("offset"))
+
+
 def _equal(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     out = F.lit(True)
     for c in columns:
@@ -144,9 +153,7 @@ def mix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     placed = groups.join(per_source, same).select("idx", bin_of.alias("bin"), part.alias("part"), "id", "row_key", "size", "m", units.alias("rate"))
     run = ["idx", "bin", "part"]
     inside = Window.partitionBy(*run).orderBy(F.col("size").desc(), "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*run).agg(F.sum(F.col("rate") * F.col("m")).alias("all"))
-    before = Window.partitionBy("idx").orderBy(F.col("bin").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*run, F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
+    offsets = _offsets(placed, F.col("rate") * F.col("m"), F.col("bin").desc())
     whole = lambda c: F.shiftright(c + (1 << UNIT - 1), UNIT)
     rounded = placed.withColumn("upto", F.sum(F.col("rate") * F.col("m")).over(inside)).join(offsets, run).withColumn("upto", F.col("upto") + F.col("offset"))
     copies = F.when(F.col("size") > 0, whole(F.col("upto")) - whole(F.col("upto") - F.col("rate") * F.col("m"))).otherwise(F.col("m"))
@@ -157,8 +164,7 @@ def mix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     lack = targets.join(taken, "idx").select("idx", "source_size", "target", (F.round("target").cast("long") - F.col("has")).alias("lack"))
     able = F.when(F.col("size") == 0, 0).when(F.col("lack") > 0, F.least("m", F.col("m") * cap - F.col("copies"))).when(F.col("lack") < 0, F.least("m", "copies")).otherwise(0)
     open_ = rounded.join(F.broadcast(lack) if targets.count() <= 10_000 else lack, "idx").withColumn("able", able.cast("long")).withColumn("fits", F.col("able") * F.col("size"))
-    small_first = Window.partitionBy("idx").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = open_.groupBy(*run).agg(F.sum("fits").alias("all")).select(*run, F.coalesce(F.sum("all").over(small_first), F.lit(0)).alias("offset"))
+    offsets = _offsets(open_, F.col("fits"), F.col("bin"))
     inside = Window.partitionBy(*run).orderBy("size", "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     final = open_.withColumn("upto", F.sum("fits").over(inside)).join(offsets, run)
     left = F.abs("lack") - (F.col("upto") + F.col("offset") - F.col("fits"))
