@@ -6,15 +6,15 @@ with one more shard a key either stays or moves into the new shard.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import written
+
 #: Fixed value: the multiplier of the generator in the published algorithm.
 JUMP_MULTIPLIER = 2862933555777941757
-#: A window that numbers rows holds about this many rows.
-ROWS_PER_RUN = 100_000
+#: Runs that the rows of a shard are cut into, whatever their number.
+RUNS = 1024
 
 
 def _next_state(state: Column) -> Column:
@@ -68,7 +68,7 @@ def jump_shards(df: DataFrame, key: str, shards: int, shard_col: str = "shard",
     if shards < 1:
         raise ValueError("shards must be at least 1")
     integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    k = F.coalesce(F.col(key).cast("long") if integral else F.xxhash64(key), F.lit(0).cast("long"))
+    k = F.when(F.col(key).isNull(), F.lit(0).cast("long")).otherwise(F.col(key).cast("long") if integral else F.xxhash64(key))
     path = jump_path(k, shards)
     out = df.withColumn(shard_col, path["shard"])
     return out.withColumn(grown_col, path["grown"]) if grown_col else out
@@ -78,25 +78,22 @@ def shard_table(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     """Shard assignment with gapless positions: id, size, text_crc32, law, shard, slot, grown_shard.
 
     A slot is a position inside the shard. A shard may hold 1/16 of 100 TB, so no window covers a
-    shard: rows are cut into runs by id, numbered inside the run, and shifted by the number of rows
-    in the runs before, a table of a few rows per shard. Counting the runs reads the id column only.
+    shard: rows are cut into ``RUNS`` runs by a hash of what they hold, equal rows are counted, groups
+    of equal rows are placed inside the run, and runs are shifted by the rows in the runs before. At
+    the end a group is laid open into its slots.
 
-    Null text: size 1, crc 0. Null ids: shard of key 0, one run. Repeated rows get slots of their own.
+    Null text: size 1, crc 0. Null ids: shard of key 0. Repeated rows get slots of their own. Ids may
+    have any type.
     """
-    rows = df.select(F.col(id_col)).count()
-    runs = max(8, math.ceil(rows / shards / ROWS_PER_RUN))
-    run = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(runs)).alias("run")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = jump_shards(
-        df.select(F.col(id_col), run, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")),
-        id_col, shards, "shard", "grown_shard",
-    )
-    counts = jump_shards(df.select(F.col(id_col), run), id_col, shards).groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(F.col(f"`{id_col}`"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("many"))
+    groups = groups.withColumn("run", F.pmod(F.xxhash64(*rows.columns), F.lit(RUNS)).cast("int"))
+    groups = written(jump_shards(groups, id_col, shards, "shard", "grown_shard"))
+    counts = groups.groupBy("shard", "run").agg(F.sum("many").alias("n"))
+    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows a shard
     offsets = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "run").orderBy(id_col, "text_crc32", "size")
-    return (
-        placed.withColumn("position", F.row_number().over(inside) - 1)
-        .join(offsets, ["shard", "run"])
-        .select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("position") + F.col("offset")).cast("long").alias("slot"), "grown_shard")
-    )
+    inside = Window.partitionBy("shard", "run").orderBy(id_col, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = groups.withColumn("past", F.sum("many").over(inside)).join(offsets, ["shard", "run"]).withColumn("past", F.col("past") + F.col("offset"))
+    slots = F.explode(F.sequence(F.col("past") - F.col("many"), F.col("past") - 1))
+    return placed.withColumn("slot", slots).select(F.col(f"`{id_col}`"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
