@@ -64,6 +64,14 @@ def test_sharding(odd, none, docs):
     crc = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_table(odd, 16).collect()}
     assert crc[3] == (1, 0) and crc[1] == (26, zlib.crc32(b"The same text here today."))
     assert sharding.shard_table(none, 16).count() == 0
+    spark = odd.sparkSession
+    hot = spark.createDataFrame([("k", "same", 1)] * 3000 + [(None, f"t{k}", 2) for k in range(200)] + [(f"id {k}", None, 3) for k in range(50)], "doc_id string, text string, SIZE int")
+    rows = sharding.shard_table(hot, 5).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == 3250 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert {r["shard"] for r in rows if r["doc_id"] is None} == {jump(0, 5)} and len({r["shard"] for r in rows if r["doc_id"] == "k"}) == 1
 
 
 def test_shards_of_negative_and_large_keys(spark):
@@ -307,6 +315,11 @@ def test_vector_search(spark):
         assert got[q] == [(int(j), int(s[j])) for j in np.lexsort((np.arange(400), -s)) if j != q][:5]
     assert got[1100] == [(1101, 256 * 256 * 5)] and set(got) == {*range(0, 400, 50), 1100}
     assert vafile.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    huge = [(0, [1e15, -3.0, 0.5]), (1, [1e15, 2.0, 0.0]), (2, [-1e15, 1.0, 0.0]), (3, [1e18, 0.0, 0.0]), (4, [1e15, 3.0, 0.0]), (5, [1e15, 2.5, 0.0]), (6, [0.0, 1.0, 1.0])]
+    found = vafile.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), k=6).orderBy("rank").collect()
+    w = {i: [int(np.floor(max(-(2.0**61), min(2.0**61, x * 256.0)))) for x in v] for i, v in huge}
+    exact = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(w[0], w[i])))) for i in range(1, 7)}
+    assert [(r["vec_id"], r["score"]) for r in found] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
 
 
 def test_pieces_lossless_and_reproducible(odd, docs):

@@ -34,6 +34,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _check(spec: dict) -> None:
+    """Refuses files that ask for more than this counter does, instead of counting them wrongly."""
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]:
+        raise ValueError("unsupported normalizer")
+    pre = spec["pre_tokenizer"].get("pretokenizers", [])
+    level = pre[1] if len(pre) == 2 else {}
+    if [p["type"] for p in pre] != ["Split", "ByteLevel"] or pre[0]["behavior"] != "Removed" or not pre[0]["invert"] or level.get("add_prefix_space") or level.get("use_regex"):
+        raise ValueError("unsupported pre-tokenizer")
+    model = spec["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
+        raise ValueError("unsupported model")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("unsupported added token")
+
+
 class WordPairCounter:
     """Counts the tokens of texts for a ``tokenizers`` file with a word-level byte-pair model."""
 
@@ -41,6 +57,7 @@ class WordPairCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        _check(spec)
         suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = dict(model["vocab"])
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -54,7 +71,9 @@ class WordPairCounter:
         # the file's \s is Unicode white space
         self.find = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}")).findall
         self.find_ascii = re.compile(split.replace(r"\p{L}", "a-z").replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9"), re.ASCII).findall
-        special = sorted((t["content"] for t in spec["added_tokens"] if t["special"]), key=len, reverse=True)
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        firsts = {t[0] for t in special}
+        self.first = firsts.pop() if len(firsts) == 1 else None  # a character that every special string starts with
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kept = _Kept(self.word)
 
@@ -98,7 +117,7 @@ class WordPairCounter:
         """Tokens of ``text``; a special token's string in it is one token, null counts as empty."""
         if not text:
             return 0
-        if self.special is None or "<" not in text:
+        if self.special is None or (self.first is not None and self.first not in text):
             return self._plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(self._plain(p) for p in parts if p)

@@ -31,7 +31,8 @@ def scaled(vector: Column, factor: int = 256) -> Column:
     A vector takes no part if it is null or empty or has a null, NaN or infinite component.
     """
     sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(math.inf)))
-    return F.when(sound, F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long")))
+    most = float(1 << 61)
+    return F.when(sound, F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-most), F.least(F.lit(most), x.cast("double") * factor))).cast("long")))
 
 
 def _smallest_ids(rows: DataFrame, k: int) -> DataFrame:
@@ -64,8 +65,11 @@ def scan(k: int):
             for at in range(0, len(query), step):
                 part = query[at : at + step]
                 plus, minus = np.maximum(part, 0), np.minimum(part, 0)
-                upper = plus @ last.T + minus @ first.T
-                lower = plus @ first.T + minus @ last.T
+                # float64 sums are exact for usual vectors; for huge components the bounds give way by their rounding error
+                slack = np.abs(part) @ np.maximum(np.abs(first), np.abs(last)).T * (dim * 2.0**-52)
+                slack[slack < 0.25] = 0.0
+                upper = plus @ last.T + minus @ first.T + slack
+                lower = plus @ first.T + minus @ last.T - slack
                 for i in range(len(part)):
                     # k + 1 rows are enough for every query of the class, whichever its own row is
                     best = np.argpartition(-lower[i], min(k, len(cells) - 1))[: k + 1]
@@ -75,9 +79,9 @@ def scan(k: int):
                     near = np.flatnonzero(upper[i] >= floor)
                     out["q_class"].append(np.full(len(near), q_class[at + i]))
                     out["c_class"].append(c_class[near])
-                    out["upper"].append(upper[i][near].astype(np.int64))
+                    out["upper"].append(upper[i][near])
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({c: pa.array(join(x), pa.int64()) for c, x in out.items()})
+        return pa.table({c: pa.array(join(x), pa.float64() if c == "upper" else pa.int64()) for c, x in out.items()})
 
     return run
 
@@ -89,12 +93,17 @@ def read_exact(k: int):
         upper = table["upper"].to_numpy()
         order = np.argsort(-upper, kind="stable")
         query = np.array(table["v"][0].as_py(), np.int64)
+        most = float(np.abs(query.astype(np.float64)).max())
         keep_c, keep_s, have, floor = [], [], [], -math.inf
         vectors, many, c_class = table["w"], table["many"].to_numpy(), table["c_class"].to_numpy()
         for i in order:
             if upper[i] < floor:
                 break
-            score = int(query @ np.array(vectors[int(i)].as_py(), np.int64))
+            vector = np.array(vectors[int(i)].as_py(), np.int64)
+            if most * float(np.abs(vector.astype(np.float64)).max()) * len(query) < 2.0**62:
+                score = int(query @ vector)
+            else:
+                score = sum(int(a) * int(b) for a, b in zip(query, vector, strict=True))
             keep_c.append(c_class[i])
             keep_s.append(score)
             have += [score] * min(int(many[i]), k + 1)
@@ -103,7 +112,7 @@ def read_exact(k: int):
                 floor = have[k]
         sure = [(c, s) for c, s in zip(keep_c, keep_s, strict=True) if s >= floor]
         q = table["q_class"][0].as_py()
-        return pa.table({"q_class": pa.array([q] * len(sure), pa.int64()), "c_class": pa.array([int(c) for c, _ in sure], pa.int64()), "score": pa.array([s for _, s in sure], pa.int64())})
+        return pa.table({"q_class": pa.array([q] * len(sure), pa.int64()), "c_class": pa.array([int(c) for c, _ in sure], pa.int64()), "score": pa.array([max(-(2**63), min(2**63 - 1, s)) for _, s in sure], pa.int64())})
 
     return run
 
@@ -114,6 +123,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     Queries are the rows whose id is divisible by ``every``; candidates are all other rows. Only
     vectors of equal dimension meet. A row without id, and a vector that ``scaled`` refuses, takes
     no part. Repeated rows (equal id and vector) count once; a query's own id is never its result.
+    Components stop at 2**61 either way after scaling, scores at the ends of a long.
     """
     rows = df.select(F.col(id_col).alias("vec_id"), scaled(F.col(vector_col), factor).alias("v")).where("vec_id is not null and v is not null").distinct()
     rows = written(rows)
@@ -135,7 +145,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     right = coded.join(sums, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), spread("c_blocks").alias("cb"), "class", "many", "cells", "low", "width")
     left = classes.where("asks = 1").join(sums, "dim").select("dim", spread("q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("cb"), "class", "v")
     left = left.toDF("q_dim", "q_qb", "q_cb", "q_class", "q_v")  # names of its own: both sides come from one table
-    near = left.groupBy("q_dim", "q_qb", "q_cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(scan(k), "q_class long, c_class long, upper long")
+    near = left.groupBy("q_dim", "q_qb", "q_cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(scan(k), "q_class long, c_class long, upper double")
     exact = classes.select(F.col("class").alias("c_class"), F.col("v").alias("w"), "many")
     asking = classes.where("asks = 1").select(F.col("class").alias("q_class"), "v")
     read = near.join(exact, "c_class").join(asking, "q_class").groupBy("q_class").applyInArrow(read_exact(k), "q_class long, c_class long, score long")
