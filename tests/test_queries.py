@@ -47,10 +47,98 @@ def test_sql(spark, duck, name):
     assert table(QUERIES[name](spark, DATA).toPandas()) == table(duck.sql(entry.catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(entry.catalog.oracle_sql()) - {"x6_return_model", "x7_fill_model", "x8_directional_probe"}))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+def collected(spark, name):
+    return [r.asDict() for r in QUERIES[name](spark, DATA).collect()]
+
+
+def test_every_query_has_sql_or_a_test_here():
+    left = set(QUERIES) - set(entry.catalog.oracle_sql())
+    assert left == {"a8_sketch_edges", "a9_uniform_sample", "s15_report", "st1_stream_book", "st7_order_gate", "st9_refit", "t5_importances", "u5_shard_slices", "w23_weighted_order", "x3_merged_sketches", "x5_clusters", "x6_return_model", "x7_fill_model", "x8_directional_probe"}
+
+
+@pytest.mark.parametrize("name", ["a8_sketch_edges", "x3_merged_sketches"])
+def test_sketches_stand_near_exact_edges(spark, name):
+    from tidemark.plans import ticks
+
+    exact = {(r["feature"], r["pos"]): r["edge"] for r in ticks.edge_rows(ticks.bins.quantile_edges(ticks.feature_table(spark, DATA), ticks.QUANTILE, 64)).collect()}
+    values = {f: sorted(r[f] for r in ticks.feature_table(spark, DATA).select(f).collect()) for f in ticks.QUANTILE}
+    got = collected(spark, name)
+    assert {r["feature"] for r in got} == set(ticks.QUANTILE) and len(got) == 2 * 65
+    for r in got:
+        if math.isfinite(r["edge"]) and r["feature"] == "mid":  # a few ranks off at most
+            own = values["mid"]
+            a, b = sorted((r["edge"], exact["mid", r["pos"]]))
+            assert sum(a < x < b for x in own) <= 0.02 * len(own)
+
+
+def test_samples_slices_and_draws(spark, duck):
+    sample = collected(spark, "a9_uniform_sample")
+    assert len({r["seq"] for r in sample}) == 500 and sample == collected(spark, "a9_uniform_sample")
+    assert abs(sum(r["seq"] for r in sample) / 500 / duck.sql("select avg(event_id) from events").fetchall()[0][0] - 1) < 0.1
+    slices = collected(spark, "u5_shard_slices")
+    assert len(slices) == len({r["day"] for r in slices}) == 30 and {r["rank"] for r in slices} <= {0, 1, 2, 3} and len({r["rank"] for r in slices}) > 2
+    draws, weights = collected(spark, "w23_weighted_order"), {r["seq"]: r["weight"] for r in collected(spark, "w22_quality_weights")}
+    assert len(draws) == len(weights) and all(r["draw"] > 0 for r in draws)
+    scaled = [r["draw"] * weights[r["seq"]] for r in draws]  # draw * weight is exponential with mean 1
+    assert abs(sum(scaled) / len(scaled) - 1) < 0.15 and abs(sorted(scaled)[len(scaled) // 2] - math.log(2)) < 0.12
+
+
+def test_report_sections_come_back(spark):
+    import json
+
+    rows = collected(spark, "s15_report")
+    by = {}
+    for r in rows:
+        by.setdefault(r["section"], []).append(json.loads(r["row"]))
+    assert {k: len(v) for k, v in by.items()} == {"anomalies": len(collected(spark, "t1_top_anomalies")), "edge": 2, "symbols": 10}
+    costs = {r["product"]: r["total_spread_cost"] for r in collected(spark, "a12_costs_by_symbol")}
+    assert {r["product"]: r["total_spread_cost"] for r in by["symbols"]} == pytest.approx(costs)
+
+
+def test_stream_queries_against_loops(spark):
+    from tidemark.plans import views
+
+    ticks = sorted(views.ticks(spark, DATA).collect(), key=lambda r: (r["ms"], r["seq"]))
+    books, want = {}, {}
+    for t in ticks:
+        b, a = books.setdefault(str(t["product"]), ({}, {}))
+        b[t["bid_px"]], a[t["ask_px"]] = t["bid_sz"], t["ask_sz"]
+        want[t["seq"]] = (max(b), b[max(b)], min(a), a[min(a)])
+    got = {r["seq"]: (r["bid_px"], r["bid_sz"], r["ask_px"], r["ask_sz"]) for r in collected(spark, "st1_stream_book")}
+    assert got == want
+    past, gate = {}, {}
+    for t in sorted(ticks, key=lambda t: (t["ms"] // 1000, t["seq"])):
+        own, ms, notional = past.setdefault(t["product"], []), t["ms"] // 1000, t["bid_sz"] * t["bid_px"] * 1000
+        total, last = sum(n for s, n in own if ms - s <= 60_000) + notional, sum(ms - s <= 1_000 for s, _ in own)
+        if ok := total <= 1e6 and last < 20:
+            own.append((ms, notional))
+        gate[t["seq"]] = (ok, total, last)
+    assert {r["seq"]: (r["approved"], r["notional_1m"], r["orders_1s"]) for r in collected(spark, "st7_order_gate")} == gate
+    edges = {r["feature"]: r["edges"] for r in collected(spark, "st9_refit")}
+    recent = [t for t in ticks if t["ms"] >= ticks[-1]["ms"] - 7 * 86_400_000]
+    for f in ("bid_px", "bid_sz"):
+        own = sorted(t[f] for t in recent)
+        assert edges[f][8] == pytest.approx((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2)
+
+
+def test_models(spark):
+    clusters = collected(spark, "x5_clusters")
+    assert len(clusters) == len({r["ticker"] for r in clusters}) and {r["cluster"] for r in clusters} <= {0, 1, 2, 3}
+    rows = collected(spark, "x6_return_model")
+    error = [r["y"] - r["mu"] for r in rows]
+    mean = sum(error) / len(error)
+    assert rows[0]["sigma"] == pytest.approx(math.sqrt(sum((e - mean) ** 2 for e in error) / len(error)), rel=1e-6)
+    assert sum(e * e for e in error) <= sum((r["y"] - sum(x["y"] for x in rows) / len(rows)) ** 2 for r in rows)  # better than the mean
+    fills = collected(spark, "x7_fill_model")
+    brier = sum((r["p_fill"] - r["label"]) ** 2 for r in fills) / len(fills)
+    pairs = [(a["p_fill"], b["p_fill"]) for a in fills if a["label"] for b in fills if not b["label"]]
+    auc = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+    assert all(0 <= r["p_fill"] <= 1 for r in fills) and fills[0]["brier"] == pytest.approx(brier) and fills[0]["auc"] == pytest.approx(auc, abs=0.01)
+    probe = collected(spark, "x8_directional_probe")
+    assert {r["pred"] for r in probe} <= {0, 1} and len(probe) > 20
+    top = collected(spark, "t5_importances")
+    values = [r["importance"] for r in top]
+    assert len(top) == 5 and values == sorted(values, reverse=True) and 0 < sum(values) <= 1 + 1e-9
 
 
 def test_entry(spark):

@@ -77,6 +77,22 @@ def quantile_edges(df: DataFrame, features: list[str], n: int, keys: list[str] |
     return got.where(F.col("rows") >= least).select(*keys, "feature", F.lit("quantile").alias("kind"), pad_edges(F.col("q"), n).alias("edges"))
 
 
+def sketches(df: DataFrame, features: list[str], keys: list[str] | None = None, size: int = 4096) -> DataFrame:
+    """(keys.., feature, sketch): mergeable quantile sketches as binary columns, which any table can keep."""
+    return long_features(df, features, keys or []).groupBy(*(keys or []), "feature").agg(F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, keys: list[str] | None = None, size: int = 4096) -> DataFrame:
+    """One sketch for each group from sketches of its parts."""
+    return parts.groupBy(*(keys or []), "feature").agg(F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketch_edges(parts: DataFrame, n: int) -> DataFrame:
+    """Quantile edges (feature, kind, edges) from sketches; ranks are off by about 3 / size."""
+    q = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / n) for i in range(n + 1)]))
+    return parts.select("feature", F.lit("quantile").alias("kind"), pad_edges(q, n).alias("edges"))
+
+
 def log_edges(df: DataFrame, features: list[str], n: int, robust: bool = False) -> DataFrame:
     """Edges in equal steps of the logarithm of abs(value) + FLOOR; ends 0 and infinity.
 

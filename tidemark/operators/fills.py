@@ -25,6 +25,13 @@ def within(left: DataFrame, right: DataFrame, key: str, horizon_ms: int, columns
     return joined.where((F.col("r_ms") >= F.col(ms)) & (F.col("r_ms") <= F.col(ms) + horizon_ms)).drop("_bucket")
 
 
+def by_second(path: DataFrame, trades: DataFrame, key: str, columns: list[str], ms: str = "ms") -> DataFrame:
+    """Each row of ``path`` with the trades of its key in the same second, or with nulls if there are none."""
+    second = F.expr(f"{ms} div 1000L")
+    right = trades.select(key, second.alias("_second"), *[F.col(c).alias(f"t_{c}") for c in columns])
+    return path.withColumn("_second", second).join(right, [key, "_second"], "left").drop("_second")
+
+
 def fill_labels(quotes: DataFrame, trades: DataFrame, key: str, horizon_ms: int, our_size: float = 1.0, queue_aware: bool = True, ident: str = "seq") -> DataFrame:
     """Quotes (with ``ident`` unique) plus bid_fill, ask_fill and the latency of each fill in ms.
 

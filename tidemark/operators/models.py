@@ -63,11 +63,20 @@ def auc_brier(scored: DataFrame, probability: str, label: str) -> tuple[float, f
     return auc, scored.agg(F.avg(F.pow(F.col(probability) - F.col(label), 2))).first()[0]
 
 
+def _probe_input(rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="x").transform(rows.dropna(subset=[*features, label]))
+
+
+def fit_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0):
+    """A boosted-tree classifier fitted on the train split."""
+    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=10, seed=seed).fit(_probe_input(rows, features, label).where("split = 'train'"))
+
+
 def directional_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0) -> DataFrame:
-    """Rows of the eval split with ``pred`` of a boosted-tree classifier fitted on the train split."""
-    clean = VectorAssembler(inputCols=features, outputCol="x").transform(rows.dropna(subset=[*features, label]))
-    model = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=10, seed=seed).fit(clean.where("split = 'train'"))
-    return model.transform(clean.where("split = 'eval'")).withColumn("pred", F.col("prediction").cast("int")).drop("x", "rawPrediction", "probability", "prediction")
+    """Rows of the eval split with ``pred`` of a classifier fitted on the train split."""
+    model = fit_probe(rows, features, label, seed)
+    scored = model.transform(_probe_input(rows, features, label).where("split = 'eval'"))
+    return scored.withColumn("pred", F.col("prediction").cast("int")).drop("x", "rawPrediction", "probability", "prediction")
 
 
 def importances(model, features: list[str], spark, n: int = 10) -> DataFrame:

@@ -43,11 +43,22 @@ def top_anomalies(returns: DataFrame, window: int = 63, n: int = 15) -> DataFram
 
 def correlated_pairs(returns: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of tickers a < b whose returns correlate by at least ``least`` in size, over their common dates."""
+    return _pairs(returns).where(F.abs("corr") >= least)
+
+
+def correlation_matrix(returns: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per ticker ``a`` with its correlation to every ticker, 1 with itself; ``columns`` name the tickers across, else long rows (a, b, corr)."""
+    pairs = _pairs(returns)
+    own = returns.where("ret is not null").select(F.col("ticker").alias("a"), F.col("ticker").alias("b"), F.lit(1.0).alias("corr")).distinct()
+    long = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
+    return long if columns is None else long.groupBy("a").pivot("b", columns).agg(F.first("corr"))
+
+
+def _pairs(returns: DataFrame) -> DataFrame:
     rows = returns.where("ret is not null").select("date", "ticker", "ret")
     a, b = rows.alias("a"), rows.alias("b")
     both = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") < F.col("b.ticker")))
-    pairs = both.groupBy(F.col("a.ticker").alias("a"), F.col("b.ticker").alias("b")).agg(F.corr("a.ret", "b.ret").alias("corr"))
-    return pairs.where(F.abs("corr") >= least)
+    return both.groupBy(F.col("a.ticker").alias("a"), F.col("b.ticker").alias("b")).agg(F.corr("a.ret", "b.ret").alias("corr"))
 
 
 def lead_lag(merged: DataFrame, x: str, y: str, most: int = 5, least: int = 10) -> DataFrame:

@@ -48,6 +48,13 @@ def j12_aligned_series(spark, sf_dir):
     return out.select("product", "seq", F.coalesce("toxicity", F.lit(0.0)).alias("toxicity"))
 
 
+@query(sql("trades book", "SELECT k.product, k.seq, t.seq AS t_seq, t.last_px AS t_last_px FROM book k LEFT JOIN trades t ON k.product = t.product AND k.ms // 1000 = t.ms // 1000"))
+def j15_same_second(spark, sf_dir):
+    """A path with the trades of the same second."""
+    path = v.book(spark, sf_dir).select("product", "seq", "ms")
+    return fl.by_second(path, v.trades(spark, sf_dir), "product", ["seq", "last_px"]).select("product", "seq", "t_seq", "t_last_px")
+
+
 FILL = f"""WITH w AS (SELECT q.seq AS q_seq, q.ms AS q_ms, q.bid, q.ask, q.bid_queue_ahead, q.ask_queue_ahead, t.ms AS t_ms, t.seq AS t_seq, t.last_px, t.last_sz, t.last_side
    FROM quotes q JOIN trades t ON q.product = t.product AND t.ms BETWEEN q.ms AND q.ms + {H}),
  b AS (SELECT q_seq, min(t_ms - q_ms) AS lat FROM (SELECT *, sum(last_sz) OVER (PARTITION BY q_seq ORDER BY t_ms, t_seq ROWS UNBOUNDED PRECEDING) AS eaten FROM w WHERE last_side = -1 AND last_px <= bid) WHERE eaten >= bid_queue_ahead + 1 GROUP BY 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources import readers, sinks
 from ..sources.shared import new_path as scratch
+from ..sources.shared import written
 from . import ticks as tk
 from . import views as v
 from .registry import query
@@ -116,6 +117,24 @@ def s1_option_csv(spark, sf_dir):
     return events.select(F.col("underlying").cast("long").alias("inst"), F.col("expiry").cast("long").alias("seq"), "bid", "ask", "last_sz", "cp_flag")
 
 
+@query(sql("ticks", "SELECT 'O:' || inst AS ticker, seq, trade_sz > 0 AS is_trade, CASE WHEN trade_sz > 0 THEN bid_px END AS last_px, trade_sz AS last_sz, CASE WHEN trade_sz = 0 THEN bid_px END AS bid, CASE WHEN trade_sz = 0 THEN ask_px END AS ask FROM ticks"))
+def s2_vendor_days(spark, sf_dir):
+    """Daily vendor files of trades and quotes under their dated paths, read day by day into one stream."""
+    path = scratch(spark)
+    t = v.ticks(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    from ..sources.schemas import VENDOR_QUOTES, VENDOR_TRADES
+
+    given = {"ticker": F.concat(F.lit("O:"), F.col("inst").cast("string")), "sequence_number": F.col("seq"), "sip_timestamp": F.col("ms") * 1_000_000, "price": F.col("bid_px"), "size": F.col("trade_sz"), "bid_price": F.col("bid_px"), "ask_price": F.col("ask_px"), "bid_size": F.col("bid_sz"), "ask_size": F.col("ask_sz")}
+    columns = lambda schema: [given.get(c.split()[0], F.lit(None).cast("string")).alias(c.split()[0]) for c in schema.split(", ")]
+    days = sorted(r["day"] for r in t.select("day").distinct().collect())  # a calendar
+    for kind, schema, rows in (("trades", VENDOR_TRADES, t.where("trade_sz > 0")), ("quotes", VENDOR_QUOTES, t.where("trade_sz = 0"))):
+        rows = written(rows.select("day", *columns(schema)))
+        for d in days:
+            rows.where(F.col("day") == d).drop("day").coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{path}/{kind}/{d[:4]}/{d[5:7]}/{d}.csv.gz")
+    events = readers.vendor_events(readers.vendor_days(spark, path, "trades", days), readers.vendor_days(spark, path, "quotes", days))
+    return events.select("ticker", "seq", "is_trade", "last_px", "last_sz", "bid", "ask")
+
+
 @query(sql("ticks", "SELECT inst, seq, ms FROM ticks WHERE ms >= (SELECT max(ms) FROM ticks) - 48 * 3600000"))
 def s9_recent_events(spark, sf_dir):
     """An hourly event log and its last 48 hours."""

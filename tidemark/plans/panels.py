@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import corpus, models, panel, quality
 from ..operators.windows import by
+from ..sources.shared import written
 from . import views as v
 from .registry import query
 from .views import sql
@@ -67,10 +68,16 @@ def t1_top_anomalies(spark, sf_dir):
 
 @query(sql("panel", f"WITH {RET} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 6) AS corr FROM r a JOIN r b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING abs(corr(a.ret, b.ret)) >= 0.1"))
 def j9_correlated_pairs(spark, sf_dir):
-    """Pairs of tickers by correlation of returns."""
+    """Pairs of tickers by correlation of returns."""
     return panel.correlated_pairs(returns(spark, sf_dir), 0.1).select("a", "b", *r6("corr"))
 
 
+@query(sql("panel", f"WITH {RET} SELECT a.ticker AS a, b.ticker AS b, round(CASE WHEN a.ticker = b.ticker THEN 1.0 ELSE corr(a.ret, b.ret) END, 6) AS corr FROM r a JOIN r b ON a.date = b.date WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2"))
+def a3_correlation_matrix(spark, sf_dir):
+    """A3: the whole correlation matrix, in long form."""
+    return panel.correlation_matrix(returns(spark, sf_dir)).select("a", "b", *r6("corr"))
+
+
 @query(sql("panel", f"""WITH {RET}, p AS (SELECT a.date, b.ticker, a.ret AS x, b.ret AS y FROM r a JOIN r b USING (date) WHERE a.ticker = 'Brand#11' AND a.ret IS NOT NULL AND b.ret IS NOT NULL)
 SELECT date, ticker, round(CASE WHEN count(*) OVER w = 21 THEN corr(x, y) OVER w END, 5) AS rolling_corr FROM p WHERE ticker <> 'Brand#11' WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING)"""))
 def w5_rolling_corr(spark, sf_dir):
@@ -201,9 +208,21 @@ def a27_verdict(spark, sf_dir):
 
 @query()
 def x8_directional_probe(spark, sf_dir):
-    """A boosted-tree probe trained before a time and scored after it."""
-    rows = corpus.time_split(panel.probe_features(bars(spark, sf_dir), "inst"))
-    return models.directional_probe(rows, ["r1", "r5", "r15", "rvol15", "vol_z", "range", "minute"]).select("inst", "seq", "y", "pred")
+    """A boosted-tree probe trained before a time and scored after it."""
+    return models.directional_probe(probe_rows(spark, sf_dir), PROBE).select("inst", "seq", "y", "pred")
+
+
+PROBE = ["r1", "r5", "r15", "rvol15", "vol_z", "range", "minute"]
+
+
+def probe_rows(spark, sf_dir):
+    return written(corpus.time_split(panel.probe_features(bars(spark, sf_dir), "inst")))
+
+
+@query()
+def t5_importances(spark, sf_dir):
+    """T5: the most important features of the probe."""
+    return models.importances(models.fit_probe(probe_rows(spark, sf_dir), PROBE), PROBE, spark, 5)
 
 
 @query()

@@ -136,10 +136,17 @@ def a7_robust_log_edges(spark, sf_dir):
 
 @query()
 def a8_sketch_edges(spark, sf_dir):
-    """Quantile edges from a mergeable sketch; tests hold its error against exact edges."""
+    """Quantile edges from a mergeable sketch; tests hold its error against exact edges."""
     return edge_rows(bins.quantile_edges(feature_table(spark, sf_dir), QUANTILE, 64, exact=False))
 
 
+@query()
+def x3_merged_sketches(spark, sf_dir):
+    """A sketch a day, kept as a table, read again, merged and asked for edges; tests hold its error against exact edges."""
+    days = feature_table(spark, sf_dir).withColumn("day", F.expr("ms div 86400000L"))
+    return edge_rows(bins.sketch_edges(bins.merged_sketches(written(bins.sketches(days, QUANTILE, ["day"]))), 64))
+
+
 @query(sql("panel", f"""
 WITH r AS (SELECT ticker, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS ret FROM panel),
  q AS (SELECT ticker, quantile_cont(ret, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM r WHERE ret IS NOT NULL GROUP BY ticker HAVING count(*) >= 10)
@@ -208,13 +215,15 @@ def a17_degenerate_bins(spark, sf_dir):
     return bins.degenerate(fitted(spark, sf_dir)[1])
 
 
-@query()
+@query(sql("ticks", f"{QUANTILE_SQL}{LOG_SQL}{LOG_FIT} SELECT feature, pos, round(edge, 6) AS edge FROM qe UNION ALL SELECT feature, pos, round(edge, 6) FROM le"))
 def s13_edges_json(spark, sf_dir):
     """Edges through JSON and back."""
     return edge_rows(bins.edges_from_json(bins.edges_json(fitted(spark, sf_dir)[1])))
 
 
-@query()
+@query(sql("ticks", f"""{QUANTILE_SQL}{LOG_SQL}{LOG_FIT}, e AS (SELECT * FROM qe UNION ALL SELECT feature, pos, edge FROM le),
+ l AS (SELECT feature || ':' || string_agg(CASE WHEN abs(edge) = 'Infinity'::DOUBLE THEN 'inf' ELSE printf('%.6f', edge) END, ',' ORDER BY pos) AS line FROM e GROUP BY feature)
+SELECT left(sha256(string_agg(line, ';' ORDER BY line)), 16) AS model_hash FROM l"""))
 def a39_model_hash(spark, sf_dir):
     """Content hash of a bin model."""
     return bins.model_hash(fitted(spark, sf_dir)[1])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import os
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -66,8 +66,9 @@ def token_shards(spark: SparkSession, globs: str, columns: tuple[str, ...] = ("t
     for path in paths:  # one list of names for each glob, as a scan makes it
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
         files |= {r["path"] for r in found.select("path").collect()}
-    top = os.path.commonpath([p.split("*")[0].rstrip("/") for p in paths]).replace(":/", "://").replace("////", "///") if len(paths) > 1 else paths[0].split("*")[0]
-    return spark.read.option("basePath", top).parquet(*sorted(files)[:most]).select(*columns)
+    roots = {re.split(r"/[^/=]+=[^/]*/|/[^/]*$", f, maxsplit=1)[0] for f in files}  # above the partition folders
+    reader = spark.read.option("basePath", roots.pop()) if len(roots) == 1 else spark.read
+    return reader.parquet(*sorted(files)[:most]).select(*columns)
 
 
 def only_roots(df: DataFrame, roots: list[str], ticker: str = "ticker") -> DataFrame:
