@@ -191,7 +191,7 @@ def _joined(spans: Column) -> Column:
 
 
 def pii_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added.
+    """``df`` with n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans (all of them).
 
     Spans of different kinds may overlap; all are reported. Rows do not move. An empty table stays
     empty; columns with the new names are replaced.
@@ -200,7 +200,7 @@ def pii_table(df: DataFrame, text_col: str = "text") -> DataFrame:
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = {f"n_{k}": number(k) for k in BASE}
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    out = out.withColumns(counts | {"base_sha256": F.sha2(_joined(base).cast("binary"), 256), "n_added": (F.size("spans") - F.size(base)).cast("long")})
+    out = out.withColumns(counts | {"base_sha256": F.sha2(_joined(base).cast("binary"), 256), "n_added": (F.size("spans") - F.size(base)).cast("long"), "n_spans": F.size("spans").cast("long")})
     return out.withColumn("spans", _joined(F.col("spans")))
 
 
