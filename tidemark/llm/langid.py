@@ -30,6 +30,8 @@ ORDER, SLOTS, HASHES = 3, 1 << 20, 3
 SAMPLE, SHARE = 2000, 0.01
 #: More labels than this are refused, as each lane of 64 sends a filter of SLOTS masks to all workers.
 MOST_LANGUAGES = 1024
+#: Characters of a text whose n-grams are looked up at once.
+PART = 1 << 18
 UNDETERMINED = "und"
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
@@ -84,8 +86,8 @@ class LanguageFilter:
         if not self.languages or not (code != 32).any():
             return UNDETERMINED, 0.0
         counts, total = np.zeros(len(self.languages)), 0
-        for at in range(0, len(code), 1 << 20):
-            hashes = _hashes(code[at : at + (1 << 20) + ORDER - 1])
+        for at in range(0, len(code), PART):
+            hashes = _hashes(code[at : at + PART + ORDER - 1])
             total += len(hashes)
             mask = self.masks[hashes & np.uint64(SLOTS - 1)]
             for i in range(1, HASHES):
@@ -121,7 +123,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             seen: dict[int, Counter] = {}
             for k, text in zip(batch["k"], batch["t"], strict=True):
-                seen.setdefault(k, Counter()).update(np.unique(_hashes(_codes(text))).tolist())
+                code = _codes(text)
+                parts = [np.unique(_hashes(code[at : at + PART + ORDER - 1])) for at in range(0, len(code), PART)]
+                seen.setdefault(k, Counter()).update((np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]).tolist())
             for k, counts in seen.items():
                 h = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
                 yield pd.DataFrame({"k": k, "h": h, "n": np.fromiter(counts.values(), np.int64, len(counts))})
@@ -145,7 +149,8 @@ def predicted(text: Column, model: LanguageFilter, spark) -> Column:
         shared.own = own
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return F.pandas_udf(predict, "lang_pred string, score double")(text)
+    # a filter on the prediction must not make Spark predict twice
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()(text)
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:

@@ -36,11 +36,11 @@ SPACE = "▁"
 _ESCAPED = "\ud800"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text that are sampled together, and of distinct words that are filtered together.
-GROUP, SLICE = 1 << 20, 1 << 18
+GROUP, SLICE = 1 << 19, 1 << 17
 #: Characters from which a word is cut where no piece spans, and from which a part is filtered place by place.
 CUT, LONG = 64, 512
 #: Rows of an Arrow batch that are sampled at once.
-ROWS = 500
+ROWS = 250
 #: Places of a long part that are filtered at once, ids that are decoded at once.
 BLOCK, DECODED = 1 << 14, 1 << 17
 #: Where a text may be cut: a character before a space.

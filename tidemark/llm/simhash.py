@@ -71,8 +71,18 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
 
 
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes for another 64 bits of fingerprint: each is mixed again, lane 0 is as it is."""
+    if not lane:
+        return hashes
+    x = hashes.astype(np.uint64) + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(">u8")
+
+
 def fingerprints(text: Column, words: int = 3, lanes: int = 1) -> Column:
-    """``struct(f0.., n)``: per lane a 64-bit SimHash (seed 42 + lane) as a long, and the number of shingles."""
+    """``struct(f0.., n)``: per lane a 64-bit SimHash as a long, and the number of shingles."""
     names = [f"f{i}" for i in range(lanes)]
 
     @F.pandas_udf(", ".join(f"{c} long" for c in names) + ", n long")
@@ -80,9 +90,9 @@ def fingerprints(text: Column, words: int = 3, lanes: int = 1) -> Column:
         for texts in batches:
             rows = np.zeros((len(texts), lanes + 1), np.uint64)
             for k, text in enumerate(texts):
+                found = shingle_hashes(text, words, 42)
                 for lane in range(lanes):
-                    found = shingle_hashes(text, words, 42 + lane)
-                    rows[k, lane] = fingerprint(found)
+                    rows[k, lane] = fingerprint(_mixed(found, lane))
                 rows[k, lanes] = len(found)
             yield pd.DataFrame(rows.view(np.int64), columns=[*names, "n"])
 
@@ -98,9 +108,9 @@ def shingle_sets(text: Column, words: int, lanes: int) -> Column:
         for texts in batches:
             rows = np.zeros((len(texts), lanes + 2), np.uint64)
             for k, text in enumerate(texts):
-                own, at = np.unique(shingle_hashes(text, words, 42), return_index=True)
+                own = np.unique(shingle_hashes(text, words, 42))
                 for lane in range(lanes):
-                    rows[k, lane] = fingerprint(shingle_hashes(text, words, 42 + lane)[at] if lane else own)
+                    rows[k, lane] = fingerprint(_mixed(own, lane))
                 rows[k, lanes:] = len(own), xxhash.xxh64_intdigest(own.tobytes())
             yield pd.DataFrame(rows.view(np.int64), columns=[*names, "n", "s"])
 
