@@ -89,9 +89,8 @@ def aggressor_sign(maker_side: Column) -> Column:
     return F.when(F.lower(maker_side).startswith("b"), -1).otherwise(1)
 
 
-def close_weight(ts: Column, scale: float = 90.0, close_minute: int = 20 * 60) -> Column:
+def close_weight(minute: Column, scale: float = 90.0, close_minute: int = 20 * 60) -> Column:
     """exp(-minutes to the close / scale), by UTC minute of day."""
-    minute = F.hour(ts) * 60 + F.minute(ts)
     return F.exp(-F.greatest(F.lit(close_minute) - minute, F.lit(0)) / scale)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.market import close_weight
 from ..sources.shared import written
 from .bins import exact_quantiles
 from .windows import in_blocks, previous, running_sum
@@ -56,8 +57,7 @@ def quality_weights(rows: DataFrame, shard: str, proximity: float = 1.0, iv_rank
     rows = moved.join(stats, shard)
     filled = rows.withColumn("_iv", F.coalesce("iv", "_m"))
     rows = filled.join(filled.groupBy(shard).agg(F.stddev_samp("_iv").alias("_sd")), shard)
-    minute = F.expr("(ms div 60000L) % 1440")
-    near = F.exp(-F.greatest(F.lit(1200) - minute, F.lit(0)) / 90.0)
+    near = close_weight(F.expr("(ms div 60000L) % 1440"))
     z = (F.col("_iv") - F.col("_m")) / (F.col("_sd") + 1e-9)
     w = (1.0 + proximity * near) * (1.0 + iv_rank * F.greatest(F.lit(0.0), F.least(F.lit(3.0), z)))
     w = w * (1.0 + activity * F.log1p(F.coalesce(F.col("last_sz"), F.lit(0.0))) / F.log1p(F.col("_x") + 1.0))
