@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
+__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "documents", "free_name", "shared_dir", "word_count", "words", "written"]
+
 #: A word is a run of characters that are neither a space nor one of the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,33 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is missing on a single machine (``local[..]``, as in tests) a temporary folder
-    takes its place; on a cluster, whose executors would not share it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage: what was computed is not computed again if an executor is lost, and
-    Spark knows the table's real size when it chooses between join strategies.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Let Arrow batches of whole texts hold at most ``rows`` rows; a smaller setting of the session stays.
 
