@@ -46,13 +46,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_iban()})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    # a long run of the characters of keys and tokens, or a private key in its envelope
-    "secret": r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
+    # a long run of the characters of keys and tokens (the whole run, as shorter ones match nowhere), or a private key in its envelope
+    "secret": r"[A-Za-z0-9_+/=.-]{16,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
 }
 #: What a key of a known issuer or a private key starts with; such a span needs no words near it.
 ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_|glpat-|sk-[A-Za-z0-9]|sk_live_|rk_live_|xox[abprs]-|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]+\.|npm_[A-Za-z0-9]{30,}|-----BEGIN )"
 #: A cheap test that a text may have the kind.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"[A-Za-z0-9_+/=.-]{16}|PRIVATE KEY"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"[A-Za-z][_+/=.-]*+[0-9]|[0-9][_+/=.-]*+[A-Za-z]|PRIVATE KEY"}
 #: Score of a confirmed span, what a context word adds, and the words.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
