@@ -3,9 +3,12 @@
 import collections
 import json
 import os
+import random
 
+import pandas as pd
 import pytest
 
+from tidemark.operators import fills
 from tidemark.sources.readers import book_messages
 from tidemark.streaming import queries as sq
 from tidemark.streaming import stateful
@@ -29,15 +32,13 @@ def finished(spark, tmp_path, stream):
 
 
 def test_books_follow_updates_deletes_and_snapshots(spark, tmp_path):
-    import random
-
     rng = random.Random(5)
     messages = []
     for seq in range(120):
         product = rng.choice("AB")
         updates = [{"side": rng.choice(["bid", "offer"]), "price_level": str(rng.randint(1, 12)), "new_quantity": str(rng.choice([0, 1, 2, 5]))} for _ in range(rng.randint(1, 4))]
         kind = "snapshot" if seq % 37 == 36 else "update"
-        messages.append((seq * 10, seq, json.dumps({"channel": "l2_data", "events": [{"type": kind, "product_id": product, "updates": updates}]})))
+        messages.append((1000 + seq * 10, seq, json.dumps({"channel": "l2_data", "events": [{"type": kind, "product_id": product, "updates": updates}]})))
     raw = spark.createDataFrame(messages, "ms long, seq long, value string")
     updates = book_messages(replayed(spark, tmp_path, raw, 4)).select("product_id", "ms", "seq", "event_type", "event_no", "update_no", "side", "price", "size")
     got = {(r["product_id"], r["seq"]): (r["bid_px"], r["bid_sz"], r["ask_px"], r["ask_sz"]) for r in finished(spark, tmp_path, stateful.stream_book(updates))}
@@ -61,10 +62,8 @@ def test_books_follow_updates_deletes_and_snapshots(spark, tmp_path):
 
 
 def test_the_order_gate_counts_what_it_approved(spark, tmp_path):
-    import random
-
     rng = random.Random(6)
-    orders = sorted((rng.choice("xy"), rng.randint(0, 400_000), seq, float(rng.choice([20_000, 90_000, 300_000]))) for seq in range(400))
+    orders = sorted((rng.choice("xy"), 1 + seq * 1000 + rng.randint(0, 999), seq, float(rng.choice([20_000, 90_000, 300_000]))) for seq in range(400))
     orders += [("x", 500_000 + k, 1000 + k, 1.0) for k in range(40)]  # a burst within one second
     df = spark.createDataFrame(orders, "account string, ms long, seq long, notional double")
     got = {r["seq"]: (r["approved"], r["notional_1m"], r["orders_1s"]) for r in finished(spark, tmp_path, stateful.stream_gate(replayed(spark, tmp_path, df, 5)))}
@@ -80,7 +79,7 @@ def test_the_order_gate_counts_what_it_approved(spark, tmp_path):
 
 
 def test_buffers_and_contexts_go_over_micro_batches(spark, tmp_path):
-    rows = [("p", k * 5, k, float(k % 17), [k, k + 1, k + 2]) for k in range(300)] + [("q", 3, 7, 1.0, [9])]
+    rows = [("p", 1 + k * 5, k, float(k % 17), [k, k + 1, k + 2]) for k in range(300)] + [("q", 3, 7, 1.0, [9])]
     df = spark.createDataFrame(rows, "product string, ms long, seq long, value double, tokens array<int>")
     (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
     got = finished(spark, tmp_path / "a", stateful.stream_every_nth(replayed(spark, tmp_path / "a", df, 3).drop("tokens")))
@@ -91,6 +90,60 @@ def test_buffers_and_contexts_go_over_micro_batches(spark, tmp_path):
     assert last["context"] == [t for k in range(300) for t in (k, k + 1, k + 2)][-256:]
 
 
+def test_rows_come_in_order_over_batches_and_late_rows_go(spark, tmp_path):
+    """Spans of a batch that grows tenfold stay as small; rows within the delay wait for their place."""
+    rows = [("p", 1 + k, k, 1.0) for k in range(1, 4000)]
+    shuffled = sorted(rows, key=lambda r: (r[1] // 200, hash((r[2], 3)) % 1000))  # out of order by up to 200 ms
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(shuffled)], "product string, ms long, seq long, value double, at long")
+    stream = replayed(spark, tmp_path, df, 6, "at").drop("at")
+    got = finished(spark, tmp_path, stateful.stream_every_nth(stream, "300 milliseconds"))
+    passed = 4000 - 300
+    assert sorted((r["nth"], r["seq"]) for r in got) == [(n, n) for n in range(20, passed + 1, 5) if 1 + n <= passed]
+
+    class Spans(stateful.EveryNth):
+        def advance(self, key, frame):
+            super().advance(key, frame)
+            return pd.DataFrame({"product": ["p"], "ms": [0], "seq": [0], "nth": [len(frame)], "mean": [0.0]})
+
+    most = []
+    for n, many in enumerate((3_000, 30_000)):
+        (tmp_path / f"s{n}").mkdir()
+        df = spark.createDataFrame([("p", 1 + k, k, 1.0) for k in range(many)], "product string, ms long, seq long, value double")
+        out = stateful._keyed(replayed(spark, tmp_path / f"s{n}", df, 1), "product", Spans(), "product string, ms long, seq long, nth long, mean double", "0 seconds")
+        most.append(max(r["nth"] for r in finished(spark, tmp_path / f"s{n}", out)))
+    assert max(most) <= 2 * stateful.SPAN_ROWS
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    rows = [("p", 10_000 + k, k, 0) for k in range(100)] + [("p", 5_000, 500, 1)] + [("p", 20_000 + k, 600 + k, 1) for k in range(100)]
+    df = spark.createDataFrame([(p, ms, seq, 1.0, batch) for p, ms, seq, batch in rows], "product string, ms long, seq long, value double, at long")
+    stream = replayed(spark, tmp_path, df, 2, "at").drop("at")
+    got = finished(spark, tmp_path, stateful.stream_every_nth(stream))
+    assert 500 not in {r["seq"] for r in got} and max(r["nth"] for r in got) == 200
+
+
+def test_orders_expire_without_a_tick(spark, tmp_path):
+    """Fills equal the batch replay; an order of product q is closed by its timer although no tick follows it."""
+    rng = random.Random(3)
+    ticks = [("p", 1000 + 10 * k, k, float(rng.randint(90, 100)), float(rng.randint(101, 110)), float(rng.choice([0, 5, 30])), float(rng.choice([0, 5, 30]))) for k in range(400)]
+    orders = [(rng.choice("ppp"), 1000 + rng.randint(0, 3500), 10_000 + k, rng.choice(["buy", "sell"]), float(rng.randint(1, 40)), rng.choice([None, 99.0, 102.0, 105.0])) for k in range(80)]
+    orders.append(("q", 1500, 20_000, "buy", 5.0, 50.0))
+    tick = spark.createDataFrame(ticks, "product string, ms long, seq long, bid_px double, ask_px double, bid_sz double, ask_sz double")
+    order = spark.createDataFrame(orders, "product string, ms long, order_id long, side string, qty double, limit_px double")
+    want = {(r["order_id"], r["seq"]): (r["fill_qty"], r["fill_px"]) for r in fills.replay_orders(order, tick, "product", 300).collect()}
+    (tmp_path / "t").mkdir(), (tmp_path / "o").mkdir()
+    stream = stateful.stream_fills(replayed(spark, tmp_path / "o", order, 3), replayed(spark, tmp_path / "t", tick, 3), 300, late="5 seconds")
+    end = spark.createDataFrame([("z", 20_000, 1, 1.0, 2.0, 1.0, 1.0)], tick.schema)  # the watermark goes on without a tick of q
+    end.write.mode("append").parquet(f"file://{tmp_path}/t/in/end")
+    got = finished(spark, tmp_path, stream)
+    filled = {(r["order_id"], r["seq"]): (r["fill_qty"], r["fill_px"]) for r in got if r["kind"] == "fill"}
+    assert filled.keys() == want.keys() and all(filled[k] == pytest.approx(want[k]) for k in want) and len(want) > 100
+    expired = {r["order_id"]: (r["ms"], r["open_qty"]) for r in got if r["kind"] == "expired"}
+    assert expired[20_000] == (1800, 5.0)
+    done = {k for k, _ in want if sum(q for (o, _), (q, _) in want.items() if o == k) >= next(o[4] for o in orders if o[2] == k) - 1e-9}
+    assert expired.keys() == {o[2] for o in orders} - done
+
+
 def test_refits_look_back_over_batches(spark, tmp_path):
     rows = [(k * 1000, float(k)) for k in range(100)]
     stream = replayed(spark, tmp_path, spark.createDataFrame(rows, "ms long, x double"), 4)

@@ -1,28 +1,15 @@
-"""Interval joins of quotes and orders with later market events, markouts and execution costs.
-
-An interval join is an equality join on key and time bucket: with buckets as long as the horizon, an
-interval touches two buckets at most, so each left row is doubled and nothing is compared across
-the whole key.
-"""
+"""Fills of quotes and orders by later market events, markouts and execution costs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .windows import asof, by, in_blocks
-
-
-def within(left: DataFrame, right: DataFrame, key: str, horizon_ms: int, columns: list[str], *, ms: str = "ms", seq: str = "seq") -> DataFrame:
-    """Pairs of left rows and right rows of the same key with left.ms <= right.ms <= left.ms + horizon.
-
-    Right columns get the prefix ``r_``. Rows of ``left`` without a partner are not returned.
-    """
-    bucket = F.expr(f"{ms} div {horizon_ms}L")
-    l_rows = left.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
-    r_rows = right.select(F.col(key), bucket.alias("_bucket"), F.col(ms).alias("r_ms"), F.col(seq).alias("r_seq"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    joined = l_rows.join(r_rows, [key, "_bucket"])
-    return joined.where((F.col("r_ms") >= F.col(ms)) & (F.col("r_ms") <= F.col(ms) + horizon_ms)).drop("_bucket")
+from . import sweep
+from .windows import asof, in_blocks
 
 
 def by_second(path: DataFrame, trades: DataFrame, key: str, columns: list[str], ms: str = "ms") -> DataFrame:
@@ -32,23 +19,35 @@ def by_second(path: DataFrame, trades: DataFrame, key: str, columns: list[str],
     return path.withColumn("_second", second).join(right, [key, "_second"], "left").drop("_second")
 
 
-def fill_labels(quotes: DataFrame, trades: DataFrame, key: str, horizon_ms: int, our_size: float = 1.0, queue_aware: bool = True, ident: str = "seq") -> DataFrame:
-    """Quotes (with ``ident`` unique) plus bid_fill, ask_fill and the latency of each fill in ms.
+def fill_labels(quotes: DataFrame, trades: DataFrame, key: str, horizon_ms: int, our_size: float = 1.0, queue_aware: bool = True, ms: str = "ms", seq: str = "seq") -> DataFrame:
+    """Quotes plus bid_fill, ask_fill and the latency of each fill in ms.
 
     A bid fills at the first trade at which sells at or under it have eaten the queue ahead and our
-    size; an ask mirrors that. Without the queue the first crossing trade fills.
+    size; an ask mirrors that. Without the queue the first crossing trade fills. Trades count from the
+    quote's time on for ``horizon_ms``, in the order of (ms, seq). Quotes without a key or time don't fill.
     """
-    hits = within(quotes, trades, key, horizon_ms, ["last_px", "last_sz", "last_side"])
-    order = by([ident], "r_ms", "r_seq").rowsBetween(Window.unboundedPreceding, 0)
-
-    def side(sign: int, crosses: Column, queue: str) -> DataFrame:
-        eaten = hits.where((F.col("r_last_side") == sign) & crosses).withColumn("eaten", F.sum("r_last_sz").over(order))
-        need = F.col(queue) + our_size if queue_aware else F.lit(0.0)
-        return eaten.where(F.col("eaten") >= need).groupBy(ident).agg(F.min(F.col("r_ms") - F.col("ms")).alias("lat"))
-
-    bid = side(-1, F.col("r_last_px") <= F.col("bid"), "bid_queue_ahead").withColumnRenamed("lat", "bid_fill_lat_ms")
-    ask = side(1, F.col("r_last_px") >= F.col("ask"), "ask_queue_ahead").withColumnRenamed("lat", "ask_fill_lat_ms")
-    out = quotes.join(bid, ident, "left").join(ask, ident, "left")
+    added = [("bid_fill_lat_ms", -1, "bid", "bid_queue_ahead"), ("ask_fill_lat_ms", 1, "ask", "ask_queue_ahead")]
+
+    def run(own: pa.Table, later: pa.Table) -> pa.Table:
+        later = sweep.in_time(later, ms, seq)
+        since = sweep.floats(own, ms)
+        timed = np.flatnonzero(~np.isnan(since))
+        for name, side, level, queue in added:
+            mine = later.filter(pa.compute.equal(later["last_side"], side))
+            mine = mine.filter(pa.compute.is_valid(mine["last_px"]))
+            at = mine[ms].to_numpy()
+            need = sweep.floats(own, queue) + our_size if queue_aware else np.zeros(own.num_rows)
+            size = np.nan_to_num(sweep.floats(mine, "last_sz"))
+            starts = since[timed].astype(np.int64)
+            row = sweep.first_fills(at, -side * sweep.floats(mine, "last_px"), size, starts, -side * sweep.floats(own, level)[timed], need[timed], horizon_ms)
+            latency, has = np.zeros(own.num_rows, np.int64), np.zeros(own.num_rows, bool)
+            has[timed] = row >= 0
+            latency[timed[row >= 0]] = at[row[row >= 0]] - starts[row >= 0]
+            own = own.append_column(name, pa.array(latency, pa.int64(), mask=~has))
+        return own
+
+    schema = StructType([*quotes.schema.fields, *[StructField(name, LongType()) for name, *_ in added]])
+    out = sweep.in_spans_of(quotes, trades.select(key, ms, seq, "last_px", "last_sz", "last_side"), key, horizon_ms, ms, run, schema)
     return out.withColumns({"bid_fill": F.col("bid_fill_lat_ms").isNotNull().cast("int"), "ask_fill": F.col("ask_fill_lat_ms").isNotNull().cast("int")})
 
 
@@ -100,23 +99,38 @@ def post_trade(fills: DataFrame, horizons_ms: list[int]) -> DataFrame:
     )
 
 
-def replay_orders(orders: DataFrame, book: DataFrame, key: str, max_age_ms: int, share: float = 0.10, ident: str = "order_id") -> DataFrame:
+def replay_orders(orders: DataFrame, book: DataFrame, key: str, max_age_ms: int, share: float = 0.10, ident: str = "order_id", ms: str = "ms", seq: str = "seq") -> DataFrame:
     """Fills of orders against the displayed book, one row per filling tick.
 
     Each tick in the order's life offers max(1, ``share`` of the far side's size), all of the rest if
     that size is 0, to what is still open; limit orders (limit_px not null) only on ticks that cross.
     """
-    ticks = within(orders, book, key, max_age_ms, ["bid_px", "ask_px", "bid_sz", "ask_sz"])
-    buy = F.col("side") == "buy"
-    px = F.when(buy, F.col("r_ask_px")).otherwise(F.col("r_bid_px"))
-    size = F.when(buy, F.col("r_ask_sz")).otherwise(F.col("r_bid_sz"))
-    crosses = F.col("limit_px").isNull() | F.when(buy, px <= F.col("limit_px")).otherwise(px >= F.col("limit_px"))
-    cap = F.when(size <= 0, F.col("qty")).otherwise(F.greatest(F.lit(1.0), size * share))
-    rows = ticks.where(crosses).withColumns({"fill_px": px.cast("double"), "cap": cap.cast("double")})
-    upto = F.coalesce(F.sum("cap").over(by([ident], "r_ms", "r_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.withColumn("open", F.greatest(F.col("qty") - upto, F.lit(0.0))).withColumn("fill_qty", F.least("cap", "open")).where("fill_qty > 0")
-    mid = (F.col("r_bid_px") + F.col("r_ask_px")) / 2.0
-    return rows.select(ident, key, "side", "qty", F.col("r_ms").alias("ms"), F.col("r_seq").alias("seq"), "fill_qty", "fill_px", mid.alias("mid_at_fill"), F.when(buy, F.col("fill_px") - mid).otherwise(mid - F.col("fill_px")).alias("spread_cost_per_unit"))
+
+    def run(own: pa.Table, ticks: pa.Table) -> pa.Table:
+        ticks, own = sweep.in_time(ticks, ms, seq), own.filter(pa.compute.is_valid(own[ms]))
+        bid, ask = sweep.floats(ticks, "bid_px"), sweep.floats(ticks, "ask_px")
+        limits, quantity, since = sweep.floats(own, "limit_px"), np.nan_to_num(sweep.floats(own, "qty")), own[ms].to_numpy()
+        buys, parts = np.array(own["side"].to_pylist()) == "buy", []
+        for buy, price, size in ((True, ask, "ask_sz"), (False, -bid, "bid_sz")):
+            here, offered = np.flatnonzero(~np.isnan(price)), np.nan_to_num(sweep.floats(ticks, size))
+            mine = np.flatnonzero(buys == buy)
+            limit = np.where(np.isnan(limits[mine]), np.inf, limits[mine] if buy else -limits[mine])
+            order, row, filled = sweep.order_fills(ticks[ms].to_numpy()[here], price[here], offered[here], since[mine], limit, quantity[mine], max_age_ms, share)
+            parts.append((mine[order], here[row], filled))
+        order, row, filled = (np.concatenate(x) for x in zip(*parts, strict=True))
+        mid, px = (bid[row] + ask[row]) / 2.0, np.where(buys[order], ask[row], bid[row])
+        cost = np.where(buys[order], px - mid, mid - px)
+        out = own.select([ident, key, "side", "qty"]).take(pa.array(order))
+        later = ticks.select([ms, seq]).take(pa.array(row))
+        for name, column in (("ms", later[ms]), ("seq", later[seq]), ("fill_qty", pa.array(filled)), ("fill_px", pa.array(px)), ("mid_at_fill", pa.array(mid)), ("spread_cost_per_unit", pa.array(cost))):
+            out = out.append_column(name, column)
+        return out
+
+    of = lambda df, c, name=None: StructField(name or c, df.schema[c].dataType)
+    schema = StructType([of(orders, ident), of(orders, key), of(orders, "side"), of(orders, "qty"), of(book, ms, "ms"), of(book, seq, "seq"), *[StructField(c, DoubleType()) for c in ("fill_qty", "fill_px", "mid_at_fill", "spread_cost_per_unit")]])
+    left = orders.select(ident, key, "side", "qty", "limit_px", ms)
+    right = book.select(key, ms, seq, "bid_px", "ask_px", "bid_sz", "ask_sz")
+    return sweep.in_spans_of(left, right, key, max_age_ms, ms, run, schema)
 
 
 def order_summary(fills: DataFrame, ident: str = "order_id") -> DataFrame:

@@ -186,11 +186,14 @@ REPLAY = f"""WITH o AS (SELECT product, seq AS order_id, ms, CASE WHEN seq % 2 =
  r AS (SELECT *, least(cap, greatest(qty - upto, 0)) AS fill_qty, CASE WHEN side = 'buy' THEN px - (bid_px + ask_px) / 2 ELSE (bid_px + ask_px) / 2 - px END AS cost FROM u)"""
 
 
-def replayed(spark, sf_dir):
-    q = v.quotes(spark, sf_dir)  # every quote is an order
+def placed_orders(quotes):
+    """Every quote is an order."""
     buy = F.col("seq") % 2 == 0
-    orders = q.select("product", F.col("seq").alias("order_id"), "ms", F.when(buy, "buy").otherwise("sell").alias("side"), (5.0 + F.col("seq") % 40).alias("qty"), F.when(F.col("seq") % 3 == 0, F.when(buy, F.col("ask")).otherwise(F.col("bid"))).alias("limit_px"))
-    return fl.replay_orders(orders, v.book(spark, sf_dir), "product", H)
+    return quotes.select("product", F.col("seq").alias("order_id"), "ms", F.when(buy, "buy").otherwise("sell").alias("side"), (5.0 + F.col("seq") % 40).alias("qty"), F.when(F.col("seq") % 3 == 0, F.when(buy, F.col("ask")).otherwise(F.col("bid"))).alias("limit_px"))
+
+
+def replayed(spark, sf_dir):
+    return fl.replay_orders(placed_orders(v.quotes(spark, sf_dir)), v.book(spark, sf_dir), "product", H)
 
 
 @query(sql("quotes book", f"{REPLAY} SELECT order_id, t_seq AS seq, round(fill_qty, 6) AS fill_qty, px AS fill_px FROM r WHERE fill_qty > 0"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import queries as sq
 from ..streaming import stateful
+from . import books
 from . import views as v
 from .ingest import scratch
 from .registry import query
@@ -81,6 +82,17 @@ def st1_stream_book(spark, sf_dir):
     return finished(spark, stateful.stream_book(book_messages(raw).select("product_id", "ms", "seq", "event_type", "event_no", "update_no", "side", "price", "size")))
 
 
+@query(sql("quotes book", f"{books.REPLAY} SELECT order_id, t_seq AS seq, round(fill_qty, 6) AS fill_qty, px AS fill_px FROM r WHERE fill_qty > 0"))
+def st8_order_expiry(spark, sf_dir):
+    """ST8: orders filled tick by tick on a stream and closed by timers; the fills of the batch replay."""
+    with_state(spark)
+    text = F.col("product").cast("string").alias("product")
+    orders = books.placed_orders(stream_view(spark, sf_dir, v.quotes)).withColumn("product", text)
+    ticks = stream_view(spark, sf_dir, v.book).withColumn("product", text)
+    fills = finished(spark, stateful.stream_fills(orders, ticks, books.H)).where("kind = 'fill'")
+    return fills.select("order_id", "seq", F.round("fill_qty", 6).alias("fill_qty"), "fill_px")
+
+
 @query()
 def st7_order_gate(spark, sf_dir):
     """ST7: orders approved against what was approved before."""

@@ -1,7 +1,10 @@
-"""Stateful stream operators.
+"""Stateful stream operators on rows in event time.
 
-A key's rows of one micro-batch are put in time order in its task, so micro-batches should hold a
-bounded span of time (files by hour, ``maxFilesPerTrigger``); state is bounded as each class says.
+Spark hands a key's rows of a micro-batch over in no order, in frames of bounded size. ``InOrder``
+keeps them in state, in spans of event time, until the watermark has passed them, and a timer then
+takes them out span by span, sorted. So an operator sees every key's rows in order over all
+micro-batches, a worker holds one span and not a key's micro-batch, and rows behind the watermark
+(the newest event time less the allowed delay) are late and dropped, wherever micro-batches end.
 """
 
 from __future__ import annotations
@@ -11,8 +14,11 @@ from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State of keyed processors lives in RocksDB, so it may exceed memory.
@@ -20,101 +26,207 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 TOB = "product_id string, ms long, seq long, bid_px double, bid_sz double, ask_px double, ask_sz double"
 OFI = "product string, ms long, seq long, ofi double, micro double, first_tick boolean"
 GATE = "account string, ms long, seq long, notional double, approved boolean, notional_1m double, orders_1s long"
+FILLS = "product string, order_id long, kind string, ms long, seq long, fill_qty double, fill_px double, open_qty double"
+#: Rows held before they go to state; rows of a span at first; the delay of the watermark.
+HELD, SPAN_ROWS, LATE = 1 << 17, 128, "0 seconds"
 
 
-class BookProcessor(StatefulProcessor):
+class InOrder(StatefulProcessor):
+    """A key's rows in the order of ``order`` (``ms`` first) once the watermark has passed them.
+
+    Subclasses read their state in ``load``, turn sorted rows into output in ``advance``, which is
+    called once a span, and write their state in ``save``. A span is as wide as holds about
+    ``SPAN_ROWS`` rows when the buffer starts to fill.
+    """
+
+    order = ["ms", "seq"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.width = handle.getValueState("width", "ms long")
+        self.parts = handle.getMapState("parts", "span long", "n int")
+        self.rows = handle.getMapState("rows", "span long, nth int", "rows binary")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None: ...
+
+    def load(self, key: Any) -> None: ...
+
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def passed(self, key: Any, watermark: int) -> pd.DataFrame | None:
+        """Output that is due at the watermark even if no row came."""
+
+    def save(self) -> None: ...
+
+    def _keep(self, frames: list[pd.DataFrame]) -> None:
+        frame = pd.concat(frames, ignore_index=True)
+        ms = frame["ms"].to_numpy()
+        if not self.width.exists():
+            self.width.update((max(1, int(ms.max() - ms.min()) * SPAN_ROWS // len(ms)),))
+        span = ms // self.width.get()[0]
+        for at in np.split(np.argsort(span, kind="stable"), np.flatnonzero(np.diff(np.sort(span))) + 1):
+            self._put(int(span[at[0]]), frame.iloc[at])
+            self.handle.registerTimer(int(ms[at].max()))
+
+    def _put(self, span: int, frame: pd.DataFrame) -> None:
+        n = self.parts.getValue((span,))[0] if self.parts.containsKey((span,)) else 0
+        batch = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        self.rows.updateValue((span, n), (sink.getvalue().to_pybytes(),))
+        self.parts.updateValue((span,), (n + 1,))
+
+    def _take(self, span: int, n: int) -> pd.DataFrame:
+        tables = []
+        for nth in range(n):
+            tables.append(pa.ipc.open_stream(bytes(self.rows.getValue((span, nth))[0])).read_all())
+            self.rows.removeKey((span, nth))
+        self.parts.removeKey((span,))
+        return pa.concat_tables(tables, promote_options="permissive").to_pandas()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in rows:
+            frame = frame.drop(columns="event_time")
+            held.append(frame)
+            n += len(frame)
+            if n >= HELD:
+                self._keep(held)
+                held, n = [], 0
+        if n:
+            self._keep(held)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.load(key)
+        if self.width.exists():
+            width = self.width.get()[0]
+            spans = sorted((span, n) for (span,), (n,) in self.parts.iterator())
+            left = len(spans)
+            for span, n in spans:
+                if span * width > now:
+                    break
+                frame = self._take(span, n).sort_values(self.order, kind="stable", ignore_index=True)
+                early = int(np.searchsorted(frame["ms"].to_numpy(), now, "right"))
+                if early < len(frame):
+                    self._put(span, frame.iloc[early:])
+                else:
+                    left -= 1
+                if early:
+                    yield self.advance(key, frame.iloc[:early])
+            if not left:
+                self.width.clear()
+        due = self.passed(key, now)
+        if due is not None:
+            yield due
+        self.save()
+
+    def close(self) -> None: ...
+
+
+class BookProcessor(InOrder):
     """Price levels of one product; a size of 0 deletes, a snapshot after a reconnect replaces all levels.
 
     Emits the touch after each message with both sides. State holds the live levels; the best ones are
     at the top of heaps, from which dead prices are dropped when they come up.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    order = ["ms", "seq", "event_no", "update_no"]
+    sign = {"bid": -1.0, "offer": 1.0}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, price double", "size double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "seq", "event_no", "update_no"], kind="stable")
-        book: dict[str, dict[float, float]] = {"bid": {}, "offer": {}}
+    def load(self, key: Any) -> None:
+        self.book: dict[str, dict[float, float]] = {"bid": {}, "offer": {}}
         for (side, price), (size,) in self.levels.iterator():
-            book[side][price] = size
-        before = {(side, price): size for side, own in book.items() for price, size in own.items()}
-        heaps = {"bid": [-p for p in book["bid"]], "offer": list(book["offer"])}
-        for heap in heaps.values():
+            self.book[side][price] = size
+        self.before = {(side, price): size for side, own in self.book.items() for price, size in own.items()}
+        self.heaps = {side: [p * self.sign[side] for p in own] for side, own in self.book.items()}
+        for heap in self.heaps.values():
             heapq.heapify(heap)
-        sign = {"bid": -1.0, "offer": 1.0}
 
-        def best(side: str) -> float:
-            while heaps[side][0] * sign[side] not in book[side]:
-                heapq.heappop(heaps[side])
-            return heaps[side][0] * sign[side]
+    def best(self, side: str) -> float:
+        heap, sign = self.heaps[side], self.sign[side]
+        while heap[0] * sign not in self.book[side]:
+            heapq.heappop(heap)
+        return heap[0] * sign
 
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (ms, seq, _), part in frame.groupby(["ms", "seq", "event_no"], sort=False):
             if (part["event_type"] == "snapshot").any():
-                for side in book:
-                    book[side].clear()
-                    heaps[side].clear()
+                for side in self.book:
+                    self.book[side].clear()
+                    self.heaps[side].clear()
             for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
                 side = "bid" if str(side).lower().startswith("b") else "offer"
                 if not size:
-                    book[side].pop(price, None)
+                    self.book[side].pop(price, None)
                     continue
-                if price not in book[side]:
-                    heapq.heappush(heaps[side], price * sign[side])
-                book[side][price] = size
-            if book["bid"] and book["offer"]:
-                bid, ask = best("bid"), best("offer")
-                out.append((key[0], int(ms), int(seq), bid, book["bid"][bid], ask, book["offer"][ask]))
-        after = {(side, price): size for side, own in book.items() for price, size in own.items()}
-        for level in before.keys() - after.keys():
+                if price not in self.book[side]:
+                    heapq.heappush(self.heaps[side], price * self.sign[side])
+                self.book[side][price] = size
+            if self.book["bid"] and self.book["offer"]:
+                bid, ask = self.best("bid"), self.best("offer")
+                out.append((key[0], int(ms), int(seq), bid, self.book["bid"][bid], ask, self.book["offer"][ask]))
+        return pd.DataFrame(out, columns=["product_id", "ms", "seq", "bid_px", "bid_sz", "ask_px", "ask_sz"])
+
+    def save(self) -> None:
+        after = {(side, price): size for side, own in self.book.items() for price, size in own.items()}
+        for level in self.before.keys() - after.keys():
             self.levels.removeKey(level)
         for level, size in after.items():
-            if before.get(level) != size:
+            if self.before.get(level) != size:
                 self.levels.updateValue((level[0], float(level[1])), (float(size),))
-        yield pd.DataFrame(out, columns=["product_id", "ms", "seq", "bid_px", "bid_sz", "ask_px", "ask_sz"])
 
-    def close(self) -> None:
-        pass
 
-
-class OfiProcessor(StatefulProcessor):
+class OfiProcessor(InOrder):
     """Order-flow imbalance and microprice with the last quote as state."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "bid_px double, bid_sz double, ask_px double, ask_sz double")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "bid_px double, bid_sz double, ask_px double, ask_sz double")
+
+    def load(self, key: Any) -> None:
+        self.last = list(self.state.get()) if self.state.exists() else None
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         now = frame[["bid_px", "bid_sz", "ask_px", "ask_sz"]].astype(float).reset_index(drop=True)
         old = now.shift(1)
-        if self.last.exists():
-            old.iloc[0] = list(self.last.get())
+        if self.last is not None:
+            old.iloc[0] = self.last
         first = old["bid_px"].isna()
         bid = now.bid_sz.where(now.bid_px > old.bid_px, (now.bid_sz - old.bid_sz).where(now.bid_px == old.bid_px, -old.bid_sz))
         ask = now.ask_sz.where(now.ask_px < old.ask_px, (now.ask_sz - old.ask_sz).where(now.ask_px == old.ask_px, -old.ask_sz))
         total = now.bid_sz + now.ask_sz
         micro = ((now.ask_px * now.bid_sz + now.bid_px * now.ask_sz) / total).where(total > 0, (now.bid_px + now.ask_px) / 2)
-        self.last.update(tuple(map(float, now.iloc[-1])))
-        yield pd.DataFrame({"product": key[0], "ms": frame["ms"].to_numpy(), "seq": frame["seq"].to_numpy(), "ofi": (bid - ask).where(~first, 0.0), "micro": micro, "first_tick": first})
+        self.last = [float(x) for x in now.iloc[-1]]
+        return pd.DataFrame({"product": key[0], "ms": frame["ms"].to_numpy(), "seq": frame["seq"].to_numpy(), "ofi": (bid - ask).where(~first, 0.0), "micro": micro, "first_tick": first})
 
-    def close(self) -> None:
-        pass
+    def save(self) -> None:
+        if self.last is not None:
+            self.state.update(tuple(self.last))
 
 
-class OrderGate(StatefulProcessor):
+class OrderGate(InOrder):
     """Approves an order if the approved notional of the last minute and the approved orders of the
     last second stay under their caps; rejected orders do not count. State holds one minute."""
 
     notional_cap, rate_cap = 1e6, 20
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "ms long, notional double")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("recent", "ms long, notional double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        recent = deque(self.recent.get() if self.recent.exists() else [])
-        second = deque(t for t, _ in recent)
-        out = []
+    def load(self, key: Any) -> None:
+        self.recent = deque(self.state.get() if self.state.exists() else [])
+        self.second = deque(t for t, _ in self.recent)
+
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
+        recent, second, out = self.recent, self.second, []
         for ms, seq, notional in zip(frame["ms"], frame["seq"], frame["notional"], strict=True):
             while recent and ms - recent[0][0] > 60_000:
                 recent.popleft()
@@ -126,81 +238,182 @@ class OrderGate(StatefulProcessor):
                 recent.append((int(ms), float(notional)))
                 second.append(int(ms))
             out.append((key[0], int(ms), int(seq), float(notional), bool(approved), float(total), int(orders)))
-        recent = list(recent)
-        self.recent.put(recent) if recent else self.recent.clear()
-        yield pd.DataFrame(out, columns=["account", "ms", "seq", "notional", "approved", "notional_1m", "orders_1s"])
+        return pd.DataFrame(out, columns=["account", "ms", "seq", "notional", "approved", "notional_1m", "orders_1s"])
 
-    def close(self) -> None:
-        pass
+    def save(self) -> None:
+        recent = list(self.recent)
+        self.state.put(recent) if recent else self.state.clear()
 
 
-class TokenContext(StatefulProcessor):
-    """The last ``length`` tokens of an underlying after each micro-batch."""
+class TokenContext(InOrder):
+    """The last ``length`` tokens of an underlying whenever the watermark has passed new rows."""
 
     length = 256
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.context = handle.getListState("context", "token int")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("context", "token int")
+
+    def load(self, key: Any) -> None:
+        self.context = deque((t for (t,) in self.state.get()) if self.state.exists() else (), self.length)
+        self.newest = None
+
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
+        for row in frame["tokens"]:
+            self.context.extend(int(t) for t in row)
+        self.newest = int(frame["ms"].iloc[-1])
+        return pd.DataFrame({"product": pd.Series(dtype=str), "ms": pd.Series(dtype="int64"), "context": pd.Series(dtype=object)})
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        old = [t for (t,) in self.context.get()] if self.context.exists() else []
-        new = [*old, *[int(t) for row in frame["tokens"] for t in row]][-self.length :]
-        self.context.put([(t,) for t in new])
-        yield pd.DataFrame({"product": [key[0]], "ms": [int(frame["ms"].iloc[-1])], "context": [new]})
+    def passed(self, key: Any, watermark: int) -> pd.DataFrame | None:
+        return None if self.newest is None else pd.DataFrame({"product": [key[0]], "ms": [self.newest], "context": [list(self.context)]})
 
-    def close(self) -> None:
-        pass
+    def save(self) -> None:
+        if self.newest is not None:
+            self.state.put([(t,) for t in self.context])
 
 
-class EveryNth(StatefulProcessor):
+class EveryNth(InOrder):
     """Every ``n``-th update once ``least`` have come, with the mean of the last ``length`` values; state is a buffer of that length and a count."""
 
     n, least, length = 5, 20, 2048
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-        self.buffer = handle.getListState("buffer", "value double")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("seen", "n long")
+        self.values = handle.getListState("buffer", "value double")
+
+    def load(self, key: Any) -> None:
+        self.seen = self.count.get()[0] if self.count.exists() else 0
+        self.buffer = deque((v for (v,) in self.values.get()) if self.values.exists() else (), self.length)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        buffer = deque((v for (v,) in self.buffer.get()) if self.buffer.exists() else (), self.length)
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ms, seq, value in zip(frame["ms"], frame["seq"], frame["value"], strict=True):
-            seen += 1
-            buffer.append(float(value))
-            if seen >= self.least and seen % self.n == 0:
-                out.append((key[0], int(ms), int(seq), seen, sum(buffer) / len(buffer)))
-        self.seen.update((seen,))
-        self.buffer.put([(v,) for v in buffer])
-        yield pd.DataFrame(out, columns=["product", "ms", "seq", "nth", "mean"])
-
-    def close(self) -> None:
-        pass
-
-
-def _keyed(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
-
+            self.seen += 1
+            self.buffer.append(float(value))
+            if self.seen >= self.least and self.seen % self.n == 0:
+                out.append((key[0], int(ms), int(seq), self.seen, sum(self.buffer) / len(self.buffer)))
+        return pd.DataFrame(out, columns=["product", "ms", "seq", "nth", "mean"])
+
+    def save(self) -> None:
+        if self.seen:
+            self.count.update((self.seen,))
+            self.values.put([(v,) for v in self.buffer])
+
+
+class PaperBroker(InOrder):
+    """Open orders of a product, filled tick by tick and closed by age.
+
+    Rows are orders (side not null: order_id, side, qty, limit_px) and ticks (bid_px, ask_px, bid_sz,
+    ask_sz). A tick offers max(1, ``share`` of the far side's size), all that is open if that is 0, to
+    every order that it crosses, up to ``max_age_ms`` after the order. Orders at a tick's time come
+    before it. A timer at an order's last moment closes it, so it expires though no tick follows. State
+    holds the open orders.
+    """
 
-def stream_book(updates: DataFrame) -> DataFrame:
+    order = ["ms", "rank", "seq"]
+
+    def __init__(self, max_age_ms: int, share: float = 0.10):
+        self.max_age_ms, self.share = max_age_ms, share
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("open", "order_id long, buy boolean, qty double, limit_px double, ms long, given double")
+
+    def load(self, key: Any) -> None:
+        self.orders = {row[0]: list(row) for row in self.state.get()} if self.state.exists() else {}
+        # best limits first; an order that is closed is dropped when it comes up
+        self.heaps: dict[bool, list] = {True: [], False: []}
+        self.ages: list = []
+        for row in self.orders.values():
+            self._stand(row)
+
+    def _stand(self, row: list) -> None:
+        heapq.heappush(self.heaps[row[1]], (-row[3] if row[1] else row[3], row[0]))
+        heapq.heappush(self.ages, (row[4], row[0]))
+
+    def _expired(self, now: int, out: list, product: str) -> None:
+        """Close what is older than ``max_age_ms`` at ``now``."""
+        while self.ages and self.ages[0][0] + self.max_age_ms < now:
+            row = self.orders.pop(heapq.heappop(self.ages)[1], None)
+            if row:
+                out.append((product, row[0], "expired", row[4] + self.max_age_ms, None, None, None, row[2] - row[5]))
+
+    def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        names = ["ms", "seq", "order_id", "side", "qty", "limit_px", "bid_px", "ask_px", "bid_sz", "ask_sz"]
+        for ms, seq, order_id, side, qty, limit, bid, ask, bid_sz, ask_sz in zip(*(frame[c] for c in names), strict=True):
+            self._expired(ms, out, key[0])
+            if isinstance(side, str):
+                buy = side == "buy"
+                none = float("inf") if buy else -float("inf")
+                row = [int(order_id), buy, float(qty), none if pd.isna(limit) else float(limit), int(ms), 0.0]
+                self.orders[row[0]] = row
+                self._stand(row)
+                self.handle.registerTimer(row[4] + self.max_age_ms + 1)
+                continue
+            for buy, px, size in ((True, ask, ask_sz), (False, bid, bid_sz)):
+                heap, level, again = self.heaps[buy], -px if buy else px, []
+                while heap and heap[0][0] <= level:
+                    entry = heapq.heappop(heap)
+                    row = self.orders.get(entry[1])
+                    if row is None:
+                        continue
+                    cap = max(1.0, size * self.share) if size > 0 else row[2]
+                    filled = min(cap, row[2] - row[5])
+                    row[5] += cap
+                    rest = max(0.0, row[2] - row[5])
+                    out.append((key[0], row[0], "fill", int(ms), int(seq), filled, float(px), rest))
+                    if rest > 0:
+                        again.append(entry)
+                    else:
+                        del self.orders[row[0]]
+                for entry in again:
+                    heapq.heappush(heap, entry)
+        return self._frame(out)
+
+    def passed(self, key: Any, watermark: int) -> pd.DataFrame | None:
+        out: list = []
+        self._expired(watermark, out, key[0])
+        return self._frame(out) if out else None
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["product", "order_id", "kind", "ms", "seq", "fill_qty", "fill_px", "open_qty"])
+        return frame.astype({"order_id": "Int64", "ms": "Int64", "seq": "Int64", "fill_qty": "float64", "fill_px": "float64", "open_qty": "float64"})
+
+    def save(self) -> None:
+        rows = [tuple(row) for row in self.orders.values()]
+        self.state.put(rows) if rows else self.state.clear()
+
+
+def _keyed(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+    timed = df.where("ms is not null").withColumn("event_time", F.timestamp_millis("ms")).withWatermark("event_time", late)
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def stream_book(updates: DataFrame, late: str = LATE) -> DataFrame:
     """Top of book from a stream of updates (product_id, ms, seq, event_type, event_no, update_no, side, price, size)."""
-    return _keyed(updates, "product_id", BookProcessor(), TOB)
+    return _keyed(updates, "product_id", BookProcessor(), TOB, late)
 
 
-def stream_order_flow(quotes: DataFrame) -> DataFrame:
-    return _keyed(quotes, "product", OfiProcessor(), OFI)
+def stream_order_flow(quotes: DataFrame, late: str = LATE) -> DataFrame:
+    return _keyed(quotes, "product", OfiProcessor(), OFI, late)
 
 
-def stream_gate(orders: DataFrame) -> DataFrame:
-    return _keyed(orders, "account", OrderGate(), GATE)
+def stream_gate(orders: DataFrame, late: str = LATE) -> DataFrame:
+    return _keyed(orders, "account", OrderGate(), GATE, late)
 
 
-def stream_context(tokens: DataFrame) -> DataFrame:
-    return _keyed(tokens, "product", TokenContext(), "product string, ms long, context array<int>")
+def stream_context(tokens: DataFrame, late: str = LATE) -> DataFrame:
+    return _keyed(tokens, "product", TokenContext(), "product string, ms long, context array<int>", late)
 
 
-def stream_every_nth(values: DataFrame) -> DataFrame:
+def stream_every_nth(values: DataFrame, late: str = LATE) -> DataFrame:
     """(product, ms, seq, value) to every n-th update."""
-    return _keyed(values, "product", EveryNth(), "product string, ms long, seq long, nth long, mean double")
+    return _keyed(values, "product", EveryNth(), "product string, ms long, seq long, nth long, mean double", late)
+
+
+def stream_fills(orders: DataFrame, ticks: DataFrame, max_age_ms: int, share: float = 0.10, late: str = LATE) -> DataFrame:
+    """Fills and expiries of a stream of orders (product, order_id, ms, side, qty, limit_px) on a stream of ticks
+    (product, ms, seq, bid_px, ask_px, bid_sz, ask_sz); equals ``fills.replay_orders`` where kind is ``fill``."""
+    placed = orders.select("product", "ms", F.col("order_id").alias("seq"), F.lit(0).alias("rank"), "order_id", "side", "qty", "limit_px")
+    shown = ticks.select("product", "ms", "seq", F.lit(1).alias("rank"), "bid_px", "ask_px", "bid_sz", "ask_sz")
+    return _keyed(placed.unionByName(shown, allowMissingColumns=True), "product", PaperBroker(max_age_ms, share), FILLS, late)
