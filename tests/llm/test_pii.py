@@ -33,6 +33,14 @@ def test_secrets_need_variety_and_an_issuer_or_words(spark):
     assert pii.redacted(spark.createDataFrame([(pem,), (texts[0],)], "text string")).collect()[1]["text"] == 'token = "[SECRET]"'
 
 
+def test_a_secret_counts_by_its_whole_run(spark):
+    """What a long run of one character starts with decides nothing; neither does one that never varies."""
+    rows = [(1, "token " + "a" * 5_000 + "Zq8xW3mK9vT2"), (2, "token " + "a" * 5_000 + "1"), (3, "token " + "ab1" * 3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_table(df).collect()}
+    assert got == {1: "secret:6:5018", 2: "", 3: ""}
+
+
 def test_redaction_merges_overlaps(spark):
     rng = random.Random(4)
     parts = ["4111 1111 1111 1111", "+1 (884) 555-7752", "a.b@c.de", "10.0.0.1", "é😀 ", "word ", "\n", "+4111111111111111", "4111111111111111@x.y", f"token {TOKEN} "]
