@@ -74,6 +74,17 @@ def test_sharding(odd, none, docs):
     assert {r["shard"] for r in rows if r["doc_id"] is None} == {jump(0, 5)} and len({r["shard"] for r in rows if r["doc_id"] == "k"}) == 1
 
 
+def test_a_large_group_is_laid_open_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    hot = spark.createDataFrame([(5, "same")] * 500 + [(k, "x") for k in range(40)], "doc_id long, text string")
+    rows = sharding.shard_table(hot, 3).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == 540 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r["shard"] for r in rows if r["doc_id"] == 5}) == 1
+
+
 def test_shards_of_negative_and_large_keys(spark):
     keys = [-(2**63), -1, 0, 1, 2**63 - 1, *(random.Random(1).randint(-(2**63), 2**63 - 1) for _ in range(200))]
     df = spark.createDataFrame([(k,) for k in keys], "k long")

@@ -15,6 +15,8 @@ from .util import written
 JUMP_MULTIPLIER = 2862933555777941757
 #: Runs that the rows of a shard are cut into, whatever their number.
 RUNS = 1024
+#: Equal rows that are laid open together.
+PIECE = 10_000
 
 
 def _next_state(state: Column) -> Column:
@@ -88,12 +90,15 @@ def shard_table(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("many"))
-    groups = groups.withColumn("run", F.pmod(F.xxhash64(*rows.columns), F.lit(RUNS)).cast("int"))
+    # a large group goes in pieces of its own runs, so no task lays it open alone
+    groups = groups.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(many - 1) div {PIECE}"))))
+    groups = groups.withColumn("many", F.least(F.lit(PIECE), F.col("many") - F.col("piece") * PIECE))
+    groups = groups.withColumn("run", F.pmod(F.xxhash64(*rows.columns, "piece"), F.lit(RUNS)).cast("int"))
     groups = written(jump_shards(groups, id_col, shards, "shard", "grown_shard"))
     counts = groups.groupBy("shard", "run").agg(F.sum("many").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows a shard
     offsets = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "run").orderBy(id_col, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("shard", "run").orderBy(id_col, "text_crc32", "size", "piece").rowsBetween(Window.unboundedPreceding, 0)
     placed = groups.withColumn("past", F.sum("many").over(inside)).join(offsets, ["shard", "run"]).withColumn("past", F.col("past") + F.col("offset"))
     slots = F.explode(F.sequence(F.col("past") - F.col("many"), F.col("past") - 1))
     return placed.withColumn("slot", slots).select(F.col(f"`{id_col}`"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
