@@ -2,8 +2,9 @@
 
 Every component is cut into cells of equal width; a vector's approximation is its row of cell
 numbers. Queries first scan approximations only: the cells bound each inner product from both
-sides, and a candidate whose upper bound lies under the k-th best lower bound is out. The exact
-vectors of the rest are then read in order of their upper bounds until the k-th result is certain.
+sides, and a candidate whose upper bound lies under the k-th best lower bound of all blocks is out.
+The exact vectors of the rest are then read in order of their upper bounds, in rounds, until the k-th
+result is certain.
 
 Equal vectors are one class: it is searched once, as query and as candidate, and is represented by
 its k + 1 smallest ids, which is all that any query can need of it. Classes are dealt into blocks
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from .util import written
 
 #: Bits of a cell number; classes in a block; salts over which a class's ids are first cut down.
 CELL_BITS, QUERY_BLOCK, CANDIDATE_BLOCK, SALTS = 6, 4096, 32768, 32
+#: Times k + 1 exact vectors of a query that are read before a floor is taken from them.
+FIRST = 2
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
@@ -50,10 +54,14 @@ def _edges(low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.nd
 
 
 def scan(k: int):
-    """One block of query classes (exact) against one block of candidate approximations."""
+    """One block of query classes (exact) against one block of candidate approximations.
+
+    What can still be among the block's own k + 1 best leaves with both bounds; ``best`` marks the
+    rows that hold its k + 1 best lower bounds.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"q_class": [], "c_class": [], "upper": []}
+        out: dict[str, list] = {"q_class": [], "c_class": [], "copies": [], "upper": [], "lower": [], "best": []}
         if left.num_rows and right.num_rows:
             dim = len(left["q_v"][0])
             matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -77,44 +85,79 @@ def scan(k: int):
                     enough = np.searchsorted(np.cumsum(copies[order]), k + 1)
                     floor = lower[i][order[enough]] if enough < len(order) else -np.inf
                     near = np.flatnonzero(upper[i] >= floor)
-                    out["q_class"].append(np.full(len(near), q_class[at + i]))
-                    out["c_class"].append(c_class[near])
-                    out["upper"].append(upper[i][near])
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({c: pa.array(join(x), pa.float64() if c == "upper" else pa.int64()) for c, x in out.items()})
+                    rows = {"q_class": np.full(len(near), q_class[at + i]), "c_class": c_class[near], "copies": copies[near], "upper": upper[i][near], "lower": lower[i][near], "best": np.isin(near, order[: enough + 1])}
+                    for c, x in rows.items():
+                        out[c].append(x)
+        kinds = {"upper": pa.float64(), "lower": pa.float64(), "best": pa.bool_()}
+        return pa.table({c: pa.array(np.concatenate(x) if x else [], kinds.get(c, pa.int64())) for c, x in out.items()})
 
     return run
 
 
-def read_exact(k: int):
-    """Exact scores of a query class, its candidates in order of upper bound, until the k-th is certain."""
-
-    def run(table: pa.Table) -> pa.Table:
-        upper = table["upper"].to_numpy()
-        order = np.argsort(-upper, kind="stable")
-        query = np.array(table["v"][0].as_py(), np.int64)
-        most = float(np.abs(query.astype(np.float64)).max())
-        keep_c, keep_s, have, floor = [], [], [], -math.inf
-        vectors, many, c_class = table["w"], table["many"].to_numpy(), table["c_class"].to_numpy()
-        for i in order:
-            if upper[i] < floor:
-                break
-            vector = np.array(vectors[int(i)].as_py(), np.int64)
-            if most * float(np.abs(vector.astype(np.float64)).max()) * len(query) < 2.0**62:
-                score = int(query @ vector)
+def _floors(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(q_class, floor): per query the greatest ``value`` that k + 1 rows reach, copies counted; none where there are fewer."""
+    upto = Window.partitionBy("q_class").orderBy(F.desc(value), "c_class").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("have", F.sum("copies").over(upto)).where(F.col("have") > k).groupBy("q_class").agg(F.max(value).alias("floor"))
+
+
+def _hopeful(rows: DataFrame, floors: DataFrame) -> DataFrame:
+    return rows.join(floors, "q_class", "left").where("floor is null or upper >= floor").drop("floor")
+
+
+def _exact(left: Column, right: Column) -> Column:
+    """Inner products of integer vectors, at the ends of a long if they are beyond it."""
+
+    @F.pandas_udf("long")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), np.int64)
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+            if float(np.abs(x.astype(float)).max()) * float(np.abs(y.astype(float)).max()) * len(x) < 2.0**62:
+                out[i] = x @ y
             else:
-                score = sum(int(a) * int(b) for a, b in zip(query, vector, strict=True))
-            keep_c.append(c_class[i])
-            keep_s.append(score)
-            have += [score] * min(int(many[i]), k + 1)
-            if len(have) > k:
-                have = sorted(have, reverse=True)[: k + 1]
-                floor = have[k]
-        sure = [(c, s) for c, s in zip(keep_c, keep_s, strict=True) if s >= floor]
-        q = table["q_class"][0].as_py()
-        return pa.table({"q_class": pa.array([q] * len(sure), pa.int64()), "c_class": pa.array([int(c) for c, _ in sure], pa.int64()), "score": pa.array([max(-(2**63), min(2**63 - 1, s)) for _, s in sure], pa.int64())})
+                out[i] = max(-(2**63), min(2**63 - 1, sum(int(p) * int(q) for p, q in zip(x, y, strict=True))))
+        return pd.Series(out)
 
-    return run
+    return product(left, right)
+
+
+def survivors(classes: DataFrame, k: int) -> DataFrame:
+    """(q_class, c_class, copies, upper, lower) of what can be among a query's k + 1 best by the bounds alone.
+
+    Each block's best lower bounds give one floor a query over all blocks, so what survives does not
+    grow with their number.
+    """
+    # the grid of each dimension
+    grid = classes.select("dim", F.posexplode("v").alias("pos", "x")).groupBy("dim", "pos").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    grid = grid.withColumn("width", F.expr(f"greatest(1L, (high - low + {2**CELL_BITS}) div {2**CELL_BITS})"))
+    by_pos = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    grid = grid.groupBy("dim").agg(by_pos("low").alias("low"), by_pos("width").alias("width"))
+    coded = classes.join(grid, "dim").withColumn("cells", F.expr("transform(v, (x, i) -> cast((x - low[i]) div width[i] as smallint))"))
+    sums = classes.groupBy("dim").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).cast("int").alias("c_blocks"), F.greatest(F.lit(1), F.ceil(F.sum("asks") / QUERY_BLOCK).cast("int")).alias("q_blocks"))
+    spread = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    right = coded.join(sums, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), spread("c_blocks").alias("cb"), "class", "many", "cells", "low", "width")
+    left = classes.where("asks = 1").join(sums, "dim").select("dim", spread("q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("cb"), "class", "v")
+    left = left.toDF("q_dim", "q_qb", "q_cb", "q_class", "q_v")  # names of its own: both sides come from one table
+    near = left.groupBy("q_dim", "q_qb", "q_cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(scan(k), "q_class long, c_class long, copies long, upper double, lower double, best boolean")
+    near = written(near)
+    return _hopeful(near, _floors(near.where("best"), "lower", k)).drop("best")
+
+
+def read_exact(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(q_class, c_class, score) with the k + 1 best of every query: exact vectors are read by upper bound, in two rounds.
+
+    The first reads each query's ``FIRST`` greatest upper bounds; its scores give a floor, and the
+    second reads whatever can still reach that.
+    """
+    exact = classes.select(F.col("class").alias("c_class"), F.col("v").alias("w"))
+    asking = classes.where("asks = 1").select(F.col("class").alias("q_class"), "v")
+    score = lambda rows: rows.join(exact, "c_class").join(asking, "q_class").select("q_class", "c_class", "copies", _exact(F.col("v"), F.col("w")).alias("score"))
+    by_upper = Window.partitionBy("q_class").orderBy(F.desc("upper"), "c_class")
+    near = written(near.withColumn("nth", F.row_number().over(by_upper)))
+    first = written(score(near.where(F.col("nth") <= FIRST * (k + 1))))
+    rest = _hopeful(near.where(F.col("nth") > FIRST * (k + 1)), _floors(first, "score", k))
+    read = written(first.unionByName(score(rest)))
+    return read.join(_floors(read, "score", k), "q_class", "left").where("floor is null or score >= floor").select("q_class", "c_class", "score")
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256) -> DataFrame:
@@ -134,21 +177,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     named = Window.partitionBy("class").orderBy("v")
     classes = classes.withColumn("class", F.xxhash64("class", F.row_number().over(named)))
     classes = written(classes)
-    # the grid of each dimension
-    grid = classes.select("dim", F.posexplode("v").alias("pos", "x")).groupBy("dim", "pos").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    grid = grid.withColumn("width", F.expr(f"greatest(1L, (high - low + {2**CELL_BITS}) div {2**CELL_BITS})"))
-    by_pos = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
-    grid = grid.groupBy("dim").agg(by_pos("low").alias("low"), by_pos("width").alias("width"))
-    coded = classes.join(grid, "dim").withColumn("cells", F.expr("transform(v, (x, i) -> cast((x - low[i]) div width[i] as smallint))"))
-    sums = classes.groupBy("dim").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).cast("int").alias("c_blocks"), F.greatest(F.lit(1), F.ceil(F.sum("asks") / QUERY_BLOCK).cast("int")).alias("q_blocks"))
-    spread = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    right = coded.join(sums, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), spread("c_blocks").alias("cb"), "class", "many", "cells", "low", "width")
-    left = classes.where("asks = 1").join(sums, "dim").select("dim", spread("q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)).alias("cb"), "class", "v")
-    left = left.toDF("q_dim", "q_qb", "q_cb", "q_class", "q_v")  # names of its own: both sides come from one table
-    near = left.groupBy("q_dim", "q_qb", "q_cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(scan(k), "q_class long, c_class long, upper double")
-    exact = classes.select(F.col("class").alias("c_class"), F.col("v").alias("w"), "many")
-    asking = classes.where("asks = 1").select(F.col("class").alias("q_class"), "v")
-    read = near.join(exact, "c_class").join(asking, "q_class").groupBy("q_class").applyInArrow(read_exact(k), "q_class long, c_class long, score long")
+    read = read_exact(survivors(classes, k), classes, k)
     found = read.join(classes.select(F.col("class").alias("c_class"), F.explode("ids").alias("vec_id")), "c_class")
     best = Window.partitionBy("q_class").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("nth", F.row_number().over(best)).select("q_class", "vec_id", "score", "nth")
