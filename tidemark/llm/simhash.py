@@ -9,8 +9,8 @@ Only distinct fingerprints are indexed; exact copies meet in a group-by. A varia
 more than ``SMALL`` fingerprints is not joined with itself, as the pairs would grow with the square
 of the group. With up to two differing bits its fingerprints get the exact linear way: two of them
 link if and only if some bit string lies within one bit of both, so all 65 strings around each are
-grouped, and every group is a star. With more bits they are compared in blocks of bounded size, of
-which only the links of a spanning forest leave.
+grouped, and every group is a star. With more bits they are compared in blocks of bounded size whose
+components meet again, and only the links of spanning forests leave a block.
 
 With a least Jaccard similarity the fingerprints only search: they are those of the sets of distinct
 shingles, their links make clusters of candidates, and inside each cluster the sets themselves are
@@ -19,7 +19,9 @@ compared. Only sets that are similar enough link, and only these links make comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ from .util import free_name, written
 SMALL = 32
 #: Fingerprints in a block of a larger variant.
 BLOCK = 2048
+#: Random fingerprints that share a variant of a segment, about.
+GROUP = 16
 #: Shingles whose bits are added at once.
 CHUNK = 1 << 18
 #: Shingles in a block of a cluster of candidates.
@@ -151,31 +155,143 @@ def _ball_links(hot: DataFrame) -> DataFrame:
     return near.join(stars, "z").where("f0 <> low").select(F.col("f0").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _block_links(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
-    """Links inside large variants (key, many, id, f0..): all blocks of at most ``BLOCK`` against each other."""
-    names = [f"f{i}" for i in range(lanes)]
-    parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    rows = hot.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", *names)
-
-    def link(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("id")  # the smallest id is the root in every variant that holds it
-        prints, ids = block[names].to_numpy().view(np.uint64), block["id"].to_numpy()
-        near = np.zeros((len(ids), len(ids)), bool)
-        for at in range(0, len(ids), 256):
-            apart = np.bitwise_count(prints[at : at + 256, None, :] ^ prints[None, :, :]).sum(axis=2, dtype=np.int32)
-            near[at : at + 256] = apart <= max_bits
-        label = np.arange(len(ids))
-        while True:
-            low = np.array([label[row].min() for row in near])
-            low = np.minimum(low, low[low])
-            if (low == label).all():
-                break
-            label = low
-        return pd.DataFrame({"a": ids, "b": ids[label]})[label != np.arange(len(ids))]
+def _explored(n: int, near: Callable[[int, np.ndarray], np.ndarray], asks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) among ``n`` members; ``near(i, open)`` are the open ones that i links with.
 
-    return rows.groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
+    Without ``asks`` a spanning forest: each member meets only those that are in no tree yet. With it
+    every link of the members that ask.
+    """
+    a, b = [], []
+    if asks is not None:
+        for i in np.flatnonzero(asks):
+            found = near(i, np.arange(n) != i)
+            a.append(np.full(len(found), i))
+            b.append(found)
+    else:
+        open_ = np.ones(n, bool)
+        for seed in range(n):
+            queue = [seed] if open_[seed] else []
+            open_[queue] = False
+            for i in queue:  # a component, breadth first
+                found = near(i, open_)
+                open_[found] = False
+                queue += found.tolist()
+                a.append(np.full(len(found), i))
+                b.append(found)
+    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    return join(a), join(b)
+
+
+def _near_prints(names: list[str], max_bits: int):
+    def link(block: pd.DataFrame, asks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        prints = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
+
+        def near(i: int, open_: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(open_)
+            return at[np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1, dtype=np.int32) <= max_bits]
+
+        return _explored(len(block), near, asks)
+
+    return link
+
+
+def _near_sets(least: float):
+    def link(block: pd.DataFrame, asks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        own = block["hashes"].tolist()
+        n, sizes = len(own), np.array([len(h) for h in own])
+        _, full = np.unique(np.concatenate(own), return_inverse=True)
+        of, mark = np.repeat(np.arange(n), sizes), np.zeros(len(full), bool)
+        starts = np.cumsum(sizes) - sizes
+        state = [full, of, n]
+
+        def near(i: int, open_: np.ndarray) -> np.ndarray:
+            word, of, left = state
+            if 2 * open_.sum() < left:  # what is in a tree is compared no more
+                keep = open_[of]
+                word, of = word[keep], of[keep]
+                state[:] = word, of, int(open_.sum())
+            mine = full[starts[i] : starts[i] + sizes[i]]
+            mark[mine] = True
+            common = np.bincount(of[mark[word]], minlength=n)
+            mark[mine] = False
+            return np.flatnonzero(open_ & (common >= least * (sizes + sizes[i] - common) - 1e-9) & (common > 0))
+
+        return _explored(n, near, asks)
+
+    return link
+
+
+def links_in_groups(rows: DataFrame, payload: list[str], link, limit: int) -> DataFrame:
+    """Links (a, b) that make the components of each group's members (group, id, weight, parts, ``payload``).
+
+    A group of several ``parts`` (its weight over ``limit``) is never one task: its parts find their
+    own components, whose first members meet again in parts of bounded weight until they are one part
+    or no longer get fewer. What is then outside the group's largest component is compared with every
+    member of the group, block by block, so no link between components is lost, and a group whose
+    members are alike costs no more than its rows.
+    """
+    names = ["group", "id", "weight", "parts"]
+    rows = rows.select(*names, *payload)
+
+    def own(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("id").sort_values("id", ignore_index=True)
+        label, (a, b) = np.arange(len(block)), link(block, None)
+        label[b] = a  # a forest, its parents come first in each tree
+        while (label[label] != label).any():
+            label = label[label]
+        return pd.DataFrame({"group": block["group"], "id": block["id"], "weight": block["weight"], "parts": block["parts"], "root": block["id"].to_numpy()[label]})
+
+    def part(n: str):
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    schema = "group long, id long, weight long, parts int, root long"
+    inside = lambda x: written(x.withColumn("part", part("parts")).groupBy("group", "part").applyInPandas(lambda block: own(block.drop(columns="part")), schema))
+    first = found = inside(rows)
+    links = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    large = first.where("parts > 1")
+    members = large.count()
+    if not members:
+        return links
+    met, before = [links], members
+    while True:  # first members of components, in fewer parts
+        heads = found.where("parts > 1 and id = root").select("group", "id", "weight")
+        total = heads.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / limit)).cast("int").alias("parts"))
+        heads = written(heads.join(total, "group"))
+        n = heads.count()
+        if not n or 2 * n > before:
+            break
+        found, before = inside(heads.join(rows.drop("weight", "parts"), ["group", "id"])), n
+        met.append(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = written(reduce(DataFrame.unionByName, met))
+    roots = components(links)
+    placed = large.select("group", "id", "weight", "parts").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = written(placed)
+    largest = placed.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    rest = placed.join(largest, "group").where("root <> largest").select("group", "id", "weight")
+    asking = rest.groupBy("group").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("r_parts"))
+    rest = written(rest.join(asking, "group"))
+    if not rest.count():
+        return links
+    blocks = rows.where("parts > 1").join(asking, "group")
+    asked = blocks.join(rest.select("group", "id"), ["group", "id"]).select("group", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("r_parts").alias("r_part"), F.lit(True).alias("asks"), *payload)
+    others = blocks.select("group", "id", part("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)).alias("r_part"), F.lit(False).alias("asks"), *payload)
+
+    def across(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["id", "asks"], ascending=[True, False]).drop_duplicates("id", ignore_index=True)
+        a, b = link(block, block["asks"].to_numpy(bool))
+        ids = block["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    more = asked.unionByName(others).groupBy("group", "part", "r_part").applyInPandas(across, "a long, b long")
+    return links.unionByName(more.distinct())
+
+
+def _print_groups(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """Links inside large variants (key, id, f0..)."""
+    names = [f"f{i}" for i in range(lanes)]
+    counts = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = hot.join(counts, "key").select(F.col("key").alias("group"), "id", F.lit(1).cast("long").alias("weight"), "parts", *names)
+    return links_in_groups(rows, names, _near_prints(names, max_bits), BLOCK)
 
 
 def _searched(keyed: DataFrame, lanes: int, max_bits: int) -> DataFrame:
@@ -208,20 +324,37 @@ def _searched(keyed: DataFrame, lanes: int, max_bits: int) -> DataFrame:
         out = [rows[take, 1], rows[label[take], 1], rows[take, 0], np.r_[zero, many[hot]], *(rows[take, 2 + i] for i in range(lanes))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "key", "many", *names])
 
+    def large(rows: np.ndarray) -> pa.RecordBatch:
+        out = [rows[:, 1], rows[:, 1], rows[:, 0], np.full(len(rows), SMALL + 1), *(rows[:, 2 + i] for i in range(lanes))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "key", "many", *names])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, limit = [], 0, CHUNK
+        held, size, passing = [], 0, None  # ``passing``: a variant that fills a chunk goes on as it comes
         for batch in batches:
             held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
             size += batch.num_rows
-            if size >= limit:
-                rows = np.concatenate(held)
-                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last variant may go on
-                if cut:
-                    yield found(rows[:cut])
-                held, size = [rows[cut:]], len(rows) - cut
-                limit = max(CHUNK, 2 * size)
-        if size:
-            yield found(np.concatenate(held))
+            if size < CHUNK:
+                continue
+            rows = np.concatenate(held)
+            if passing is not None:
+                end = int(np.searchsorted(rows[:, 0], passing, "right"))
+                if end:
+                    yield large(rows[:end])
+                passing, rows = passing if end == len(rows) else None, rows[end:]
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0  # the last variant may go on
+            if cut:
+                yield found(rows[:cut])
+            rows = rows[cut:]
+            if len(rows) > CHUNK // 2:
+                yield large(rows)
+                passing, rows = rows[-1, 0], rows[:0]
+            held, size = [rows], len(rows)
+        rows = np.concatenate(held) if held else np.empty((0, 2 + lanes), np.int64)
+        end = int(np.searchsorted(rows[:, 0], passing, "right")) if passing is not None else 0
+        if end:
+            yield large(rows[:end])
+        if len(rows) > end:
+            yield found(rows[end:])
 
     ordered = keyed.select("key", "id", *names).repartition("key").sortWithinPartitions("key", "id")
     return ordered.mapInArrow(search, "a long, b long, key long, many long, " + ", ".join(f"{c} long" for c in names))
@@ -237,8 +370,8 @@ def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: in
     keyed = _variants(prints, lanes, segment_bits, banded)
     if lanes > 1:
         found = written(_searched(keyed, lanes, max_bits))
-        hot = found.where("many > 0").select("key", "many", F.col("a").alias("id"), *names)
-        return found.where("many = 0").select("a", "b").unionByName(_block_links(hot, lanes, max_bits)).distinct()
+        hot = found.where("many > 0").select("key", F.col("a").alias("id"), *names)
+        return found.where("many = 0").select("a", "b").unionByName(_print_groups(hot, lanes, max_bits)).distinct()
     # one shuffle: distinct fingerprints that agree in a whole variant are few enough for a window
     keyed = keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
     keyed = written(keyed).withColumn("id", F.col("f0"))  # the fingerprint names itself
@@ -251,17 +384,10 @@ def simhash_links(prints: DataFrame, lanes: int, segment_bits: int, max_bits: in
         if max_bits < 2:
             more = more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     else:
-        more = _block_links(hot, lanes, max_bits)
+        more = _print_groups(hot, lanes, max_bits)
     return pairs.unionByName(more).distinct()
 
 
-def _parted(rows: DataFrame, parts: Column, *group: str) -> DataFrame:
-    """``rows`` by blocks i <= j of their group: every part of it meets every other, and itself in i = j."""
-    rows = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).groupBy(*group, "i", "j")
-
-
 def similar_links(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, clusters: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) between shingle sets of one cluster (node, root) whose Jaccard similarity is at least ``least``.
 
@@ -271,7 +397,8 @@ def similar_links(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, cl
     members = rows.groupBy(F.col("s").alias("node")).agg(F.min("row_key").alias("row_key"), F.first("n").alias("n")).join(clusters, "node")
     members = written(members)
     sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
-    members = written(members.join(sizes, "root").select("row_key", "root", F.col("node").alias("id"), F.ceil(F.greatest("total", F.lit(1)) / SHINGLES).alias("parts")))
+    parts = F.ceil(F.greatest("total", F.lit(1)) / SHINGLES).cast("int")
+    members = written(members.join(sizes, "root").select("row_key", "root", F.col("node").alias("id"), F.greatest("n", F.lit(1)).alias("weight"), parts.alias("parts")))
     few = F.broadcast(members) if members.count() <= SENT_ROWS else members
 
     @F.pandas_udf("array<long>")
@@ -279,35 +406,24 @@ def similar_links(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, cl
         return pd.Series([np.unique(shingle_hashes(t, words, 42).astype(np.uint64)).view(np.int64) for t in texts], dtype=object)
 
     texts = df.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(few, "row_key")
-    sets = written(texts.select("root", "id", "parts", hashes("text").alias("hashes")))
-
-    def link(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("id").sort_values("id")
-        ids, own = block["id"].to_numpy(), block["hashes"].tolist()
-        sizes = np.array([len(h) for h in own])
-        _, word = np.unique(np.concatenate(own), return_inverse=True)
-        of, mark = np.repeat(np.arange(len(ids)), sizes), np.zeros(len(word), bool)
-        starts, full = np.cumsum(sizes) - sizes, word
-        open_, left, a, b = np.ones(len(ids), bool), len(ids), [], []
-        for seed in range(len(ids)):
-            queue = [seed] if open_[seed] else []
-            open_[queue] = False
-            for at in queue:  # a component, breadth first: each member against all that are in none yet
-                if 2 * open_.sum() < left:
-                    keep, left = open_[of], open_.sum()
-                    word, of = word[keep], of[keep]
-                mine = full[starts[at] : starts[at] + sizes[at]]
-                mark[mine] = True
-                common = np.bincount(of[mark[word]], minlength=len(ids))
-                mark[mine] = False
-                near = np.flatnonzero(open_ & (common >= least * (sizes + sizes[at] - common) - 1e-9) & (common > 0))
-                open_[near] = False
-                queue += near.tolist()
-                a += near.tolist()
-                b += [at] * len(near)
-        return pd.DataFrame({"a": ids[a], "b": ids[b]}) if a else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-
-    return _parted(sets, F.col("parts"), "root").applyInPandas(link, "a long, b long").distinct()
+    sets = written(texts.select(F.col("root").alias("group"), "id", "weight", "parts", hashes("text").alias("hashes")))
+    return links_in_groups(sets, ["hashes"], _near_sets(least), SHINGLES).distinct()
+
+
+def segments(rows: int, words: int = 5, least: float = 0.8, recall: float = 0.925) -> tuple[int, int, int]:
+    """(lanes, bits of a segment, bits that may differ) for a table of ``rows``.
+
+    A segment is so long that about ``GROUP`` random fingerprints share a variant of it, so the work
+    grows with the rows; and there are as many segments as let a pair whose sets are similar by
+    ``least`` meet with chance ``recall``. At a similarity J, equally large sets differ in a share
+    acos(2J / (1 + J)) / pi of their bits.
+    """
+    bits = min(32, max(16, math.ceil(math.log2(max(1, rows) / GROUP)) + 1))
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    meets = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    many = math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    lanes = -(-many // (64 // bits))
+    return lanes, bits, 16 * lanes
 
 
 def simhash_groups(
@@ -344,15 +460,18 @@ def simhash_groups(
 
 
 def one_of_each(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 2, segment_bits: int = 16, max_bits: int = 32, banded: bool = True, least: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, plan: tuple[int, int, int] | None = None
 ) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row stays, with all columns.
 
     By default five-word shingles: texts link if their sets of shingles have a Jaccard similarity of
-    at least 0.8. Candidates are found by 128 bits, of which at most 32 differ (at 0.8 they are 19
-    on average, with a deviation of 4). The row with the smallest id stays (null ids last, then the
-    smallest row key); of repeated rows one.
+    at least 0.8. Candidates are found by fingerprints cut as ``segments`` says for the number of rows
+    (or as ``plan`` does). The row with the smallest id stays (null ids last, then the smallest row
+    key); of repeated rows one. Null, empty and wordless texts are one group, of which one row stays.
+    An empty table stays empty; other columns, whatever their names, are kept.
     """
+    lanes, segment_bits, max_bits = plan or segments(df.count(), words, least)
+    banded = True
     groups = simhash_groups(df, id_col, text_col, words, lanes, segment_bits, max_bits, banded, least)
     first = groups.select(F.col("component_root").alias("whole"), F.col(id_col).alias("id"), "row_key")
     kept = first.groupBy("whole").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first"))
