@@ -75,27 +75,32 @@ def markout_rows(fills: DataFrame, tob: DataFrame, key: str, horizons: list[int]
     return at.withColumns({f"mkout_{h}": sign * (F.col(f"m_{h}") - F.col("fill_px")) for h in horizons}).drop(*[f"m_{h}" for h in horizons])
 
 
+def markouts(fills: DataFrame, key: str, horizons_ms: list[int]) -> DataFrame:
+    """Each fill once a horizon, with horizon_ms and markout: the mid of the key's first fill at or after
+    ts + horizon, minus the own mid; null if none. All horizons are probes of one pass."""
+    probes = fills.withColumn("own_ms", F.col("ms")).withColumn("horizon_ms", F.explode(F.array(*map(F.lit, horizons_ms))))
+    probes = probes.withColumn("ms", F.col("ms") + F.col("horizon_ms"))
+    later = fills.select(key, "ms", "seq", F.col("mid_at_fill").alias("later_mid"))
+    found = asof(probes, later, key, "ms", ["later_mid"], forward=True)
+    return found.withColumn("markout", F.col("later_mid") - F.col("mid_at_fill")).withColumn("ms", F.col("own_ms")).drop("own_ms", "later_mid")
+
+
 def markout_time(fills: DataFrame, key: str, horizons_ms: list[int]) -> DataFrame:
-    """markout_h: mid of the key's first fill at or after ts + h, minus the own mid; null if none."""
-    out = fills
-    for h in horizons_ms:
-        probe = out.withColumn("own_ms", F.col("ms")).withColumn("ms", F.col("ms") + h)
-        later = fills.select(key, "ms", "seq", F.col("mid_at_fill").alias("later_mid"))
-        out = asof(probe, later, key, "ms", ["later_mid"], forward=True)
-        out = out.withColumn(f"markout_{h}", F.col("later_mid") - F.col("mid_at_fill")).withColumn("ms", F.col("own_ms")).drop("own_ms", "later_mid")
-    return out
-
-
-def post_trade(fills: DataFrame, horizons_ms: list[int]) -> DataFrame:
-    """Per horizon: mean signed markout, absolute spread and edge in bps, hit rate (a missing markout is a miss), n."""
-    parts = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_ms"), F.col(f"markout_{h}").alias("mo")) for h in horizons_ms])).alias("h")
-    rows = fills.select("side", "mid_at_fill", "spread_cost_per_unit", parts).select("*", "h.*")
+    """One row a fill (by key, ms and seq) with markout_h for every horizon."""
+    others = [c for c in fills.columns if c not in (key, "ms", "seq")]
+    at = lambda h: F.max(F.when(F.col("horizon_ms") == h, F.col("markout"))).alias(f"markout_{h}")
+    out = markouts(fills, key, horizons_ms).groupBy(key, "ms", "seq").agg(F.first(F.struct(*others)).alias("own"), *[at(h) for h in horizons_ms])
+    return out.select(key, "ms", "seq", "own.*", *[f"markout_{h}" for h in horizons_ms])
+
+
+def post_trade(marked: DataFrame) -> DataFrame:
+    """Per horizon of ``markouts``: mean signed markout, absolute spread and edge in bps, hit rate (a missing markout is a miss), n."""
     sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
     base = F.when(F.col("mid_at_fill") != 0, F.col("mid_at_fill"))
-    signed, spread = sign * F.col("mo") / base * 1e4, F.abs(F.col("spread_cost_per_unit") / base) * 1e4
-    return rows.groupBy("horizon_ms").agg(
+    signed, spread = sign * F.col("markout") / base * 1e4, F.abs(F.col("spread_cost_per_unit") / base) * 1e4
+    return marked.groupBy("horizon_ms").agg(
         F.avg(signed).alias("mean_markout_bps"), F.avg(spread).alias("mean_spread_bps"), F.avg(signed - spread).alias("mean_edge_bps"),
-        F.avg(F.when(sign * F.col("mo") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.count(signed - spread).alias("n_fills"),
+        F.avg(F.when(sign * F.col("markout") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.count(signed - spread).alias("n_fills"),
     )
 
 

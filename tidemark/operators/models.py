@@ -32,22 +32,22 @@ def cluster_tickers(returns: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select("ticker", "cluster")
 
 
-def fit_return_model(rows: DataFrame, features: list[str], label: str, seed: int = 0):
+def fit_return_model(rows: DataFrame, features: list[str], label: str, seed: int = 0, rounds: int = 120):
     """A scaled boosted-tree regressor of the next return and the deviation of its residuals."""
-    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), GBTRegressor(featuresCol="x", labelCol=label, maxDepth=3, maxIter=20, seed=seed)]
+    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), GBTRegressor(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed)]
     clean = rows.dropna(subset=[*features, label])
     model = Pipeline(stages=steps).fit(clean)
     sigma = model.transform(clean).agg(F.stddev_pop(F.col(label) - F.col("prediction")).alias("s")).first()["s"]
     return model, sigma
 
 
-def fit_fill_model(rows: DataFrame, features: list[str], label: str = "label", least_rows: int = 500, least_fills: int = 20, seed: int = 0):
+def fit_fill_model(rows: DataFrame, features: list[str], label: str = "label", least_rows: int = 500, least_fills: int = 20, seed: int = 0, rounds: int = 80):
     """A boosted-tree fill classifier with isotonic calibration; None under the minimum of rows or fills."""
     n, fills = rows.agg(F.count("*"), F.sum(label)).first()
     if n < least_rows or (fills or 0) < least_fills:
         return None
     assembled = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(rows)
-    trees = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=15, seed=seed).fit(assembled)
+    trees = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed).fit(assembled)
     scored = trees.transform(assembled).withColumn("p", vector_to_array("probability")[1])
     return trees, IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="p_fill").fit(scored.select("p", F.col(label).cast("double").alias(label)))
 
@@ -67,14 +67,14 @@ def _probe_input(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="x").transform(rows.dropna(subset=[*features, label]))
 
 
-def fit_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0):
+def fit_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0, rounds: int = 200):
     """A boosted-tree classifier fitted on the train split."""
-    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=10, seed=seed).fit(_probe_input(rows, features, label).where("split = 'train'"))
+    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed).fit(_probe_input(rows, features, label).where("split = 'train'"))
 
 
-def directional_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0) -> DataFrame:
+def directional_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0, rounds: int = 200) -> DataFrame:
     """Rows of the eval split with ``pred`` of a classifier fitted on the train split."""
-    model = fit_probe(rows, features, label, seed)
+    model = fit_probe(rows, features, label, seed, rounds)
     scored = model.transform(_probe_input(rows, features, label).where("split = 'eval'"))
     return scored.withColumn("pred", F.col("prediction").cast("int")).drop("x", "rawPrediction", "probability", "prediction")
 

@@ -33,16 +33,20 @@ def resolve_margin(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Coefficients of each row (underlying, bucket, regime, minute) by inheritance.
 
     ``table`` has underlying, bucket, regime (null: holds for all below) and coefficient columns. The
-    most specific value wins, then the defaults; the last hour multiplies all but the floor.
+    most specific value wins, then the defaults; the last hour multiplies all but the floor. Several
+    rows for one place in this order are an error, as no order says which of them holds.
     """
     names = [n for n in DEFAULTS if n in table.columns]
+    twice = table.groupBy("underlying", "bucket", "regime").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"several rows of margin values for underlying {twice[0]}, bucket {twice[1]}, regime {twice[2]}")
     levels = [("underlying", "bucket", "regime"), ("underlying", "bucket"), ("underlying",), ()]
     out, found = rows, {n: [] for n in names}
     for i, level in enumerate(levels):
         others = {"underlying", "bucket", "regime"} - {*level}
         part = table.where(" and ".join([f"{c} is not null" for c in level] + [f"{c} is null" for c in sorted(others)]) or "true")
         part = part.select(*level, *[F.col(n).alias(f"_{n}{i}") for n in names])
-        out = out.join(part, list(level), "left") if level else out.join(F.broadcast(part.limit(1)), how="left")  # one row of general values
+        out = out.join(part, list(level), "left") if level else out.join(F.broadcast(part), how="left")  # one row of general values
         for n in names:
             found[n].append(F.col(f"_{n}{i}"))
     values = {n: F.coalesce(*found[n], F.lit(DEFAULTS[n])) if n in found else F.lit(DEFAULTS[n]) for n in DEFAULTS}

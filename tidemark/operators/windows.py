@@ -81,6 +81,24 @@ def in_blocks(df: DataFrame, key: str, ms: str, seq: str, append: Callable, back
     return append(rows, by([key, "_block"], "_pos")).where("_block = _own").drop("_pos", "_own", "_block")
 
 
+def next_extremes(df: DataFrame, key: str, ms: str, seq: str, value: str, n: int, chunk_ms: int = DAY_MS) -> DataFrame:
+    """Append next_min and next_max of ``value`` over the next ``n`` rows of the key, null where there are fewer.
+
+    Rows stand in groups of ``n``: the next n rows are the end of one group and the start of the next,
+    so two running extremes answer for any ``n``.
+    """
+
+    def append(rows: DataFrame, w) -> DataFrame:
+        group = Window.partitionBy(key, "_block", F.expr(f"_pos div {n}"))
+        up, down = (group.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_pos"), F.desc("_pos")))
+        rows = rows.withColumns({"_lo_up": F.min(value).over(up), "_hi_up": F.max(value).over(up), "_lo_down": F.min(value).over(down), "_hi_down": F.max(value).over(down)})
+        there = F.lead("_pos", n).over(w).isNotNull()
+        both = lambda c, of: F.when(there, of(F.lead(f"_{c}_down", 1).over(w), F.lead(f"_{c}_up", n).over(w)))
+        return rows.withColumns({"next_min": both("lo", F.least), "next_max": both("hi", F.greatest)}).drop("_lo_up", "_hi_up", "_lo_down", "_hi_down")
+
+    return in_blocks(df, key, ms, seq, append, ahead=n, chunk_ms=chunk_ms)
+
+
 def in_spans(df: DataFrame, key: str, ms: str, append: Callable, back_ms: int, chunk_ms: int = DAY_MS) -> DataFrame:
     """``append(rows, w)`` where ``w`` is the key's time order and no frame reaches over ``back_ms`` back: spans of time, each with copies of the rows that end the one before."""
     size = max(chunk_ms, back_ms)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fills as fl
-from ..operators import bins, models, quality
-from ..operators.windows import asof
+from ..operators import bins, models, quality, sliding
+from ..operators.windows import asof, next_extremes
 from ..sources import readers
+from ..sources.shared import written
 from . import views as v
 from .registry import query
 from .views import HOUR_MS, sql
@@ -100,14 +100,8 @@ SELECT product, seq, CASE WHEN count(*) OVER w = 20 THEN min(last_px) OVER w END
 FROM trades WINDOW w AS (PARTITION BY product ORDER BY ms, seq ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)"""))
 def w17_forward_hits(spark, sf_dir):
     """Whether the next 20 prints reach a level."""
-    from ..operators.windows import in_blocks
-
-    def lows(rows, w):
-        w = w.rowsBetween(1, 20)
-        return rows.withColumn("low", F.when(F.count("*").over(w) == 20, F.min("last_px").over(w)))
-
-    rows = in_blocks(v.trades(spark, sf_dir), "product", "ms", "seq", lows, ahead=20)
-    return rows.select("product", "seq", "low", (F.col("low") <= F.col("bid_px")).cast("int").alias("hit"))
+    rows = next_extremes(v.trades(spark, sf_dir), "product", "ms", "seq", "last_px", 20)
+    return rows.select("product", "seq", F.col("next_min").alias("low"), (F.col("next_min") <= F.col("bid_px")).cast("int").alias("hit"))
 
 
 @query(sql("fills book", """
@@ -140,7 +134,7 @@ def j6_markout_time(spark, sf_dir):
 SELECT CAST(horizon_ms AS INTEGER) AS horizon_ms, round(avg(signed), 6) AS mean_markout_bps, round(avg(spread), 6) AS mean_spread_bps, round(avg(signed - spread), 6) AS mean_edge_bps, round(avg(hit), 6) AS hit_rate, count(signed - spread) AS n_fills FROM s GROUP BY 1"""))
 def a11_post_trade(spark, sf_dir):
     """Edge per horizon."""
-    out = fl.post_trade(timed(spark, sf_dir), [HOUR_MS, H])
+    out = fl.post_trade(fl.markouts(v.fills(spark, sf_dir), "product", [HOUR_MS, H]))
     return out.select("horizon_ms", *r6("mean_markout_bps", "mean_spread_bps", "mean_edge_bps", "hit_rate"), "n_fills")
 
 
@@ -219,20 +213,26 @@ def a34_strategy_summary(spark, sf_dir):
     return rows.groupBy("product").agg(F.round(F.sum("pnl"), 6).alias("pnl"), F.round(sharpe, 6).alias("sharpe"), F.round(F.avg("fill_qty"), 6).alias("mean_turnover"))
 
 
-@query(sql("ticks", "SELECT product, round(quantile_cont(bid_sz, 0.5), 6) AS p50, round(quantile_cont(bid_sz, 0.9), 6) AS p90, round(quantile_cont(bid_sz, 0.99), 6) AS p99 FROM ticks GROUP BY product"))
+LATENCY = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query(sql("ticks", "SELECT product, round(quantile_cont(bid_sz, 0.5), 6) AS p50, round(quantile_cont(bid_sz, 0.9), 6) AS p90, round(quantile_cont(bid_sz, 0.99), 6) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ms DESC, seq DESC) AS nth FROM ticks) WHERE nth <= 2000 GROUP BY product"))
 def a28_latency(spark, sf_dir):
-    """Percentiles of a latency column per group."""
-    p = bins.exact_quantiles(v.ticks(spark, sf_dir), ["product"], [0.5, 0.9, 0.99], "bid_sz")
-    return p.select("product", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p50", "p90", "p99"))])
+    """Percentiles of a latency column over the last 2000 rows of each group."""
+    return sliding.last_percentiles(v.ticks(spark, sf_dir), "product", "ms", "seq", "bid_sz", LATENCY).select("product", *r6(*LATENCY))
 
 
-@query(sql("ticks", "SELECT inst, seq, round(quantile_cont(bid_sz, 0.9) OVER (PARTITION BY inst ORDER BY ms, seq ROWS 49 PRECEDING), 6) AS p90 FROM ticks"))
+@query(sql("ticks", "SELECT product, seq, round(quantile_cont(bid_sz, 0.5) OVER w, 6) AS p50, round(quantile_cont(bid_sz, 0.9) OVER w, 6) AS p90, round(quantile_cont(bid_sz, 0.99) OVER w, 6) AS p99 FROM ticks WINDOW w AS (PARTITION BY product ORDER BY ms, seq ROWS 1999 PRECEDING)"))
 def w30_rolling_latency(spark, sf_dir):
-    """Rolling percentiles."""
-    from ..operators.windows import in_blocks
+    """Percentiles over the last 2000 rows, at every row."""
+    rows = v.ticks(spark, sf_dir).select("product", "ms", "seq", "bid_sz")
+    return sliding.rolling_percentiles(rows, "product", "ms", "seq", "bid_sz", LATENCY).select("product", "seq", *r6(*LATENCY))
+
 
-    p90 = lambda rows, w: rows.withColumn("p90", F.round(F.percentile("bid_sz", 0.9).over(w.rowsBetween(-49, 0)), 6))
-    return in_blocks(v.ticks(spark, sf_dir), "inst", "ms", "seq", p90, back=50).select("inst", "seq", "p90")
+@query(sql("ticks", "WITH n AS (SELECT product, event_type, bid_sz, count(*) AS n FROM ticks GROUP BY 1, 2, 3) SELECT product, event_type, bid_sz, n FROM (SELECT *, row_number() OVER (PARTITION BY product, event_type ORDER BY n DESC, bid_sz) AS nth FROM n) WHERE nth = 1"))
+def t3_most_frequent(spark, sf_dir):
+    """The most frequent size of each product and kind of event."""
+    return sliding.most_frequent(v.ticks(spark, sf_dir), ["product", "event_type"], "bid_sz").select("product", "event_type", "bid_sz", "n")
 
 
 @query(sql("ticks", """
@@ -248,10 +248,13 @@ def s4_book_updates(spark, sf_dir):
 @query()
 def x7_fill_model(spark, sf_dir):
     """Fill probabilities with holdout AUC and Brier score by time."""
-    rows = sided(spark, sf_dir).withColumn("nth", F.percent_rank().over(Window.partitionBy("side").orderBy("seq")))
+    # the first four fifths of each side train, by exact quantiles of the order as no window holds a side
+    rows = written(sided(spark, sf_dir))
+    ends = bins.exact_quantiles(rows, ["side"], [0.8], "seq").select("side", F.col("q")[0].alias("end"))
+    rows = rows.join(F.broadcast(ends), "side")  # two sides
     names = ["distance_ticks", "rel_spread", "micro_dev", "predicted_return", "queue_ahead"]
-    model = models.fit_fill_model(rows.where("nth <= 0.8"), names)
-    scored = models.fill_probability(model, rows.where("nth > 0.8"), names)
+    model = models.fit_fill_model(rows.where("seq <= end"), names)
+    scored = models.fill_probability(model, rows.where("seq > end"), names)
     auc, brier = models.auc_brier(scored, "p_fill", "label")
     return scored.select("seq", "side", "label", "p_fill", F.lit(auc).alias("auc"), F.lit(brier).alias("brier"))
 
@@ -268,7 +271,7 @@ def x6_return_model(spark, sf_dir):
 
 @query(sql("predictions", """
 WITH m AS (SELECT quantile_disc(target, 0.5) AS median FROM predictions)
-SELECT round(avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN target IN (pred, (pred + 1) % 64, (pred + 2) % 64) THEN 1.0 ELSE 0.0 END), 6) AS top5, round(-avg(logprob), 6) AS ce,
+SELECT round(avg(CASE WHEN pred = target THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN target IN (pred, (pred + 1) % 64, (pred + 2) % 64, (pred + 3) % 64, (pred + 4) % 64) THEN 1.0 ELSE 0.0 END), 6) AS top5, round(-avg(logprob), 6) AS ce,
  round(avg(CASE WHEN target <> median THEN CASE WHEN sign(pred - median) = sign(target - median) THEN 1.0 ELSE 0.0 END END), 6) AS direction,
  round(avg(CASE WHEN target <> median AND feature_index = 0 THEN CASE WHEN sign(pred - median) = sign(target - median) THEN 1.0 ELSE 0.0 END END), 6) AS direction_feature0, count(*) AS n FROM predictions, m"""))
 def a26_prediction_scores(spark, sf_dir):

@@ -94,7 +94,7 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     target, pred = (F.floor("value").cast("int") % 64).alias("target"), (i * 31 % 64).cast("int")
-    return e.select(i.alias("position"), target, pred.alias("pred"), (i % 7).cast("int").alias("feature_index"), F.array(pred, (pred + 1) % 64, (pred + 2) % 64).alias("top5"), (-(i % 10 + 1) / 10.0).alias("logprob"))
+    return e.select(i.alias("position"), target, pred.alias("pred"), (i % 7).cast("int").alias("feature_index"), F.array(*[(pred + k) % 64 for k in range(5)]).alias("top5"), (-(i % 10 + 1) / 10.0).alias("logprob"))
 
 
 def day_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
