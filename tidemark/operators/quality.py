@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .windows import previous
@@ -32,13 +32,25 @@ def tick_findings(ticks: DataFrame, key: str) -> DataFrame:
     return a.select(F.explode(found).alias("f")).select("f.*")
 
 
-def shard_findings(tokens: DataFrame, features: int, days: list[str]) -> DataFrame:
-    """Findings on a token table: length of token rows, no empty row, all expected days present."""
-    a = tokens.agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most"), F.sort_array(F.collect_set("day")).alias("days"), F.count("*").alias("n"))
+def shard_findings(tokens: DataFrame | None, features: int, days: list[str], columns: list[str] = ("day", "tokens")) -> DataFrame:
+    """Findings on a token table: whether it exists (None does not) and has all ``columns``, length of token rows, no empty table, all expected days present.
+
+    What a missing table or column leaves unknown is a failed finding, not an error.
+    """
+    have = [] if tokens is None else [c for c in columns if c in tokens.columns]
+    lost = [c for c in columns if c not in have]
+    know = lambda c, value: value if c in have else F.lit(None)
+    if tokens is None:
+        tokens = SparkSession.active().range(0)
+    size = know("tokens", F.size("tokens")).cast("int")
+    a = tokens.agg(F.min(size).alias("least"), F.max(size).alias("most"), F.sort_array(F.collect_set(know("day", F.col("day")).cast("string"))).alias("days"), F.count("*").alias("n"))
     missing = F.array_except(F.array(*[F.lit(d) for d in days]), F.col("days"))
+    true = lambda x: F.coalesce(x, F.lit(False))
     found = F.array(
+        finding("exists", F.lit(bool(have)), F.lit("" if have else "missing"), "fail"),
+        finding("schema", F.lit(not lost), F.lit(",".join(lost)), "fail"),
         finding("rows", F.col("n") > 0, F.col("n"), "fail"),
-        finding("token_length", (F.col("least") == features) & (F.col("most") == features), F.concat_ws("-", "least", "most"), "fail"),
+        finding("token_length", true((F.col("least") == features) & (F.col("most") == features)), F.concat_ws("-", "least", "most"), "fail"),
         finding("day_coverage", F.size(missing) == 0, F.array_join(missing, ","), "warn"),
     )
     return a.select(F.explode(found).alias("f")).select("f.*")

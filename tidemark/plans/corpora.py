@@ -154,7 +154,7 @@ def a15_roots(spark, sf_dir):
 
 
 @query(sql("ticks", f"""WITH {TOK}, a AS (SELECT count(*) AS n, min(len(tokens)) AS least, max(len(tokens)) AS most, count(*) FILTER (strftime(make_timestamp(ms * 1000), '%Y-%m-%d') = '2024-01-01') AS there FROM tok)
-SELECT 'rows' AS name, n > 0 AS ok, CAST(n AS VARCHAR) AS detail, 'fail' AS severity FROM a UNION ALL SELECT 'token_length', least = 3 AND most = 3, concat_ws('-', least, most), 'fail' FROM a
+SELECT 'exists' AS name, true AS ok, '' AS detail, 'fail' AS severity UNION ALL SELECT 'schema', true, '', 'fail' UNION ALL SELECT 'rows' AS name, n > 0 AS ok, CAST(n AS VARCHAR) AS detail, 'fail' AS severity FROM a UNION ALL SELECT 'token_length', least = 3 AND most = 3, concat_ws('-', least, most), 'fail' FROM a
 UNION ALL SELECT 'day_coverage', there > 0, CASE WHEN there > 0 THEN '' ELSE '2024-01-01' END, 'warn' FROM a"""))
 def a16_shard_findings(spark, sf_dir):
     """Findings on a token table."""

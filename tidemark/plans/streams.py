@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.windows import DAY_MS
+from ..sources.sinks import RollingSink
 from ..streaming import queries as sq
-from ..streaming import stateful
+from ..streaming import replay, stateful
 from . import books
 from . import views as v
 from .ingest import scratch
@@ -51,6 +53,28 @@ def st3_hourly_sink(spark, sf_dir):
     return read.groupBy("day", "hour").agg(F.count("*").alias("n"))
 
 
+@query(sql("ticks", "SELECT seq, CAST((ms - low + 86399999) // 86400000 AS INTEGER) AS step FROM ticks, (SELECT min(ms) // 86400000 * 86400000 AS low FROM ticks) WHERE ms > low AND ms <= low + 10 * 86400000"))
+def s14_paced_replay(spark, sf_dir):
+    """The first ten days released in steps of a day of event time, unpaced."""
+    path = scratch(spark)
+    t = v.ticks(spark, sf_dir).select("seq", "ms", F.col("ts").cast("timestamp").alias("ts"))
+    low = t.agg(F.min("ms")).first()[0] // DAY_MS * DAY_MS
+    sink = lambda rows, number: rows.select("seq").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    replay.paced(spark, t, "ts", low, low + 10 * DAY_MS, sink, f"{path}/state", speed=0, step_ms=DAY_MS)
+    return spark.read.schema("seq long, batch int").parquet(f"{path}/rows").select("seq", (F.col("batch") + 1).alias("step"))
+
+
+@query(sql("ticks", "SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour, count(*) AS n, sum(seq) AS seqs FROM ticks GROUP BY 1, 2"))
+def s8_rolling_sink(spark, sf_dir):
+    """A stream flushed by rows and micro-batches with a manifest, compacted and read again."""
+    path = scratch(spark)
+    t = stream_view(spark, sf_dir, v.ticks).select("inst", "seq", "ms")
+    sink = RollingSink(spark, f"{path}/log", rows=500)
+    t.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    sink.compact(t.schema)
+    return sink.read(t.schema).groupBy("day", "hour").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
 @query(sql("quotes trades", "SELECT q.seq AS q_seq, t.seq AS t_seq FROM quotes q JOIN trades t ON q.product = t.product AND t.ts >= q.ts AND t.ts <= q.ts + INTERVAL 1 HOUR"))
 def st10_quote_trade_pairs(spark, sf_dir):
     """ST10: quotes and trades of two streams joined on an interval, with watermarks."""
