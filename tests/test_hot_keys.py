@@ -3,19 +3,23 @@
 import gzip
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bins, corpus, fills, panel, quality, risk, toxicity, windows
+from tidemark.operators import bins, corpus, fills, panel, quality, risk, sliding, toxicity, windows
 from tidemark.sources import readers, schemas, sinks
+from tidemark.streaming import replay
 
 
 @pytest.fixture()
 def small_blocks(monkeypatch):
     monkeypatch.setattr(windows, "BLOCK_ROWS", 7)
     monkeypatch.setattr(bins, "MARKS", 5)
+    monkeypatch.setattr(bins, "SPAN", 9)
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +59,35 @@ def test_numbers_sums_and_fills(hot, small_blocks):
     same(windows.last_known(hot, "k", "ms", "seq", "x", "f", backward=True), hot.withColumn("f", F.first("x", True).over(onward)), "f")
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_spans_of_one_feature_are_bounded(spark, small_blocks, monkeypatch, broadcast):
+    """However many values one feature has, no span holds more than its bound, and the ranks are exact."""
+    if not broadcast:
+        monkeypatch.setattr(bins, "SENT_ROWS", 0)
+    rng = random.Random(2)
+    values = [rng.gauss(0, 1) ** 3 for _ in range(700)] + [1.5] * 300
+    rows = spark.createDataFrame([("f", x) for x in values], "feature string, value double")
+    counts = rows.groupBy("feature", F.col("value").alias("_v")).agg(F.count("*").alias("_n"))
+    sizes = [r["n"] for r in bins._spans(counts, ["feature"]).groupBy("feature", "_low").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 9 and sum(sizes) == 701
+    got = bins.exact_quantiles(rows, ["feature"], [0.0, 0.1, 0.55, 0.999, 1.0]).first()
+    values.sort()
+    for q, level in zip(got["q"], [0.0, 0.1, 0.55, 0.999, 1.0], strict=True):
+        place = level * (len(values) - 1)
+        low = values[int(place)]
+        assert q == pytest.approx(low + (place - int(place)) * (values[min(int(place) + 1, len(values) - 1)] - low))
+    assert got["rows"] == 1000
+
+
+def test_buckets_of_literal_edges_are_those_of_an_array(spark):
+    edges = [-math.inf, -1.0, 0.0, 0.0, 2.5, 7.0, math.inf]
+    df = spark.createDataFrame([(x,) for x in (-5.0, -1.0, -0.5, 0.0, 1.0, 2.5, 6.9, 7.0, 99.0, math.nan, None, math.inf, -math.inf)], "x double")
+    for left in (False, True):
+        for kind in ("quantile", "log"):
+            rows = df.select(bins.bucket(F.col("x"), edges, kind, left).alias("a"), bins.bucket(F.col("x"), F.array(*map(F.lit, edges)), kind, left).alias("b")).collect()
+            assert all(r["a"] == r["b"] for r in rows)
+
+
 @pytest.mark.parametrize(("back", "ahead"), [(0, 0), (3, 0), (0, 4), (6, 2), (20, 9)])
 def test_frames_in_blocks(hot, small_blocks, back, ahead):
     frame = lambda df, w: df.withColumns({"m": F.sum("last_px").over(w.rowsBetween(-back, ahead)), "a": F.lag("x", back).over(w), "b": F.lead("x", ahead).over(w)})
@@ -167,3 +200,105 @@ def test_bins_are_saved_and_loaded(spark, tmp_path):
     edges = spark.createDataFrame([("x", "quantile", [-math.inf, 0.25, math.inf])], "feature string, kind string, edges array<double>")
     sinks.save_bins(edges, f"file://{tmp_path}/bins")
     assert sinks.load_bins(spark, f"file://{tmp_path}/bins").collect() == edges.collect()
+
+
+def test_extremes_of_the_next_rows(hot, small_blocks):
+    for n in (1, 3, 10):
+        w = W.rowsBetween(1, n)
+        full = F.count("*").over(w) == n
+        want = hot.withColumns({"next_min": F.when(full, F.min("x").over(w)), "next_max": F.when(full, F.max("x").over(w))})
+        same(windows.next_extremes(hot, "k", "ms", "seq", "x", n), want, "next_min", "next_max")
+
+
+def test_percentiles_of_the_last_rows(hot, small_blocks):
+    frame = W.rowsBetween(-5, 0)
+    want = hot.withColumns({"a": F.percentile("x", 0.5).over(frame), "b": F.percentile("x", 0.9).over(frame)})
+    same(sliding.rolling_percentiles(hot, "k", "ms", "seq", "x", {"a": 0.5, "b": 0.9}, 6), want, "a", "b")
+
+
+def test_time_of_a_sliding_percentile_hardly_grows_with_the_frame():
+    values = np.random.default_rng(1).random(20_000)
+    took = []
+    for frame in (50, 5_000):
+        began = time.perf_counter()
+        sliding.sliding_quantiles(values, frame, [0.5, 0.9, 0.99])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0]
+
+
+def test_the_most_frequent_value_with_ties_and_hot_values(spark):
+    rng = random.Random(6)
+    rows = [("hot", 7)] * 3000 + [("hot", rng.randint(0, 900)) for _ in range(3000)] + [("tie", x) for x in (5, 3, 3, 5, 9)] + [("flat", x) for x in range(2000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    for tracked in (16, 1024):  # a small sketch leaves groups undecided, which are then counted
+        got = {r["g"]: (r["x"], r["n"]) for r in sliding.most_frequent(df, ["g"], "x", tracked).collect()}
+        assert got == {"hot": (7, 3000 + sum(x == 7 for g, x in rows[3000:6000])), "tie": (3, 2), "flat": (0, 1)}
+
+
+def test_markouts_of_all_horizons_are_one_pass(hot):
+    rows = hot.select("k", "ms", "seq", F.col("last_px").alias("mid_at_fill"))
+    got = fills.markout_time(rows, "k", [10, windows.DAY_MS])
+    data = sorted(tuple(r) for r in rows.collect())
+    found = {r["seq"]: (r["markout_10"], r[f"markout_{windows.DAY_MS}"]) for r in got.collect()}
+    for k, ms, seq, mid in data:
+        want = []
+        for h in (10, windows.DAY_MS):
+            later = [x for x in data if x[0] == k and x[1] >= ms + h]
+            want.append(later[0][3] - mid if later else None)
+        assert found[seq] == tuple(want)
+    long = fills.markouts(rows, "k", [10, windows.DAY_MS, 7])._jdf.queryExecution().optimizedPlan().toString()
+    assert long.count("Window [last(") <= 2 and len(found) == len(data)
+
+
+def test_several_rows_of_margin_values_for_one_place_are_refused(spark):
+    table = spark.createDataFrame([(None, None, None, 0.001), (None, None, None, 0.002)], "underlying string, bucket string, regime string, k_gamma double")
+    rows = spark.createDataFrame([("0", "0", "calm", 5)], "underlying string, bucket string, regime string, minute int")
+    with pytest.raises(ValueError, match="several rows"):
+        risk.resolve_margin(rows, table)
+    assert risk.resolve_margin(rows, table.limit(1)).first()["k_gamma"] in (0.001, 0.002)
+
+
+def test_shards_that_are_missing_or_short_of_a_column(spark):
+    of = lambda df: {r["name"]: r["ok"] for r in quality.shard_findings(df, 2, ["d"]).collect()}
+    good = spark.createDataFrame([("d", [1, 2])], "day string, tokens array<int>")
+    assert of(good) == dict.fromkeys(("exists", "schema", "rows", "token_length", "day_coverage"), True)
+    assert of(None) == dict.fromkeys(("exists", "schema", "rows", "token_length", "day_coverage"), False)
+    assert of(good.drop("tokens")) == {"exists": True, "schema": False, "rows": True, "token_length": False, "day_coverage": True}
+
+
+def test_a_rolling_sink_survives_a_crash_and_compaction(spark, tmp_path):
+    sink = sinks.RollingSink(spark, f"file://{tmp_path}/log", rows=50)
+    schema = "ms long, seq long"
+    part = lambda k: spark.createDataFrame([(k * 1_000_000 + 10 * i, 1000 * k + i) for i in range(120)], schema)
+    seqs = lambda: sorted(r["seq"] for r in sink.read(schema).collect())
+    assert seqs() == []
+    sink(part(0), 0)
+    commit, sink._commit = sink._commit, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        sink(part(1), 1)
+    assert seqs() == list(range(120))  # data without a manifest does not count
+    sink._commit = commit
+    sink(part(1), 1)
+    sink(part(1), 1)  # a repeated batch counts once
+    want = seqs()
+    assert len(want) == 240 and len(list((tmp_path / "log/data").rglob("*.parquet"))) >= 6
+    sink.compact(schema)
+    assert seqs() == want and len(sink.folders()) == 1 and sink.folders()[0].startswith("whole-")
+    sink(part(1), 1)  # also after compaction
+    sink(part(2), 2)
+    assert len(seqs()) == 360 and {r["day"] for r in sink.read(schema).collect()} == {"1970-01-01"}
+
+
+def test_a_paced_replay_restarts_where_it_stood(spark, tmp_path):
+    table = spark.range(100).selectExpr("id seq", "timestamp_millis(id * 1000) ts")
+    seen = []
+    sink = lambda rows, number: seen.append((number, sorted(r["seq"] for r in rows.collect())))
+    run = lambda **k: replay.paced(spark, table, "ts", -1, 99_000, sink, f"file://{tmp_path}/state", step_ms=20_000, **k)
+    assert run(speed=0, most=2) >= 39_999
+    done = len(seen)
+    assert run(speed=0) == 99_000
+    assert sorted(x for _, part in seen for x in part) == list(range(100)) and done < len(seen)
+    assert max(len(part) for _, part in seen) <= 20  # admission
+    began, seen[:] = time.time(), []
+    replay.paced(spark, table, "ts", -1, 30_000, sink, f"file://{tmp_path}/paced", speed=10, step_ms=20_000)
+    assert time.time() - began >= 3.0 and sum(len(part) for _, part in seen) == 31  # thirty seconds at ten times the pace

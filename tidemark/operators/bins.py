@@ -11,8 +11,10 @@ from ..sources.shared import written
 from .windows import by
 
 FLOOR = 1e-9
-#: Spans of about equal count that a group's values are cut into.
-MARKS = 128
+#: Distinct values of a span, which one task puts in order; spans that a larger one is cut into.
+SPAN, MARKS = 1 << 20, 128
+#: Rows up to which a table is sent to all executors.
+SENT_ROWS = 20_000
 
 
 def _steps(n: int) -> Column:
@@ -35,24 +37,48 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
     return df.select(*keep, parts.alias("p")).select(*keep, "p.*").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < math.inf))
 
 
+def _spans(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``counts`` (keys.., _v, _n) with ``_low``, the lower end of a span of values, none of which holds over ``SPAN`` rows.
+
+    A group is one span at first; spans that are too large are cut by a sketch of their values into
+    ``MARKS`` again and again, so a group of any size falls into spans of bounded size.
+    """
+    rows = counts.withColumn("_low", F.lit(-math.inf))
+    while True:
+        large = rows.groupBy(*keys, "_low").agg(F.count("*").alias("_many")).where(F.col("_many") > SPAN)
+        cut = rows.join(large, [*keys, "_low"], "left_semi").groupBy(*keys, "_low").agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"))
+        n = (large := written(large)).count()
+        if not n:
+            return rows
+        cut = written(cut)
+        side = F.broadcast(cut) if n <= SENT_ROWS else cut
+        last = F.array_max(F.filter("_marks", lambda m: m <= F.col("_v")))
+        rows = written(rows.join(side, [*keys, "_low"], "left").withColumn("_low", F.coalesce(last, "_low")).drop("_marks"))
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Column], value: str = "value") -> DataFrame:
     """(keys.., q, rows): quantiles at ``levels``, linear between ranks, and the number of values, per group.
 
-    Equal values are counted first. A sketch cuts each group's values into ``MARKS`` spans of about
-    equal count; ranks are sums inside a span plus the counts of the spans before, so no task holds a
-    group. The sketch only balances the work, the quantiles are exact. Nulls and NaN take no part. A
-    level may be a column over ``rows``, the place of a value in the order (from 0).
+    Equal values are counted first. Groups of more than ``SPAN`` distinct values are cut into spans of
+    values; ranks are sums inside a span plus the counts of the spans before, so no task holds a group.
+    The cuts only balance the work, the quantiles are exact. Nulls and NaN take no part. A level may be a
+    column over ``rows``, the place of a value in the order (from 0).
     """
     counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
-    marks = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"), F.sum("_n").alias("rows"))
+    spans = _spans(counts, keys)
+    sums = written(spans.groupBy(*keys, "_low").agg(F.sum("_n").alias("_all")))
+    totals = sums.groupBy(*keys).agg(F.sum("_all").alias("rows"))
     h = [p.cast("double") if isinstance(p, Column) else F.lit(p) * (F.col("rows") - 1) for p in levels]
-    marks = marks.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h]))))
-    spans = (counts.join(marks, keys) if keys else counts.crossJoin(F.broadcast(marks))).withColumn("_span", F.size(F.filter("_marks", lambda m: m <= F.col("_v"))))  # without keys: one row
-    sums = spans.groupBy(*keys, "_span").agg(F.sum("_n").alias("_all"))
-    before = F.sum("_all").over(by(keys, "_span").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*keys, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
-    upto = F.sum("_n").over(by([*keys, "_span"], "_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = spans.withColumn("_upto", upto).join(offsets, [*keys, "_span"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    totals = written(totals.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h])))))
+    before = F.sum("_all").over(by(keys, "_low").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "_low", "_all", F.coalesce(before, F.lit(0)).alias("_before"))
+    # of all spans those that hold a rank that is asked for
+    offsets = offsets.join(totals, keys) if keys else offsets.crossJoin(F.broadcast(totals))  # without keys: one row
+    inside = F.filter("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
+    asked = written(offsets.select(*keys, "_low", "rows", "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0))
+    side = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
+    upto = F.sum("_n").over(by([*keys, "_low"], "_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = spans.join(side, [*keys, "_low"]).withColumn("_upto", upto + F.col("_before"))
     mine = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
     picked = placed.select(*keys, "rows", "_v", F.explode(mine).alias("_rank"))
     found = picked.groupBy(*keys, "rows").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two values a level
@@ -116,14 +142,24 @@ def collect_edges(edges: DataFrame) -> dict[str, tuple[str, list[float]]]:
     return {r["feature"]: (r["kind"], list(r["edges"])) for r in edges.select("feature", "kind", "edges").collect()}
 
 
+def _reached(x: Column, edges: list[float], left: bool, low: int, high: int) -> Column:
+    """Number of ``edges``, in order, at or below x (below it if ``left``): a balanced tree of comparisons over edges low..high."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    reached = x > edges[middle] if left else x >= edges[middle]
+    return F.when(reached, _reached(x, edges, left, middle + 1, high)).otherwise(_reached(x, edges, left, low, middle))
+
+
 def bucket(value: Column, edges: list[float] | Column, kind: str = "quantile", left: bool = False) -> Column:
     """Number of interior edges at or below the value (below it if ``left``); NaN goes to the last bucket."""
+    x = F.abs(value) + FLOOR if kind == "log" else value
     if isinstance(edges, list):
-        interior, last = F.array(*[F.lit(float(e)) for e in edges[1:-1]]), F.lit(len(edges) - 2)
+        interior, last = sorted(map(float, edges[1:-1])), F.lit(len(edges) - 2)
+        found = _reached(x.cast("double"), interior, left, 0, len(interior))
     else:
         interior, last = F.slice(edges, F.lit(2), F.size(edges) - 2), F.size(edges) - 2
-    x = F.abs(value) + FLOOR if kind == "log" else value
-    found = F.size(F.filter(interior, (lambda e: e < x) if left else (lambda e: e <= x)))
+        found = F.size(F.filter(interior, (lambda e: e < x) if left else (lambda e: e <= x)))
     return F.when(F.isnan(x) | x.isNull(), last).otherwise(found)
 
 

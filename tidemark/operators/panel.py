@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .windows import before, by, if_enough, in_blocks
 
 MARKET = "_MARKET_"
+#: Tickers of a block, about.
+TICKERS = 256
 
 
 def panel_returns(panel: DataFrame, vol_window: int = 21) -> DataFrame:
@@ -43,22 +48,57 @@ def top_anomalies(returns: DataFrame, window: int = 63, n: int = 15) -> DataFram
 
 def correlated_pairs(returns: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of tickers a < b whose returns correlate by at least ``least`` in size, over their common dates."""
-    return _pairs(returns).where(F.abs("corr") >= least)
+    return _pairs(returns, least)
 
 
 def correlation_matrix(returns: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per ticker ``a`` with its correlation to every ticker, 1 with itself; ``columns`` name the tickers across, else long rows (a, b, corr)."""
-    pairs = _pairs(returns)
+    pairs = written(_pairs(returns))
     own = returns.where("ret is not null").select(F.col("ticker").alias("a"), F.col("ticker").alias("b"), F.lit(1.0).alias("corr")).distinct()
     long = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
     return long if columns is None else long.groupBy("a").pivot("b", columns).agg(F.first("corr"))
 
 
-def _pairs(returns: DataFrame) -> DataFrame:
-    rows = returns.where("ret is not null").select("date", "ticker", "ret")
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") < F.col("b.ticker")))
-    return both.groupBy(F.col("a.ticker").alias("a"), F.col("b.ticker").alias("b")).agg(F.corr("a.ret", "b.ret").alias("corr"))
+def _pairs(returns: DataFrame, least: float | None = None) -> DataFrame:
+    """(a, b, corr) of tickers a < b with a common date; with ``least`` those that reach it in size.
+
+    Tickers are dealt into blocks of about ``TICKERS``, and every two blocks meet once: counts, sums and
+    products over common dates are matrix products of values and masks of what is there, so there is no
+    row per pair and date. What leaves a block are results. A pair with one common date or without
+    variance has a null.
+    """
+    rows = returns.where("ret is not null and ticker is not null").select("date", "ticker", F.col("ret").cast("double").alias("ret"))
+    series = written(rows.groupBy("ticker").agg(F.collect_list("date").alias("dates"), F.collect_list("ret").alias("rets")))  # as long as the calendar
+    blocks = max(1, -(-series.count() // TICKERS))
+    block = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
+    met = series.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+    def gram(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ticker", ignore_index=True)
+        days = np.unique(np.concatenate([np.asarray(d, "datetime64[D]") for d in rows["dates"]]))
+        x, there = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+        for k, (d, r) in enumerate(zip(rows["dates"], rows["rets"], strict=True)):
+            at = np.searchsorted(days, np.asarray(d, "datetime64[D]"))
+            x[k, at] = np.asarray(r) - np.mean(r)  # correlations don't change, products lose fewer digits
+            there[k, at] = 1.0
+        one, two = ((rows["block"] == rows[c][0]).to_numpy() for c in ("i", "j"))
+        x1, m1, x2, m2 = x[one], there[one], x[two], there[two]
+        n, sx, sy = m1 @ m2.T, x1 @ m2.T, m1 @ x2.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            vx, vy = n * ((x1 * x1) @ m2.T) - sx * sx, n * (m1 @ (x2 * x2).T) - sy * sy
+            corr = np.where((n > 1) & (vx > 0) & (vy > 0), (n * (x1 @ x2.T) - sx * sy) / np.sqrt(vx * vy), np.nan)
+        keep = n > 0 if least is None else np.abs(corr) >= least
+        if rows["i"][0] == rows["j"][0]:
+            keep &= np.triu(np.ones(keep.shape, bool), 1)
+        a, b = np.nonzero(keep)
+        names = rows["ticker"].to_numpy()
+        left, right = names[one][a], names[two][b]
+        turn = left > right
+        return pd.DataFrame({"a": np.where(turn, right, left), "b": np.where(turn, left, right), "corr": pd.Series(corr[a, b]).astype("Float64").mask(np.isnan(corr[a, b]))})
+
+    kind = returns.schema["ticker"].dataType.simpleString()
+    return met.groupBy("i", "j").applyInPandas(gram, f"a {kind}, b {kind}, corr double")
 
 
 def lead_lag(merged: DataFrame, x: str, y: str, most: int = 5, least: int = 10) -> DataFrame:

@@ -86,9 +86,10 @@ def most_frequent(df: DataFrame, keys: list[str], value: str, tracked: int = TRA
 
     A mergeable sketch names candidates, which are then counted exactly. What a sketch of ``tracked``
     values may have lost is rarer than ``LOST / tracked`` of the group; where the best candidate is not
-    over that, the group's values are all counted. A hot value is added up before it is shuffled.
+    over that, the group's values are all counted. A hot value is added up before it is shuffled. Rows
+    with a null key are left out.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    rows = df.dropna(subset=[*keys, value]).select(*keys, value)
     sketch = F.call_function("approx_top_k", F.col(value), F.lit(min(tracked, 32)), F.lit(tracked))
     groups = written(rows.groupBy(*keys).agg(sketch.alias("top"), F.count("*").alias("all")))
     named = groups.select(*keys, "all", F.explode("top.item").alias(value))
@@ -96,6 +97,6 @@ def most_frequent(df: DataFrame, keys: list[str], value: str, tracked: int = TRA
     first = lambda x: x.withColumn("_nth", F.row_number().over(by(keys, F.desc("n"), value))).where("_nth = 1").drop("_nth")
     best = written(first(exact))
     sure = F.col("n") > F.col("all") * (LOST / tracked)
-    open_ = best.where(~sure).select(*keys)
+    open_ = groups.select(*keys).join(best.where(sure).select(*keys), keys, "left_anti")  # a sketch may also have lost all
     whole = rows.join(open_, keys, "left_semi").groupBy(*keys, value).agg(F.count("*").alias("n"))
     return best.where(sure).select(*keys, value, "n").unionByName(first(whole))

@@ -165,13 +165,23 @@ def s12_split_layout(spark, sf_dir):
     return readers.token_shards(spark, path, ("tokens", "split", "regime")).groupBy("split", F.col("regime").cast("long").alias("regime")).agg(F.count("*").alias("n"))
 
 
+def report_sections(spark, sf_dir):
+    """Sections of the report by name."""
+    from . import books, corpora, panels
+
+    return {
+        "snapshot": panels.w7_snapshot(spark, sf_dir), "anomalies": panels.t1_top_anomalies(spark, sf_dir), "pairs": panels.j9_correlated_pairs(spark, sf_dir), "clusters": panels.x5_clusters(spark, sf_dir),
+        "spikes": panels.w8_mention_spikes(spark, sf_dir), "lead_lag": panels.w6_lead_lag(spark, sf_dir), "sentiment": panels.a2_market_sentiment(spark, sf_dir),
+        "edge": books.a11_post_trade(spark, sf_dir), "symbols": books.a12_costs_by_symbol(spark, sf_dir), "hours": books.a13_costs_by_hour(spark, sf_dir),
+        "tick_quality": corpora.a15_tick_findings(spark, sf_dir), "shard_quality": corpora.a16_shard_findings(spark, sf_dir),
+    }
+
+
 @query()
 def s15_report(spark, sf_dir):
-    """Report sections as JSON, read back as one table of rows per section."""
-    from . import books, panels
-
+    """The report's sections as JSON, read back as one table of rows per section."""
     path = scratch(spark)
-    sections = {"anomalies": panels.t1_top_anomalies(spark, sf_dir), "edge": books.a11_post_trade(spark, sf_dir), "symbols": books.a12_costs_by_symbol(spark, sf_dir)}
+    sections = report_sections(spark, sf_dir)
     sinks.write_report(sections, path)
     out = None
     for name, df in sections.items():
