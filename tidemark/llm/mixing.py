@@ -182,7 +182,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: the rows of ``df``, each as often as ``mix_table`` says, with the columns of ``df``.
 
     Rows are told apart by a number that is written with them, so equal rows and rows that differ in
-    any column are all kept, each with its own copies.
+    any column are all kept, each with its own copies. A null text has no words; such rows, and empty
+    texts, stay once. An empty table stays empty. Columns that have the names used inside are kept.
     """
     row_id, copies = free_name(df, "row_id"), free_name(df, "row_copies")
     rows = written(df.withColumn(row_id, F.monotonically_increasing_id()))
