@@ -144,3 +144,12 @@ def test_metric_gate_names_reasons(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b"):
         features.require_columns(spark.range(1), {"id", "b"})
+
+
+def test_a_run_has_a_folder_of_its_own(spark):
+    from tidemark.sources import shared
+
+    with shared.run_folder(spark) as path:
+        inside = shared.written(spark.range(3)).inputFiles()
+    assert inside and all(f.startswith(path) for f in inside)
+    assert not any(f.startswith(path) for f in shared.written(spark.range(3)).inputFiles())

@@ -90,7 +90,9 @@ def test_report_sections_come_back(spark):
     by = {}
     for r in rows:
         by.setdefault(r["section"], []).append(json.loads(r["row"]))
-    assert {k: len(v) for k, v in by.items()} == {"anomalies": len(collected(spark, "t1_top_anomalies")), "edge": 2, "symbols": 10}
+    names = {"snapshot": "w7_snapshot", "anomalies": "t1_top_anomalies", "pairs": "j9_correlated_pairs", "clusters": "x5_clusters", "lead_lag": "w6_lead_lag", "sentiment": "a2_market_sentiment", "hours": "a13_costs_by_hour", "tick_quality": "a15_tick_findings", "shard_quality": "a16_shard_findings"}
+    assert {k: len(by.get(k, [])) for k in names} == {k: len(collected(spark, q)) for k, q in names.items()}
+    assert len(by["edge"]) == 2 and len(by["symbols"]) == 10 and set(by) <= {*names, "edge", "symbols", "spikes"}
     costs = {r["product"]: r["total_spread_cost"] for r in collected(spark, "a12_costs_by_symbol")}
     assert {r["product"]: r["total_spread_cost"] for r in by["symbols"]} == pytest.approx(costs)
 
@@ -134,6 +136,10 @@ def test_models(spark):
     pairs = [(a["p_fill"], b["p_fill"]) for a in fills if a["label"] for b in fills if not b["label"]]
     auc = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
     assert all(0 <= r["p_fill"] <= 1 for r in fills) and fills[0]["brier"] == pytest.approx(brier) and fills[0]["auc"] == pytest.approx(auc, abs=0.01)
+    mean_y = sum(r["y"] for r in rows) / len(rows)
+    assert sum(e * e for e in error) <= 0.35 * sum((r["y"] - mean_y) ** 2 for r in rows)  # 0.27 measured
+    share = sum(r["label"] for r in fills) / len(fills)
+    assert fills[0]["auc"] >= 0.54 and brier <= 1.02 * share * (1 - share) + 0.005  # 0.567 and 0.077 measured
     probe = collected(spark, "x8_directional_probe")
     assert {r["pred"] for r in probe} <= {0, 1} and len(probe) > 20
     top = collected(spark, "t5_importances")
@@ -141,5 +147,14 @@ def test_models(spark):
     assert len(top) == 5 and values == sorted(values, reverse=True) and 0 < sum(values) <= 1 + 1e-9
 
 
+def test_models_have_their_rounds():
+    import inspect
+
+    from tidemark.operators import models
+
+    rounds = {f.__name__: inspect.signature(f).parameters["rounds"].default for f in (models.fit_return_model, models.fit_fill_model, models.fit_probe, models.directional_probe)}
+    assert rounds == {"fit_return_model": 120, "fit_fill_model": 80, "fit_probe": 200, "directional_probe": 200}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

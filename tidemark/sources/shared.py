@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting that holds the folder of a run.
+RUN = "spark.tidemark.runFolder"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -24,8 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables go to a folder of their own, which the caller can delete once results are written."""
+    path = f"{shared_dir(spark)}/tidemark-run-{uuid.uuid4().hex}"
+    before = spark.conf.get(RUN, None)
+    spark.conf.set(RUN, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(RUN, before) if before else spark.conf.unset(RUN)
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    return f"{spark.conf.get(RUN, None) or shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
