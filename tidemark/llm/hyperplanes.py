@@ -70,17 +70,24 @@ def sign_keys(vector: Column, bits: int, tables: int, seed: int) -> Column:
     return keys(vector)
 
 
-def _pairs(unit: np.ndarray, keys: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which of the pairs (a, b) of rows have the cosine and don't share a key of an earlier table."""
+def _pairs(unit: np.ndarray, keys: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, rough: bool) -> np.ndarray:
+    """Which of the pairs (a, b) of rows have the cosine and don't share a key of an earlier table.
+
+    Pairs that are nearly all near (``rough``) are first asked for earlier tables, which is the cheaper test.
+    """
     keep = np.empty(len(a), bool)
     for at in range(0, len(a), 1 << 16):
         i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
-        at_near = np.flatnonzero(near)
-        i, j = i[at_near], j[at_near]
-        earlier = (keys[i] == keys[j]) & (np.arange(keys.shape[1]) < table[i][:, None])
-        near[at_near] = ~earlier.any(axis=1)
-        keep[at : at + len(near)] = near
+        left = np.ones(len(i), bool)
+        for test in ("table", "cosine") if rough else ("cosine", "table"):
+            at_left = np.flatnonzero(left)
+            x, y = i[at_left], j[at_left]
+            if test == "cosine":
+                left[at_left] = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+            else:
+                earlier = (keys[x] == keys[y]) & (np.arange(keys.shape[1]) < table[x][:, None])
+                left[at_left] = ~earlier.any(axis=1)
+        keep[at : at + len(left)] = left
     return keep
 
 
@@ -98,11 +105,11 @@ def _compare(least: float):
         size, nth = np.repeat(many, many), np.arange(len(key)) - np.repeat(starts, many)
         apart = rows["i"][0].as_py() != rows["j"][0].as_py()  # two parts of a large key meet
 
-        def take(a: np.ndarray, b: np.ndarray) -> None:
+        def take(a: np.ndarray, b: np.ndarray, rough: bool = False) -> None:
             if apart:
                 other = part[a] != part[b]
                 a, b = a[other], b[other]
-            near = _pairs(unit, keys, table, a, b, least)
+            near = _pairs(unit, keys, table, a, b, least, rough)
             a, b = a[near], b[near]
             np.add.at(total, a, copies[b])
             np.add.at(total, b, copies[a])
@@ -118,7 +125,7 @@ def _compare(least: float):
                 # a rough product first; the pairs near or past the bound are computed like all others
                 i, j = np.nonzero(unit[at:end] @ unit[at : start + n].T >= least - 1e-9)
                 ahead = j > i
-                take(i[ahead] + at, j[ahead] + at)
+                take(i[ahead] + at, j[ahead] + at, True)
         a, b = np.concatenate(links, axis=1)
         label = _labels(a, b, len(key))
         has = np.flatnonzero(total > 0)
