@@ -46,10 +46,10 @@ def _spans(counts: DataFrame, keys: list[str]) -> DataFrame:
     rows = counts.withColumn("_low", F.lit(-math.inf))
     while True:
         large = rows.groupBy(*keys, "_low").agg(F.count("*").alias("_many")).where(F.col("_many") > SPAN)
-        cut = rows.join(large, [*keys, "_low"], "left_semi").groupBy(*keys, "_low").agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"))
-        n = (large := written(large)).count()
+        n = large.count()
         if not n:
             return rows
+        cut = rows.join(large, [*keys, "_low"], "left_semi").groupBy(*keys, "_low").agg(F.percentile_approx("_v", [i / MARKS for i in range(1, MARKS)], 10 * MARKS).alias("_marks"))
         cut = written(cut)
         side = F.broadcast(cut) if n <= SENT_ROWS else cut
         last = F.array_max(F.filter("_marks", lambda m: m <= F.col("_v")))
@@ -69,14 +69,14 @@ def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Colum
     sums = written(spans.groupBy(*keys, "_low").agg(F.sum("_n").alias("_all")))
     totals = sums.groupBy(*keys).agg(F.sum("_all").alias("rows"))
     h = [p.cast("double") if isinstance(p, Column) else F.lit(p) * (F.col("rows") - 1) for p in levels]
-    totals = written(totals.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h])))))
+    totals = totals.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h]))))
     before = F.sum("_all").over(by(keys, "_low").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(*keys, "_low", "_all", F.coalesce(before, F.lit(0)).alias("_before"))
     # of all spans those that hold a rank that is asked for
     offsets = offsets.join(totals, keys) if keys else offsets.crossJoin(F.broadcast(totals))  # without keys: one row
     inside = F.filter("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
-    asked = written(offsets.select(*keys, "_low", "rows", "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0))
-    side = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
+    asked = offsets.select(*keys, "_low", "rows", "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0)
+    side = F.broadcast(asked) if sums.count() <= SENT_ROWS else asked  # at most one row a span
     upto = F.sum("_n").over(by([*keys, "_low"], "_v").rowsBetween(Window.unboundedPreceding, 0))
     placed = spans.join(side, [*keys, "_low"]).withColumn("_upto", upto + F.col("_before"))
     mine = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
