@@ -56,30 +56,36 @@ def _spans(counts: DataFrame, keys: list[str]) -> DataFrame:
         rows = written(rows.join(side, [*keys, "_low"], "left").withColumn("_low", F.coalesce(last, "_low")).drop("_marks"))
 
 
+def _near(lower: Column, upto: Column, rows: Column, levels: list[float]) -> Column:
+    """Whether a rank of ``levels`` may lie in lower..upto - 1, a row more at each end: compiled comparisons that spare most values the exact look."""
+    ordered, width = sorted(levels), F.greatest(rows - 1, F.lit(1))
+    below = lambda x: _reached(x / width, ordered, True, 0, len(ordered))
+    return below(upto + 1) > below(lower - 2)
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Column], value: str = "value") -> DataFrame:
     """(keys.., q, rows): quantiles at ``levels``, linear between ranks, and the number of values, per group.
 
-    Equal values are counted first. Groups of more than ``SPAN`` distinct values are cut into spans of
-    values; ranks are sums inside a span plus the counts of the spans before, so no task holds a group.
-    The cuts only balance the work, the quantiles are exact. Nulls and NaN take no part. A level may be a
-    column over ``rows``, the place of a value in the order (from 0).
+    Equal values are counted first. If no group has more than ``SPAN`` distinct values, each is put in
+    order by one task. Otherwise they are cut into spans of values; ranks are sums inside a span plus the
+    counts of the spans before, so no task holds a group. The cuts only balance the work, the quantiles
+    are exact. Values that are null or NaN and rows with a null key take no part. A level may be a column
+    over ``rows``, the place of a value in the order (from 0).
     """
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
     counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
-    spans = _spans(counts, keys)
-    sums = written(spans.groupBy(*keys, "_low").agg(F.sum("_n").alias("_all")))
-    totals = sums.groupBy(*keys).agg(F.sum("_all").alias("rows"))
     h = [p.cast("double") if isinstance(p, Column) else F.lit(p) * (F.col("rows") - 1) for p in levels]
-    totals = totals.withColumn("_ranks", F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h]))))
-    before = F.sum("_all").over(by(keys, "_low").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*keys, "_low", "_all", F.coalesce(before, F.lit(0)).alias("_before"))
-    # of all spans those that hold a rank that is asked for
-    offsets = offsets.join(totals, keys) if keys else offsets.crossJoin(F.broadcast(totals))  # without keys: one row
-    inside = F.filter("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
-    asked = offsets.select(*keys, "_low", "rows", "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0)
-    side = F.broadcast(asked) if sums.count() <= SENT_ROWS else asked  # at most one row a span
-    upto = F.sum("_n").over(by([*keys, "_low"], "_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = spans.join(side, [*keys, "_low"]).withColumn("_upto", upto + F.col("_before"))
-    mine = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
+    ranks = F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h])))
+    most = counts.groupBy(*keys).agg(F.count("*").alias("_many")).agg(F.max("_many")).first()[0]
+    if (most or 0) <= SPAN:
+        whole = Window.partitionBy(*keys)
+        placed = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "rows": F.sum("_n").over(whole)})
+    else:
+        placed = _placed(_spans(counts, keys), keys, ranks)
+    if not any(isinstance(p, Column) for p in levels):
+        placed = placed.where(_near(F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("rows"), levels))
+    mine = F.filter(ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
     picked = placed.select(*keys, "rows", "_v", F.explode(mine).alias("_rank"))
     found = picked.groupBy(*keys, "rows").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two values a level
     at = lambda r: F.element_at("_at", r)
@@ -87,6 +93,20 @@ def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Colum
     return found.select(*keys, F.array(*q).alias("q"), "rows")
 
 
+def _placed(spans: DataFrame, keys: list[str], ranks: Column) -> DataFrame:
+    """Values of those spans that hold one of ``ranks``, with ``_upto``, the rows up to a value, and ``rows`` of the group."""
+    sums = written(spans.groupBy(*keys, "_low").agg(F.sum("_n").alias("_all")))
+    totals = sums.groupBy(*keys).agg(F.sum("_all").alias("rows")).withColumn("_ranks", ranks)
+    before = F.sum("_all").over(by(keys, "_low").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "_low", "_all", F.coalesce(before, F.lit(0)).alias("_before"))
+    offsets = offsets.join(totals, keys) if keys else offsets.crossJoin(F.broadcast(totals))  # without keys: one row
+    inside = F.exists("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
+    asked = offsets.where(inside).select(*keys, "_low", "rows", "_before")
+    side = F.broadcast(asked) if sums.count() <= SENT_ROWS else asked  # at most one row a span
+    upto = F.sum("_n").over(by([*keys, "_low"], "_v").rowsBetween(Window.unboundedPreceding, 0))
+    return spans.join(side, [*keys, "_low"]).withColumn("_upto", upto + F.col("_before"))
+
+
 def quantile_edges(df: DataFrame, features: list[str], n: int, keys: list[str] | None = None, least: int | None = None, exact: bool = True) -> DataFrame:
     """Edges (feature, edges) by quantiles, per key if given; features with too few values are left out.
 
