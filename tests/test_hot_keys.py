@@ -177,6 +177,68 @@ def test_correlation_matrix_forms(spark):
     assert len(long) == 9 and all(wide[a][b] == pytest.approx(c) == long[b, a] for (a, b), c in long.items()) and long["x", "x"] == 1.0
 
 
+@pytest.mark.parametrize("least", [0.95, 0.3])
+def test_correlated_pairs_skip_blocks_that_cannot_reach(spark, monkeypatch, least):
+    """Every pair at the threshold is found, of either sign and with dates missing, and far blocks do not meet."""
+    import numpy as np
+
+    monkeypatch.setattr(panel, "TICKERS", 5)
+    rng = np.random.default_rng(6)
+    market, other = rng.normal(size=40), rng.normal(size=40)
+    made = {}
+    for i in range(60):
+        angle = np.pi * i / 60
+        made[f"t{i:02}"] = np.cos(angle) * market + np.sin(angle) * other + 0.1 * rng.normal(size=40) + 0.3 * market
+    made["same"], made["flat"] = made["t00"], np.zeros(40)
+    rows = [(d, t, float(x[d])) for t, x in made.items() for d in range(40) if not (t in ("t05", "t33", "t34") and d < 4)]
+    df = spark.createDataFrame(rows, "date int, ticker string, ret double")
+    by_ticker = {t: {d: x for d, u, x in rows if u == t} for t in made}
+    want = {}
+    for a in made:
+        for b in made:
+            days = sorted(by_ticker[a].keys() & by_ticker[b].keys())
+            if a < b and "flat" not in (a, b):
+                want[a, b] = np.corrcoef([by_ticker[a][d] for d in days], [by_ticker[b][d] for d in days])[0, 1]
+    want = {k: c for k, c in want.items() if abs(c) >= least}
+    got = {(r["a"], r["b"]): r["corr"] for r in panel.correlated_pairs(df, least).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(c) for k, c in want.items())
+    assert any(c < 0 for c in want.values()) and any("t33" in k for k in want)
+    series = df.groupBy("ticker").agg(F.collect_list("date").alias("dates"), F.collect_list("ret").alias("rets"))
+    met = panel._by_angle(df, series, 13, least).select("ticker", "block", "other").collect()
+    assert {r["ticker"] for r in met} == made.keys()
+    n = len({(r["block"], r["other"]) for r in met})
+    assert n < 100 if least == 0.95 else n <= 169
+
+
+def test_series_that_do_not_vary_have_no_correlation(spark):
+    rows = [(d, t, {"flat": 1.0, "up": float(d), "wave": float(d * d % 7)}[t], float(d * 3 % 5)) for d in range(30) for t in ("flat", "up", "wave")]
+    df = spark.createDataFrame(rows, "date int, ticker string, x double, y double")
+    got = {(r["ticker"], r["date"]): r["rolling_corr"] for r in panel.rolling_corr(df, "ticker", "date", "x", "y").collect()}
+    assert got["flat", 29] is None and got["up", 19] is None and -1 <= got["up", 29] <= 1
+    lags = {r["ticker"]: (r["lag"], r["corr"]) for r in panel.lead_lag(df, "x", "y").collect()}
+    assert lags["flat"] == (0, 0.0) and lags["wave"][1] != 0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """One value, ties, unsorted levels, null keys and values; the same with and without spans."""
+    rng = random.Random(3)
+    rows = [("one", 5.0), ("two", 1.0), ("two", 2.0), (None, 3.0), ("two", None), ("nan", float("nan"))]
+    rows += [("many", float(rng.choice([1, 1, 1, rng.randint(-500, 500)]))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    levels = [1.0, 0.0, 0.333, 0.5, 0.999]
+    got = {r["k"]: (r["q"], r["rows"]) for r in bins.exact_quantiles(df, ["k"], levels).collect()}
+    held = bins.SPAN
+    try:
+        bins.SPAN = 9
+        assert got == {r["k"]: (r["q"], r["rows"]) for r in bins.exact_quantiles(df, ["k"], levels).collect()}
+    finally:
+        bins.SPAN = held
+    assert got.keys() == {"one", "two", "many"} and got["one"] == ([5.0] * 5, 1) and got["two"] == ([2.0, 1.0, pytest.approx(1.333), 1.5, pytest.approx(1.999)], 2)
+    values = sorted(x for k, x in rows if k == "many")
+    at = lambda p: (lambda h, i: values[i] + (h - i) * (values[min(i + 1, 899)] - values[i]))(p * 899, int(p * 899))
+    assert got["many"][0] == [pytest.approx(at(p)) for p in levels]
+
+
 def test_packed_files_and_shard_scans(spark, tmp_path):
     import zstandard
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,13 @@ MARKET = "_MARKET_"
 TICKERS = 256
 
 
+def correlation(x: str, y: str, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Correlation over rows that have both values (in a frame with ``over``), null where one of them does not vary."""
+    with_other = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
+    spread = over(F.stddev_pop(with_other(x, y))) * over(F.stddev_pop(with_other(y, x)))
+    return F.try_divide(over(F.covar_pop(x, y)), spread)
+
+
 def panel_returns(panel: DataFrame, vol_window: int = 21) -> DataFrame:
     """Panel with prices filled forward, log return, its rolling deviation and its percentile rank per date."""
     w = by("ticker", "date")
@@ -62,16 +72,19 @@ def correlation_matrix(returns: DataFrame, columns: list[str] | None = None) ->
 def _pairs(returns: DataFrame, least: float | None = None) -> DataFrame:
     """(a, b, corr) of tickers a < b with a common date; with ``least`` those that reach it in size.
 
-    Tickers are dealt into blocks of about ``TICKERS``, and every two blocks meet once: counts, sums and
+    Tickers are dealt into blocks of about ``TICKERS``, and two blocks meet once: counts, sums and
     products over common dates are matrix products of values and masks of what is there, so there is no
-    row per pair and date. What leaves a block are results. A pair with one common date or without
-    variance has a null.
+    row per pair and date. Two blocks of which no pair can reach ``least`` do not meet (``_by_angle``).
+    What leaves a block are results. A pair with one common date or without variance has a null.
     """
     rows = returns.where("ret is not null and ticker is not null").select("date", "ticker", F.col("ret").cast("double").alias("ret"))
     series = written(rows.groupBy("ticker").agg(F.collect_list("date").alias("dates"), F.collect_list("ret").alias("rets")))  # as long as the calendar
     blocks = max(1, -(-series.count() // TICKERS))
-    block = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
-    met = series.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if least is None or blocks == 1:
+        block = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
+        met = series.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    else:
+        met = _by_angle(rows, series, blocks, least)
     met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
     def gram(rows: pd.DataFrame) -> pd.DataFrame:
@@ -101,11 +114,44 @@ def _pairs(returns: DataFrame, least: float | None = None) -> DataFrame:
     return met.groupBy("i", "j").applyInPandas(gram, f"a {kind}, b {kind}, corr double")
 
 
+def _by_angle(rows: DataFrame, series: DataFrame, blocks: int, least: float) -> DataFrame:
+    """``series`` with its ``block`` and, a row for each, every ``other`` block a pair with which may reach ``least`` in size.
+
+    Series on all dates are vectors whose correlations are cosines, so two of them are at least the
+    difference of their angles to a third apart, and at most the sum. The third is the mean of those
+    series. Blocks are ranges of that angle and meet where these bounds leave room. A series with dates
+    missing has no such angle; its block meets all others.
+    """
+    n_dates = rows.agg(F.count_distinct("date").alias("n_dates"))
+    whole = series.join(F.broadcast(n_dates)).where((F.size("dates") == F.col("n_dates")) & (F.size(F.array_distinct("dates")) == F.col("n_dates"))).select("ticker")  # one row of dates
+    own = rows.join(whole, "ticker", "left_semi")
+    angles = own.join(own.groupBy("date").agg(F.avg("ret").alias("mean")), "date").groupBy("ticker").agg(correlation("ret", "mean").alias("c"))
+    spread = F.pmod(F.xxhash64("ticker"), F.lit(1 << 20)) / float(1 << 20)  # tells equal angles apart
+    known = F.when(~F.isnan("c"), F.acos(F.greatest(F.least("c", F.lit(1.0)), F.lit(-1.0))))
+    placed = series.join(angles.select("ticker", known.alias("angle")), "ticker", "left").withColumn("at", F.coalesce(F.col("angle") + spread * 1e-9, 4.0 + spread))
+    placed = written(placed)
+    marks = placed.agg(F.percentile_approx("at", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("marks"))
+    placed = placed.join(F.broadcast(marks)).withColumn("block", F.size(F.filter("marks", lambda m: m <= F.col("at"))))  # one row of marks
+    ends = placed.groupBy("block").agg(F.min(F.coalesce("angle", F.lit(0.0))).alias("low"), F.max(F.coalesce("angle", F.lit(math.pi))).alias("high"))
+    ends = ends.agg(F.collect_list(F.struct("block", "low", "high")).alias("ends"))  # a few numbers for each ``TICKERS`` tickers
+    placed = placed.join(F.broadcast(ends)).withColumn("mine", F.filter("ends", lambda e: e["block"] == F.col("block"))[0])
+
+    def reach(e: Column) -> Column:
+        room = math.acos(min(1.0, max(0.0, least))) + 1e-6
+        near = F.greatest(F.col("mine.low") - e["high"], e["low"] - F.col("mine.high"))
+        least_sum, most_sum = F.col("mine.low") + e["low"], F.col("mine.high") + e["high"]
+        far = F.when(most_sum < math.pi, most_sum).when(least_sum > math.pi, 2 * math.pi - least_sum).otherwise(math.pi)
+        return (near <= room) | (far >= math.pi - room)
+
+    other = F.explode(F.transform(F.filter("ends", reach), lambda e: e["block"]))
+    return placed.select(*series.columns, "block", other.alias("other"))
+
+
 def lead_lag(merged: DataFrame, x: str, y: str, most: int = 5, least: int = 10) -> DataFrame:
     """Per ticker the lag k in -most..most with the largest |corr(x[t], y[t+k])|; k > 0 if x leads. (0, 0) if none."""
     rows = merged.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("ticker", F.row_number().over(by("ticker", "date")).alias("rn"), F.col(x).alias("x"), F.col(y).alias("y"))
     shifted = rows.select("ticker", "y", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("k"), "rn").select("ticker", "k", (F.col("rn") - F.col("k")).alias("rn"), "y")
-    lags = rows.select("ticker", "rn", "x").join(shifted, ["ticker", "rn"]).groupBy("ticker", "k").agg(F.corr("x", "y").alias("c"), F.count("*").alias("n"))
+    lags = rows.select("ticker", "rn", "x").join(shifted, ["ticker", "rn"]).groupBy("ticker", "k").agg(correlation("x", "y").alias("c"), F.count("*").alias("n"))
     best = lags.where((F.col("n") >= least) & F.col("c").isNotNull() & ~F.isnan("c") & (F.abs("c") > 0))
     first = best.withColumn("nth", F.row_number().over(by("ticker", F.abs(F.round("c", 12)).desc(), "k"))).where("nth = 1")
     every = rows.select("ticker").distinct().join(first.select("ticker", F.col("k").alias("lag"), F.col("c").alias("corr")), "ticker", "left")
@@ -146,8 +192,9 @@ def mention_spikes(daily: DataFrame, window: int = 14, least: float = 2.0) -> Da
 
 
 def rolling_corr(rows: DataFrame, key: str, order: str, x: str, y: str, window: int = 21) -> DataFrame:
+    """Correlation in the trailing window, null before it is full or where a value does not vary in it."""
     frame = before(window, key, order)
-    return rows.withColumn("rolling_corr", if_enough(F.corr(x, y).over(frame), F.count(F.col(x) + F.col(y)).over(frame), window))
+    return rows.withColumn("rolling_corr", if_enough(correlation(x, y, lambda c: c.over(frame)), F.count(F.col(x) + F.col(y)).over(frame), window))
 
 
 def probe_features(bars: DataFrame, key: str) -> DataFrame:
