@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources import readers, sinks
 from ..sources.shared import new_path as scratch
-from ..sources.shared import written
 from . import ticks as tk
 from . import views as v
 from .registry import query
@@ -128,9 +127,12 @@ def s2_vendor_days(spark, sf_dir):
     columns = lambda schema: [given.get(c.split()[0], F.lit(None).cast("string")).alias(c.split()[0]) for c in schema.split(", ")]
     days = sorted(r["day"] for r in t.select("day").distinct().collect())  # a calendar
     for kind, schema, rows in (("trades", VENDOR_TRADES, t.where("trade_sz > 0")), ("quotes", VENDOR_QUOTES, t.where("trade_sz = 0"))):
-        rows = written(rows.select("day", *columns(schema)))
+        by_day = scratch(spark)  # a day is then read from its own folder; Spark splits large days and joins small ones by size
+        rows = rows.select("day", *columns(schema)).hint("rebalance", "day")
+        rows.write.partitionBy("day").parquet(by_day)
+        staged = spark.read.schema(rows.drop("day").schema.add("day", "string")).parquet(by_day)
         for d in days:
-            rows.where(F.col("day") == d).drop("day").coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{path}/{kind}/{d[:4]}/{d[5:7]}/{d}.csv.gz")
+            staged.where(F.col("day") == d).drop("day").write.option("header", True).option("compression", "gzip").csv(f"{path}/{kind}/{d[:4]}/{d[5:7]}/{d}.csv.gz")
     events = readers.vendor_events(readers.vendor_days(spark, path, "trades", days), readers.vendor_days(spark, path, "quotes", days))
     return events.select("ticker", "seq", "is_trade", "last_px", "last_sz", "bid", "ask")
 
