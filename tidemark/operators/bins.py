@@ -81,9 +81,10 @@ def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Colum
     if (most or 0) <= SPAN:
         whole = Window.partitionBy(*keys)
         placed = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "rows": F.sum("_n").over(whole)})
+        spare = not any(isinstance(p, Column) for p in levels)
     else:
-        placed = _placed(_spans(counts, keys), keys, ranks)
-    if not any(isinstance(p, Column) for p in levels):
+        placed, ranks, spare = _placed(_spans(counts, keys), keys, ranks), F.col("_ranks"), False  # few ranks a span
+    if spare:
         placed = placed.where(_near(F.col("_upto") - F.col("_n"), F.col("_upto"), F.col("rows"), levels))
     mine = F.filter(ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
     picked = placed.select(*keys, "rows", "_v", F.explode(mine).alias("_rank"))
@@ -94,14 +95,14 @@ def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Colum
 
 
 def _placed(spans: DataFrame, keys: list[str], ranks: Column) -> DataFrame:
-    """Values of those spans that hold one of ``ranks``, with ``_upto``, the rows up to a value, and ``rows`` of the group."""
+    """Values of those spans that hold one of ``ranks``, with those as ``_ranks``, ``_upto``, the rows up to a value, and ``rows`` of the group."""
     sums = written(spans.groupBy(*keys, "_low").agg(F.sum("_n").alias("_all")))
     totals = sums.groupBy(*keys).agg(F.sum("_all").alias("rows")).withColumn("_ranks", ranks)
     before = F.sum("_all").over(by(keys, "_low").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(*keys, "_low", "_all", F.coalesce(before, F.lit(0)).alias("_before"))
     offsets = offsets.join(totals, keys) if keys else offsets.crossJoin(F.broadcast(totals))  # without keys: one row
-    inside = F.exists("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
-    asked = offsets.where(inside).select(*keys, "_low", "rows", "_before")
+    inside = F.filter("_ranks", lambda r: (r < F.col("_before") + F.col("_all")) & (r >= F.col("_before")))
+    asked = offsets.select(*keys, "_low", "rows", "_before", inside.alias("_ranks")).where(F.size("_ranks") > 0)
     side = F.broadcast(asked) if sums.count() <= SENT_ROWS else asked  # at most one row a span
     upto = F.sum("_n").over(by([*keys, "_low"], "_v").rowsBetween(Window.unboundedPreceding, 0))
     return spans.join(side, [*keys, "_low"]).withColumn("_upto", upto + F.col("_before"))
