@@ -12,6 +12,11 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
+#: Boosting rounds from one checkpoint of the residuals to the next.
+EVERY = 10
+
 
 def cluster_tickers(returns: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     """(ticker, cluster) by co-movement; tickers with gaps or without variance are left out, too few get cluster 0.
@@ -32,9 +37,21 @@ def cluster_tickers(returns: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select("ticker", "cluster")
 
 
+def _trees(kind: type, rows: DataFrame, rounds: int, **params):
+    """A boosted-tree estimator of depth 3 that checkpoints in the shared folder.
+
+    Each round's residuals depend on those of the round before, so without checkpoints a task carries
+    the lineage of all rounds (200 of them overflow the stack) and a lost executor repeats them.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    return kind(maxDepth=3, maxIter=rounds, checkpointInterval=EVERY, **params)
+
+
 def fit_return_model(rows: DataFrame, features: list[str], label: str, seed: int = 0, rounds: int = 120):
     """A scaled boosted-tree regressor of the next return and the deviation of its residuals."""
-    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), GBTRegressor(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed)]
+    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), _trees(GBTRegressor, rows, rounds, featuresCol="x", labelCol=label, seed=seed)]
     clean = rows.dropna(subset=[*features, label])
     model = Pipeline(stages=steps).fit(clean)
     sigma = model.transform(clean).agg(F.stddev_pop(F.col(label) - F.col("prediction")).alias("s")).first()["s"]
@@ -47,7 +64,7 @@ def fit_fill_model(rows: DataFrame, features: list[str], label: str = "label", l
     if n < least_rows or (fills or 0) < least_fills:
         return None
     assembled = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(rows)
-    trees = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed).fit(assembled)
+    trees = _trees(GBTClassifier, rows, rounds, featuresCol="x", labelCol=label, seed=seed).fit(assembled)
     scored = trees.transform(assembled).withColumn("p", vector_to_array("probability")[1])
     return trees, IsotonicRegression(featuresCol="p", labelCol=label, predictionCol="p_fill").fit(scored.select("p", F.col(label).cast("double").alias(label)))
 
@@ -69,7 +86,8 @@ def _probe_input(rows: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def fit_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0, rounds: int = 200):
     """A boosted-tree classifier fitted on the train split."""
-    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, maxIter=rounds, checkpointInterval=-1, seed=seed).fit(_probe_input(rows, features, label).where("split = 'train'"))
+    trees = _trees(GBTClassifier, rows, rounds, featuresCol="x", labelCol=label, seed=seed)
+    return trees.fit(_probe_input(rows, features, label).where("split = 'train'"))
 
 
 def directional_probe(rows: DataFrame, features: list[str], label: str = "y", seed: int = 0, rounds: int = 200) -> DataFrame:
