@@ -156,5 +156,18 @@ def test_models_have_their_rounds():
     assert rounds == {"fit_return_model": 120, "fit_fill_model": 80, "fit_probe": 200, "directional_probe": 200}
 
 
+def test_trees_checkpoint(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    from tidemark.operators import models
+
+    rows = spark.range(300).selectExpr("id % 7 * 1.0 AS a", "cast(id % 7 > 3 AS double) AS y")
+    trees = models._trees(GBTRegressor, rows, 3 * models.EVERY, featuresCol="x", labelCol="y", seed=0)
+    assert trees.getCheckpointInterval() == models.EVERY > 0 and trees.getMaxIter() == 3 * models.EVERY
+    assert spark.sparkContext.getCheckpointDir()
+    model, sigma = models.fit_return_model(rows, ["a"], "y", rounds=3 * models.EVERY)
+    assert sigma < 0.05
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
