@@ -90,7 +90,8 @@ def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Colum
     picked = placed.select(*keys, "rows", "_v", F.explode(mine).alias("_rank"))
     found = picked.groupBy(*keys, "rows").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two values a level
     at = lambda r: F.element_at("_at", r)
-    q = [(F.when(F.ceil(x) > F.floor(x), (F.ceil(x) - x) * at(F.floor(x)) + (x - F.floor(x)) * at(F.ceil(x))).otherwise(at(F.floor(x)))) for x in h]
+    # between equal values lies that value, not one that differs in its last bit
+    q = [(F.when(at(F.ceil(x)) != at(F.floor(x)), (F.ceil(x) - x) * at(F.floor(x)) + (x - F.floor(x)) * at(F.ceil(x))).otherwise(at(F.floor(x)))) for x in h]
     return found.select(*keys, F.array(*q).alias("q"), "rows")
 
 

@@ -98,7 +98,10 @@ def p14_every_fifth(spark, sf_dir):
 
 
 QUANTILE_SQL = f"""WITH {FEAT}, long AS (SELECT 'ret' AS feature, ret AS value FROM feat UNION ALL SELECT 'mid', mid FROM feat),
- q AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {[i / N for i in range(N + 1)]}))) AS d FROM long GROUP BY feature),
+ qr AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS at, count(*) OVER (PARTITION BY feature) AS n FROM long WHERE value IS NOT NULL),
+ qh AS (SELECT feature, i / {N}::DOUBLE * (n - 1) AS h FROM (SELECT feature, max(n) AS n FROM qr GROUP BY feature), range(0, {N + 1}) t(i)),
+ qv AS (SELECT qh.feature, CASE WHEN a.value = b.value THEN a.value ELSE (ceil(h) - h) * a.value + (h - floor(h)) * b.value END AS v FROM qh JOIN qr a ON a.feature = qh.feature AND a.at = floor(h) JOIN qr b ON b.feature = qh.feature AND b.at = ceil(h)),
+ q AS (SELECT feature, list_sort(list_distinct(list(v))) AS d FROM qv GROUP BY feature),
  p AS (SELECT feature, CASE WHEN len(d) < {N + 1} THEN list_concat(d, list_transform(range(1, {N + 2} - len(d)), lambda i: d[len(d)] + i / CAST({N + 1} - len(d) AS DOUBLE))) ELSE d END AS e FROM q),
  qe AS (SELECT feature, i - 1 AS pos, CASE WHEN i = 1 THEN '-Infinity'::DOUBLE WHEN i = {N + 1} THEN 'Infinity'::DOUBLE ELSE e[i] END AS edge FROM p, range(1, {N + 2}) t(i))"""
 LOG_SQL = """,
