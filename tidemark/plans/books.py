@@ -115,8 +115,8 @@ def j5_markout_rows(spark, sf_dir):
 
 
 MT = f"""WITH m AS (SELECT f.*, a.mid_at_fill - f.mid_at_fill AS m1, b.mid_at_fill - f.mid_at_fill AS m6 FROM fills f
-   ASOF LEFT JOIN (SELECT product, ms - {HOUR_MS} AS ms, mid_at_fill FROM fills) a ON f.product = a.product AND f.ms <= a.ms
-   ASOF LEFT JOIN (SELECT product, ms - {H} AS ms, mid_at_fill FROM fills) b ON f.product = b.product AND f.ms <= b.ms)"""
+   ASOF LEFT JOIN (SELECT product, ms - {HOUR_MS} AS ms, arg_min(mid_at_fill, seq) AS mid_at_fill FROM fills GROUP BY product, ms) a ON f.product = a.product AND f.ms <= a.ms
+   ASOF LEFT JOIN (SELECT product, ms - {H} AS ms, arg_min(mid_at_fill, seq) AS mid_at_fill FROM fills GROUP BY product, ms) b ON f.product = b.product AND f.ms <= b.ms)"""
 
 
 def timed(spark, sf_dir):
