@@ -1,8 +1,8 @@
 """Stateful stream operators on rows in event time.
 
 Spark hands a key's rows of a micro-batch over in no order, in frames of bounded size. ``InOrder``
-keeps them in state, in spans of event time, until the watermark has passed them, and a timer then
-takes them out span by span, sorted. So an operator sees every key's rows in order over all
+keeps them in state, in spans of event time, until the watermark has passed them, and a timer, one a
+key, then takes them out span by span, sorted. So an operator sees every key's rows in order over all
 micro-batches, a worker holds one span and not a key's micro-batch, and rows behind the watermark
 (the newest event time less the allowed delay) are late and dropped, wherever micro-batches end.
 """
@@ -28,7 +28,7 @@ OFI = "product string, ms long, seq long, ofi double, micro double, first_tick b
 GATE = "account string, ms long, seq long, notional double, approved boolean, notional_1m double, orders_1s long"
 FILLS = "product string, order_id long, kind string, ms long, seq long, fill_qty double, fill_px double, open_qty double"
 #: Rows held before they go to state; rows of a span at first; the delay of the watermark.
-HELD, SPAN_ROWS, LATE = 1 << 17, 128, "0 seconds"
+HELD, SPAN_ROWS, LATE = 1 << 17, 4096, "0 seconds"
 
 
 class InOrder(StatefulProcessor):
@@ -46,6 +46,7 @@ class InOrder(StatefulProcessor):
         self.width = handle.getValueState("width", "ms long")
         self.parts = handle.getMapState("parts", "span long", "n int")
         self.rows = handle.getMapState("rows", "span long, nth int", "rows binary")
+        self.timer = handle.getValueState("timer", "ms long")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None: ...
@@ -58,8 +59,20 @@ class InOrder(StatefulProcessor):
     def passed(self, key: Any, watermark: int) -> pd.DataFrame | None:
         """Output that is due at the watermark even if no row came."""
 
+    def later(self) -> int | None:
+        """When ``passed`` is due next."""
+
     def save(self) -> None: ...
 
+    def _wake(self, ms: int) -> None:
+        """Have the key's one timer expire at ``ms`` or before."""
+        set_to = self.timer.get()[0] if self.timer.exists() else None
+        if set_to is None or ms < set_to:
+            if set_to is not None:
+                self.handle.deleteTimer(set_to)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
     def _keep(self, frames: list[pd.DataFrame]) -> None:
         frame = pd.concat(frames, ignore_index=True)
         ms = frame["ms"].to_numpy()
@@ -68,7 +81,7 @@ class InOrder(StatefulProcessor):
         span = ms // self.width.get()[0]
         for at in np.split(np.argsort(span, kind="stable"), np.flatnonzero(np.diff(np.sort(span))) + 1):
             self._put(int(span[at[0]]), frame.iloc[at])
-            self.handle.registerTimer(int(ms[at].max()))
+        self._wake(int(ms.min()))
 
     def _put(self, span: int, frame: pd.DataFrame) -> None:
         n = self.parts.getValue((span,))[0] if self.parts.containsKey((span,)) else 0
@@ -102,18 +115,22 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
         self.load(key)
+        wake = []
         if self.width.exists():
             width = self.width.get()[0]
             spans = sorted((span, n) for (span,), (n,) in self.parts.iterator())
             left = len(spans)
             for span, n in spans:
                 if span * width > now:
+                    wake.append(span * width)
                     break
                 frame = self._take(span, n).sort_values(self.order, kind="stable", ignore_index=True)
                 early = int(np.searchsorted(frame["ms"].to_numpy(), now, "right"))
                 if early < len(frame):
                     self._put(span, frame.iloc[early:])
+                    wake.append(int(frame["ms"].iloc[early]))
                 else:
                     left -= 1
                 if early:
@@ -124,6 +141,11 @@ class InOrder(StatefulProcessor):
         if due is not None:
             yield due
         self.save()
+        later = self.later()
+        if later is not None:
+            wake.append(max(later, now + 1))
+        if wake:
+            self._wake(min(wake))
 
     def close(self) -> None: ...
 
@@ -158,13 +180,19 @@ class BookProcessor(InOrder):
 
     def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (ms, seq, _), part in frame.groupby(["ms", "seq", "event_no"], sort=False):
-            if (part["event_type"] == "snapshot").any():
+        frame = frame.dropna(subset=["ms", "seq", "event_no"])
+        ident = frame[["ms", "seq", "event_no"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (ident[1:] != ident[:-1]).any(axis=1)]) if len(frame) else np.zeros(0, int)
+        fresh = np.logical_or.reduceat((frame["event_type"] == "snapshot").to_numpy(bool), starts) if len(frame) else []
+        sides = np.where(frame["side"].astype(str).str.lower().str.startswith("b"), "bid", "offer").tolist()
+        prices, sizes, times, numbers = (frame[c].tolist() for c in ("price", "size", "ms", "seq"))
+        for first, end, snapshot in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], fresh, strict=True):
+            ms, seq = times[first], numbers[first]
+            if snapshot:
                 for side in self.book:
                     self.book[side].clear()
                     self.heaps[side].clear()
-            for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
-                side = "bid" if str(side).lower().startswith("b") else "offer"
+            for side, price, size in zip(sides[first:end], prices[first:end], sizes[first:end], strict=True):
                 if not size:
                     self.book[side].pop(price, None)
                     continue
@@ -224,18 +252,24 @@ class OrderGate(InOrder):
     def load(self, key: Any) -> None:
         self.recent = deque(self.state.get() if self.state.exists() else [])
         self.second = deque(t for t, _ in self.recent)
+        self.total = sum(n for _, n in self.recent)
 
     def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         recent, second, out = self.recent, self.second, []
-        for ms, seq, notional in zip(frame["ms"], frame["seq"], frame["notional"], strict=True):
+        for ms, seq, notional in zip(*(frame[c].tolist() for c in ("ms", "seq", "notional")), strict=True):
+            gone = False
             while recent and ms - recent[0][0] > 60_000:
                 recent.popleft()
+                gone = True
+            if gone:  # added up again from the oldest on, as a difference would be another double
+                self.total = sum(n for _, n in recent)
             while second and ms - second[0] > 1_000:
                 second.popleft()
-            total, orders = sum(n for _, n in recent) + notional, len(second)  # a minute of approved orders, within the cap
+            total, orders = self.total + notional, len(second)  # a minute of approved orders, within the cap
             approved = total <= self.notional_cap and orders < self.rate_cap
             if approved:
                 recent.append((int(ms), float(notional)))
+                self.total += float(notional)
                 second.append(int(ms))
             out.append((key[0], int(ms), int(seq), float(notional), bool(approved), float(total), int(orders)))
         return pd.DataFrame(out, columns=["account", "ms", "seq", "notional", "approved", "notional_1m", "orders_1s"])
@@ -258,7 +292,13 @@ class TokenContext(InOrder):
         self.newest = None
 
     def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
-        for row in frame["tokens"]:
+        rows, n = [], 0
+        for row in reversed(frame["tokens"].tolist()):  # as many of the last rows as fill it
+            rows.append(row)
+            n += len(row)
+            if n >= self.length:
+                break
+        for row in reversed(rows):
             self.context.extend(int(t) for t in row)
         self.newest = int(frame["ms"].iloc[-1])
         return pd.DataFrame({"product": pd.Series(dtype=str), "ms": pd.Series(dtype="int64"), "context": pd.Series(dtype=object)})
@@ -282,21 +322,22 @@ class EveryNth(InOrder):
 
     def load(self, key: Any) -> None:
         self.seen = self.count.get()[0] if self.count.exists() else 0
-        self.buffer = deque((v for (v,) in self.values.get()) if self.values.exists() else (), self.length)
+        self.buffer = np.array([v for (v,) in self.values.get()] if self.values.exists() else [], float)
 
     def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ms, seq, value in zip(frame["ms"], frame["seq"], frame["value"], strict=True):
-            self.seen += 1
-            self.buffer.append(float(value))
-            if self.seen >= self.least and self.seen % self.n == 0:
-                out.append((key[0], int(ms), int(seq), self.seen, sum(self.buffer) / len(self.buffer)))
-        return pd.DataFrame(out, columns=["product", "ms", "seq", "nth", "mean"])
+        held = np.concatenate([self.buffer, frame["value"].to_numpy(float)])
+        nth = np.arange(self.seen + 1, self.seen + len(frame) + 1)
+        at = np.flatnonzero((nth >= self.least) & (nth % self.n == 0))
+        ends = len(self.buffer) + at + 1
+        means = [float(held[max(0, end - self.length) : end].mean()) for end in ends.tolist()]
+        self.seen += len(frame)
+        self.buffer = held[-self.length :]
+        return pd.DataFrame({"product": key[0], "ms": frame["ms"].to_numpy()[at], "seq": frame["seq"].to_numpy()[at], "nth": nth[at], "mean": np.array(means, float)})
 
     def save(self) -> None:
         if self.seen:
             self.count.update((self.seen,))
-            self.values.put([(v,) for v in self.buffer])
+            self.values.put([(v,) for v in self.buffer.tolist()])
 
 
 class PaperBroker(InOrder):
@@ -305,8 +346,8 @@ class PaperBroker(InOrder):
     Rows are orders (side not null: order_id, side, qty, limit_px) and ticks (bid_px, ask_px, bid_sz,
     ask_sz). A tick offers max(1, ``share`` of the far side's size), all that is open if that is 0, to
     every order that it crosses, up to ``max_age_ms`` after the order. Orders at a tick's time come
-    before it. A timer at an order's last moment closes it, so it expires though no tick follows. State
-    holds the open orders.
+    before it. The timer is set to the last moment of the oldest order, so orders expire though no tick
+    follows. State holds the open orders.
     """
 
     order = ["ms", "rank", "seq"]
@@ -339,7 +380,7 @@ class PaperBroker(InOrder):
     def advance(self, key: Any, frame: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         names = ["ms", "seq", "order_id", "side", "qty", "limit_px", "bid_px", "ask_px", "bid_sz", "ask_sz"]
-        for ms, seq, order_id, side, qty, limit, bid, ask, bid_sz, ask_sz in zip(*(frame[c] for c in names), strict=True):
+        for ms, seq, order_id, side, qty, limit, bid, ask, bid_sz, ask_sz in zip(*(frame[c].tolist() for c in names), strict=True):
             self._expired(ms, out, key[0])
             if isinstance(side, str):
                 buy = side == "buy"
@@ -347,7 +388,6 @@ class PaperBroker(InOrder):
                 row = [int(order_id), buy, float(qty), none if pd.isna(limit) else float(limit), int(ms), 0.0]
                 self.orders[row[0]] = row
                 self._stand(row)
-                self.handle.registerTimer(row[4] + self.max_age_ms + 1)
                 continue
             for buy, px, size in ((True, ask, ask_sz), (False, bid, bid_sz)):
                 heap, level, again = self.heaps[buy], -px if buy else px, []
@@ -374,6 +414,11 @@ class PaperBroker(InOrder):
         self._expired(watermark, out, key[0])
         return self._frame(out) if out else None
 
+    def later(self) -> int | None:
+        while self.ages and self.ages[0][1] not in self.orders:
+            heapq.heappop(self.ages)
+        return self.ages[0][0] + self.max_age_ms + 1 if self.ages else None
+
     @staticmethod
     def _frame(out: list) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["product", "order_id", "kind", "ms", "seq", "fill_qty", "fill_px", "open_qty"])
