@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import gamma_cap_scale
-from .windows import DAY_MS, by, in_spans, running_sum
+from .windows import DAY_MS, by, running_sum, trailing_sums
 
 # Margin coefficients where a table has none.
 DEFAULTS = {"k_gross": 0.05, "k_delta": 0.15, "k_vega": 1.2, "k_gamma": 0.001, "floor_dollars": 500.0, "tod_mult_power_hour": 1.2, "tod_mult_last_30": 1.5}
@@ -96,11 +96,7 @@ def can_place(positions: DataFrame, candidates: DataFrame, equity: DataFrame, ke
 
 def order_rates(orders: DataFrame, key: str, notional_cap: float, rate_cap: int, minute_ms: int = 60_000, second_ms: int = 1_000) -> DataFrame:
     """Notional of the last minute and orders of the last second, own row included, against caps."""
-
-    def rates(rows: DataFrame, w) -> DataFrame:
-        return rows.withColumns({"notional_1m": F.sum("notional").over(w.rangeBetween(-minute_ms, 0)), "orders_1s": F.count("*").over(w.rangeBetween(-second_ms, 0))})
-
-    rows = in_spans(orders, key, "ms", rates, max(minute_ms, second_ms))
+    rows = trailing_sums(orders, key, "ms", {"notional_1m": (F.col("notional"), minute_ms), "orders_1s": (F.lit(1).cast("long"), second_ms)})
     return rows.withColumns({"velocity_ok": F.col("notional_1m") <= notional_cap, "rate_ok": F.col("orders_1s") <= rate_cap})
 
 
