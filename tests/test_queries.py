@@ -169,5 +169,37 @@ def test_trees_checkpoint(spark):
     assert sigma < 0.05
 
 
+def test_return_model_grows_with_cells_not_rows(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import models
+
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows, *a: (seen.append(rows.count()), fit(self, rows, *a))[1])
+    one = spark.range(600).selectExpr("id", "id % 7 * 1.5 - 3 AS a", "id % 11 * 1.0 AS b", "(id * 37 % 101) / 10.0 + id % 7 * (id % 11) AS y")
+    many = one.join(spark.range(30).withColumnRenamed("id", "copy"))
+    (model, sigma), (same, _) = (models.fit_return_model(rows, ["a", "b"], "y", rounds=3) for rows in (one, many))
+    assert seen == [77, 77]
+    # features of few values: the trees of MLlib's fit on the rows themselves
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(one)
+    plain = fit(models._trees(GBTRegressor, rows, 3, featuresCol="x", labelCol="y", seed=0), rows).transform(rows)
+    want = {r["id"]: r["prediction"] for r in plain.collect()}
+    for m in (model, same):
+        assert {r["id"]: r["prediction"] for r in m.transform(one).collect()} == pytest.approx(want, rel=1e-9)
+    assert sigma == pytest.approx(plain.agg(F.stddev_pop(F.col("y") - F.col("prediction"))).first()[0], rel=1e-9)
+
+
+def test_thresholds_are_exact_beyond_few_values(spark):
+    from tidemark.operators import models
+
+    rows = spark.range(20_001).selectExpr("id * 0.5 AS a", "cast(id % 32 AS double) AS b", "1.0 AS c", "cast(id AS double) AS y")
+    found = models._thresholds(rows, ["a", "b", "c"])
+    assert found == {"a": pytest.approx([i / 32 * 10_000 for i in range(1, 32)]), "b": [i + 0.5 for i in range(31)], "c": [0.0]}
+    cells = models._cells(rows, found, "y")
+    assert cells.agg({"weight": "sum"}).first()[0] == 20_001 and cells.count() <= 32 * 32
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -63,18 +63,18 @@ def _near(lower: Column, upto: Column, rows: Column, levels: list[float]) -> Col
     return below(upto + 1) > below(lower - 2)
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Column], value: str = "value") -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], levels: list[float | Column], value: str = "value", weight: str | None = None) -> DataFrame:
     """(keys.., q, rows): quantiles at ``levels``, linear between ranks, and the number of values, per group.
 
     Equal values are counted first. If no group has more than ``SPAN`` distinct values, each is put in
     order by one task. Otherwise they are cut into spans of values; ranks are sums inside a span plus the
     counts of the spans before, so no task holds a group. The cuts only balance the work, the quantiles
     are exact. Values that are null or NaN and rows with a null key take no part. A level may be a column
-    over ``rows``, the place of a value in the order (from 0).
+    over ``rows``, the place of a value in the order (from 0). With ``weight`` a row stands for so many equal ones.
     """
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
-    counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    counts = written(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_n")))
     h = [p.cast("double") if isinstance(p, Column) else F.lit(p) * (F.col("rows") - 1) for p in levels]
     ranks = F.array_distinct(F.concat(F.array(*[F.floor(x) for x in h]), F.array(*[F.ceil(x) for x in h])))
     most = counts.groupBy(*keys).agg(F.count("*").alias("_many")).agg(F.max("_many")).first()[0]

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
+from . import bins
 
 #: Boosting rounds from one checkpoint of the residuals to the next.
 EVERY = 10
+#: Bins of a feature, as many as MLlib's trees have by default.
+BINS = 32
 
 
 def cluster_tickers(returns: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
@@ -49,11 +54,42 @@ def _trees(kind: type, rows: DataFrame, rounds: int, **params):
     return kind(maxDepth=3, maxIter=rounds, checkpointInterval=EVERY, **params)
 
 
+def _thresholds(rows: DataFrame, features: list[str]) -> dict[str, list[float]]:
+    """Where each feature's bins meet: between all its values, or at exact quantiles of all rows if it has over ``BINS`` values."""
+    values = written(bins.long_features(rows, features, []).groupBy("feature", "value").agg(F.count("*").alias("n")))
+    many = values.groupBy("feature").agg(F.count("*").alias("many")).where(F.col("many") > BINS).select("feature")
+    few = values.join(F.broadcast(many), "feature", "left_anti").groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    found = {r["feature"]: [(x + y) / 2 for x, y in zip(r["v"], r["v"][1:], strict=False)] for r in few.collect()}
+    cut = bins.exact_quantiles(values.join(F.broadcast(many), "feature", "left_semi"), ["feature"], [i / BINS for i in range(1, BINS)], weight="n")
+    found |= {r["feature"]: sorted(set(r["q"])) for r in cut.select("feature", "q").collect()}
+    return {f: found.get(f) or [0.0] for f in features}  # a feature with one value is told apart nowhere
+
+
+def _cells(rows: DataFrame, thresholds: dict[str, list[float]], label: str) -> DataFrame:
+    """(x, label, weight): one row for all rows in the same bins, with the mean label and their number.
+
+    Trees cut between bins only and squared error falls by the same amount for a cell's rows as for their
+    mean, so a weighted fit on cells grows the trees of a fit on rows. Cells do not grow with the rows.
+    """
+    own = [bins.bucket(F.col(f), [-math.inf, *t, math.inf]).cast("double").alias(f"_bin_{f}") for f, t in thresholds.items()]
+    names = [f"_bin_{f}" for f in thresholds]
+    cells = rows.select(*own, F.col(label).cast("double").alias(label)).groupBy(*names).agg(F.avg(label).alias(label), F.count("*").cast("double").alias("weight"))
+    return written(VectorAssembler(inputCols=names, outputCol="x").transform(cells).select("x", label, "weight"))
+
+
 def fit_return_model(rows: DataFrame, features: list[str], label: str, seed: int = 0, rounds: int = 120):
-    """A scaled boosted-tree regressor of the next return and the deviation of its residuals."""
-    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), _trees(GBTRegressor, rows, rounds, featuresCol="x", labelCol=label, seed=seed)]
+    """A boosted-tree regressor of the next return, on features in bins, and the deviation of its residuals.
+
+    ``rows`` are read a few times, not in every round; the rounds read cells. Trees need no scaling, as
+    they look at the order of values only.
+    """
     clean = rows.dropna(subset=[*features, label])
-    model = Pipeline(stages=steps).fit(clean)
+    thresholds = _thresholds(clean, features)
+    # MLlib finds the bounds of bins from maxBins * maxBins rows: that many so that no bin is missed
+    trees = _trees(GBTRegressor, rows, rounds, featuresCol="x", labelCol=label, weightCol="weight", maxBins=BINS * BINS, seed=seed).fit(_cells(clean, thresholds, label))
+    names = [f"_bin_{f}" for f in features]
+    binned = Bucketizer(splitsArray=[[-math.inf, *thresholds[f], math.inf] for f in features], inputCols=features, outputCols=names)
+    model = PipelineModel([binned, VectorAssembler(inputCols=names, outputCol="x"), trees])
     sigma = model.transform(clean).agg(F.stddev_pop(F.col(label) - F.col("prediction")).alias("s")).first()["s"]
     return model, sigma
 

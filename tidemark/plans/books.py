@@ -264,8 +264,10 @@ def x6_return_model(spark, sf_dir):
     """A return regressor and its residual deviation."""
     from ..operators import features
 
+    names = ["ofi", "imbalance", "rel_spread", "micro_dev"]
     rows = features.forward_returns(features.order_flow(v.ticks(spark, sf_dir).where("bid_px > 0"), "inst"), "inst", "mid", 5, "y")
-    model, sigma = models.fit_return_model(rows, ["ofi", "imbalance", "rel_spread", "micro_dev"], "y")
+    rows = written(rows.select("inst", "seq", "y", *names))  # thresholds, cells, deviation and scores read it
+    model, sigma = models.fit_return_model(rows, names, "y")
     return model.transform(rows.dropna(subset=["y"])).select("inst", "seq", "y", F.col("prediction").alias("mu"), F.lit(sigma).alias("sigma"))
 
 
