@@ -97,6 +97,27 @@ def test_report_sections_come_back(spark):
     assert {r["product"]: r["total_spread_cost"] for r in by["symbols"]} == pytest.approx(costs)
 
 
+def test_report_sections_share_what_they_read(spark):
+    from tidemark.plans import ingest, panels
+
+    sections = ingest.report_sections(spark, DATA)
+    for name in ("snapshot", "anomalies", "pairs", "clusters", "lead_lag", "spikes", "sentiment", "edge", "symbols", "hours"):
+        read = " ".join(sections[name].inputFiles())
+        assert not [t for t in ("lineitem", "part.parquet", "documents", "events") if t in read], name
+    # words meet a small lexicon without a shuffle
+    scored = panels.tagged(spark, DATA).select("item", "sentiment")
+    scored.collect()
+    assert "hashpartitioning(word" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_do_not_depend_on_the_layout_of_rows(spark):
+    from tidemark.operators import models
+
+    rows = spark.range(40 * 30).selectExpr("concat('T', id div 30) AS ticker", "date_add(date'2024-01-01', cast(id % 30 AS int)) AS date", "sin(id * 12.9898) AS ret")
+    found = [{r["ticker"]: r["cluster"] for r in models.cluster_tickers(rows.repartition(n, "date", "ticker")).collect()} for n in (1, 3, 7)]
+    assert len(found[0]) == 40 and found[0] == found[1] == found[2]
+
+
 def test_stream_queries_against_loops(spark):
     from tidemark.plans import views
 

@@ -36,7 +36,7 @@ def cluster_tickers(returns: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     sd = F.stddev_pop("ret").over(per_date)
     rows = rows.withColumn("x", F.when(sd > 0, (F.col("ret") - F.avg("ret").over(per_date)) / sd).otherwise(0.0))
     vectors = rows.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "x"))), lambda s: s["x"]).alias("x"))
-    vectors = vectors.select("ticker", array_to_vector("x").alias("features"))
+    vectors = written(vectors.select("ticker", array_to_vector("x").alias("features")).orderBy("ticker"))  # k-means depends on the order of rows
     if vectors.count() < k:
         return vectors.select("ticker", F.lit(0).alias("cluster"))
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select("ticker", "cluster")

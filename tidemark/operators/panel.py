@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .bins import SENT_ROWS
 from .windows import before, by, if_enough, in_blocks
 
 MARKET = "_MARKET_"
@@ -168,8 +169,11 @@ def daily_sentiment(items: DataFrame) -> DataFrame:
 def lexicon_sentiment(items: DataFrame, lexicon: DataFrame, ident: str, text: str) -> DataFrame:
     """compound, pos, neu, neg of each text from the valences of its words; an empty text is neutral.
 
-    The lexicon (word, valence) is a table of the user; it is sent along only if Spark finds it small.
+    The lexicon (word, valence) is a table of the user; up to ``SENT_ROWS`` words it is sent along, so that
+    only sums of texts are shuffled and not their words.
     """
+    if lexicon.count() <= SENT_ROWS:
+        lexicon = F.broadcast(lexicon)
     words = items.select(ident, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z']+"), F.lit(0))).alias("word"))
     scored = words.join(lexicon, "word", "left").groupBy(ident).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("s"), F.count("*").alias("n"),
@@ -183,6 +187,7 @@ def lexicon_sentiment(items: DataFrame, lexicon: DataFrame, ident: str, text: st
 
 def mention_spikes(daily: DataFrame, window: int = 14, least: float = 2.0) -> DataFrame:
     """Tickers whose mentions on the last date stand ``least`` deviations over their trailing mean; absent days count 0."""
+    daily = written(daily)  # read three times, and a row a day and ticker only
     # a calendar of days, small by nature, is one array that each ticker lays open
     calendar = daily.agg(F.collect_set("date").alias("days"))
     dense = daily.select("ticker").distinct().join(F.broadcast(calendar)).select("ticker", F.explode("days").alias("date"))

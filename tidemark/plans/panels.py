@@ -27,10 +27,15 @@ def returns(spark, sf_dir):
     return panel.panel_returns(v.panel(spark, sf_dir))
 
 
+def kept_returns(spark, sf_dir):
+    """The returns written once, for what reads them more often."""
+    return written(returns(spark, sf_dir))
+
+
 def tagged(spark, sf_dir):
     lexicon = spark.createDataFrame(LEXICON, "word string, valence double")
-    scored = panel.lexicon_sentiment(v.items(spark, sf_dir), lexicon, "item", "text")
-    return scored.withColumns({"tickers": text.tickers(F.col("text")), "sentiment": F.round("compound", 9)})
+    items = v.items(spark, sf_dir).withColumn("tickers", text.tickers(F.col("text")))  # before the join, through which no text then goes unless asked for
+    return panel.lexicon_sentiment(items, lexicon, "item", "text").withColumn("sentiment", F.round("compound", 9))
 
 
 @query(sql("panel", f"""WITH {RET}, z AS (SELECT *, CASE WHEN count(ret) OVER w = 21 THEN stddev_samp(ret) OVER w END AS vol FROM r WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 20 PRECEDING))
@@ -45,8 +50,12 @@ WITH s AS (SELECT date, ticker, close, lag(close) OVER (PARTITION BY ticker ORDE
 SELECT ticker, close, round((close / prev - 1) * 100, 6) AS change_pct FROM s WHERE nth = 1"""))
 def w7_snapshot(spark, sf_dir):
     """Last price and change per ticker."""
+    return snapshot(v.panel(spark, sf_dir))
+
+
+def snapshot(prices):
     w = by("ticker", "date")
-    rows = v.panel(spark, sf_dir).withColumn("change", F.col("close") / F.lag("close").over(w) - 1)
+    rows = prices.withColumn("change", F.col("close") / F.lag("close").over(w) - 1)
     last = rows.groupBy("ticker").agg(F.max_by(F.struct("close", "change"), "date").alias("l"))
     return last.select("ticker", "l.close", F.round(F.col("l.change") * 100, 6).alias("change_pct"))
 
@@ -63,13 +72,21 @@ def w4_rolling_z(spark, sf_dir):
 @query(sql("panel", f"{Z} SELECT ticker, round(ret, 6) AS ret, round(z, 5) AS z FROM z WHERE date = (SELECT max(date) FROM panel) AND z IS NOT NULL ORDER BY abs(z) DESC, ticker LIMIT 15"))
 def t1_top_anomalies(spark, sf_dir):
     """The 15 largest anomalies of the last date (a top-k report)."""
-    return panel.top_anomalies(returns(spark, sf_dir)).select("ticker", *r6("ret"), F.round("z", 5).alias("z"))
+    return anomalies(kept_returns(spark, sf_dir))
+
+
+def anomalies(returns):
+    return panel.top_anomalies(returns).select("ticker", *r6("ret"), F.round("z", 5).alias("z"))
 
 
 @query(sql("panel", f"WITH {RET} SELECT a.ticker AS a, b.ticker AS b, round(corr(a.ret, b.ret), 6) AS corr FROM r a JOIN r b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING abs(corr(a.ret, b.ret)) >= 0.1"))
 def j9_correlated_pairs(spark, sf_dir):
     """Pairs of tickers by correlation of returns."""
-    return panel.correlated_pairs(returns(spark, sf_dir), 0.1).select("a", "b", *r6("corr"))
+    return pairs(returns(spark, sf_dir))
+
+
+def pairs(returns):
+    return panel.correlated_pairs(returns, 0.1).select("a", "b", *r6("corr"))
 
 
 @query(sql("panel", f"WITH {RET} SELECT a.ticker AS a, b.ticker AS b, round(CASE WHEN a.ticker = b.ticker THEN 1.0 ELSE corr(a.ret, b.ret) END, 6) AS corr FROM r a JOIN r b ON a.date = b.date WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2"))
@@ -97,7 +114,10 @@ SELECT t.ticker, CAST(coalesce(k, 0) AS INTEGER) AS lag, round(coalesce(c, 0.0),
 @query(sql("panel", f"WITH {RET}, merged AS (SELECT b.date, b.ticker, a.ret AS x, b.ret AS y FROM r a JOIN r b USING (date) WHERE a.ticker = 'Brand#11'){LAGS}"))
 def w6_lead_lag(spark, sf_dir):
     """The lag with the largest correlation per ticker."""
-    r = returns(spark, sf_dir)
+    return lead_lags(kept_returns(spark, sf_dir))
+
+
+def lead_lags(r):
     one = r.where("ticker = 'Brand#11'").select("date", F.col("ret").alias("x"))
     return panel.lead_lag(r.select("date", "ticker", F.col("ret").alias("y")).join(one, "date"), "x", "y").select("ticker", "lag", *r6("corr"))
 
@@ -128,7 +148,11 @@ def a1_daily_sentiment(spark, sf_dir):
 @query(sql("items", f"WITH {DAILY} SELECT date, round(avg(sentiment), 6) AS sentiment FROM tg GROUP BY 1"))
 def a2_market_sentiment(spark, sf_dir):
     """A2: daily mean over all items."""
-    return tagged(spark, sf_dir).groupBy(F.col("day").alias("date")).agg(F.round(F.avg("sentiment"), 6).alias("sentiment"))
+    return market_sentiment(tagged(spark, sf_dir))
+
+
+def market_sentiment(items):
+    return items.groupBy(F.col("day").alias("date")).agg(F.round(F.avg("sentiment"), 6).alias("sentiment"))
 
 
 @query(sql("items", f"""WITH {DAILY}, g AS (SELECT d.date, t.ticker, coalesce(mentions, 0) AS mentions FROM (SELECT DISTINCT date FROM ds) d CROSS JOIN (SELECT DISTINCT ticker FROM ds) t LEFT JOIN ds USING (date, ticker)),
@@ -136,7 +160,11 @@ def a2_market_sentiment(spark, sf_dir):
 SELECT ticker, round(z, 5) AS mention_z FROM z WHERE date = (SELECT max(date) FROM g) AND z >= 2"""))
 def w8_mention_spikes(spark, sf_dir):
     """Tickers mentioned far more than lately."""
-    return panel.mention_spikes(panel.daily_sentiment(tagged(spark, sf_dir))).select("ticker", F.round("mention_z", 5).alias("mention_z"))
+    return mention_spikes(tagged(spark, sf_dir))
+
+
+def mention_spikes(items):
+    return panel.mention_spikes(panel.daily_sentiment(items)).select("ticker", F.round("mention_z", 5).alias("mention_z"))
 
 
 @query(sql("panel items", f"""WITH {RET}, {DAILY}, mk AS (SELECT date, avg(sentiment) AS sentiment FROM tg GROUP BY 1),
@@ -228,7 +256,7 @@ def t5_importances(spark, sf_dir):
 @query()
 def x5_clusters(spark, sf_dir):
     """Tickers by co-movement."""
-    return models.cluster_tickers(returns(spark, sf_dir).where("ret is not null"))
+    return models.cluster_tickers(kept_returns(spark, sf_dir))
 
 
 @query(sql("panel", f"""WITH {RET}, s AS (SELECT date, ticker, ret, ret * 10 AS score FROM r WHERE ret IS NOT NULL),
