@@ -77,10 +77,12 @@ def s8_rolling_sink(spark, sf_dir):
 
 @query(sql("quotes trades", "SELECT q.seq AS q_seq, t.seq AS t_seq FROM quotes q JOIN trades t ON q.product = t.product AND t.ts >= q.ts AND t.ts <= q.ts + INTERVAL 1 HOUR"))
 def st10_quote_trade_pairs(spark, sf_dir):
-    """ST10: quotes and trades of two streams joined on an interval, with watermarks."""
+    """ST10: quotes and trades of two streams joined on an interval, with watermarks; pairs are laid open from blocks when they are read."""
+    with_state(spark)
     q = stream_view(spark, sf_dir, v.quotes).select("product", F.col("seq").alias("q_seq"), F.col("ts").cast("timestamp").alias("ts"))
     t = stream_view(spark, sf_dir, v.trades).select("product", F.col("seq").alias("t_seq"), F.col("ts").cast("timestamp").alias("ts"))
-    return finished(spark, sq.quote_trade_pairs(q, t, "product", "1 hour").select("q_seq", "t_seq"))
+    blocks = finished(spark, stateful.stream_pair_blocks(q, t, "product", v.HOUR_MS, "q_seq", "t_seq"))
+    return stateful.pairs_of(blocks, "q_seq", "t_seq")
 
 
 @query(sql("ticks", """

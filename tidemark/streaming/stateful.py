@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -29,6 +30,10 @@ GATE = "account string, ms long, seq long, notional double, approved boolean, no
 FILLS = "product string, order_id long, kind string, ms long, seq long, fill_qty double, fill_px double, open_qty double"
 #: Rows held before they go to state; rows of a span at first; the delay of the watermark.
 HELD, SPAN_ROWS, LATE = 1 << 17, 4096, "0 seconds"
+#: Blocks of pairs: runs of ``n`` of the trades ``t_id`` from place ``first`` on; what stands for a null id.
+BLOCKS, NO_ID = "q_id array<long>, first array<int>, n array<int>, t_id array<long>", -(1 << 63)
+#: Rows of a side that are kept together and that stand in a block (a reader lays open one block at a time); horizons of a span.
+PART_ROWS, BLOCK_ROWS, HORIZONS = 4096, 128, 8
 
 
 class InOrder(StatefulProcessor):
@@ -429,6 +434,90 @@ class PaperBroker(InOrder):
         self.state.put(rows) if rows else self.state.clear()
 
 
+class PairBlocks(StatefulProcessor):
+    """Quotes and trades of one key and span of time, met in blocks.
+
+    Rows are kept in parts of at most ``part_rows``, sorted by time, until the watermark has passed the
+    span. New parts meet those of the other side, new and kept, once. A block has up to ``block_rows``
+    rows of each side: quotes, for each the run of trades that it meets, and the trades. It is what a
+    reader lays open at once, and a block stands for as many pairs as the square of its rows.
+    """
+
+    def __init__(self, horizon_us: int, size_us: int, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS):
+        self.horizon_us, self.size_us, self.part_rows, self.block_rows = horizon_us, size_us, part_rows, block_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "quotes int, quotes_left int, trades int, trades_left int")
+        self.parts = handle.getMapState("parts", "side int, nth int", "rows binary")
+
+    def _kept(self, side: int, n: int) -> Iterator[np.ndarray]:
+        return (self._part(side, nth) for nth in range(n))
+
+    def _part(self, side: int, nth: int) -> np.ndarray:
+        """Times and ids."""
+        return np.frombuffer(bytes(self.parts.getValue((side, nth))[0]), np.int64).reshape(2, -1)
+
+    def _blocks(self, quotes: np.ndarray, trades: np.ndarray) -> Iterator[tuple]:
+        first = np.searchsorted(trades[0], quotes[0], "left")
+        end = np.searchsorted(trades[0], quotes[0] + self.horizon_us, "right")
+        for at in range(0, len(first), self.block_rows):
+            own, a, b = quotes[1][at : at + self.block_rows], first[at : at + self.block_rows], end[at : at + self.block_rows]
+            for low in range(int(a.min()), int(b.max()), self.block_rows):
+                high = min(low + self.block_rows, int(b.max()))
+                since, upto = a.clip(low, high), b.clip(low, high)
+                met = np.flatnonzero(upto > since)
+                if len(met):
+                    yield own[met], (since[met] - low + 1).astype(np.int32), (upto - since)[met].astype(np.int32), trades[1][low:high]
+
+    def _framed(self, quotes: list[np.ndarray], trades: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        blocks = [block for q in quotes for t in trades for block in self._blocks(q, t)]
+        if blocks:
+            yield pd.DataFrame(blocks, columns=["q_id", "first", "n", "t_id"])
+
+    def _meet(self, frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(frames, ignore_index=True).sort_values("us", kind="stable")
+        sides = [np.stack([own["us"].to_numpy(np.int64), own["id"].to_numpy(np.int64)]) for own in (frame[frame["trade"] == 0], frame[frame["trade"] == 1])]
+        new = [[own[:, at : at + self.part_rows] for at in range(0, own.shape[1], self.part_rows)] for own in sides]
+        counts = list(self.counts.get()) if self.counts.exists() else [0, 0, 0, 0]
+        if new[0]:
+            for trades in chain(new[1], self._kept(1, counts[2])):
+                yield from self._framed(new[0], [trades])
+        if new[1]:
+            for quotes in self._kept(0, counts[0]):
+                yield from self._framed([quotes], new[1])
+        for side in (0, 1):
+            for own in new[side]:
+                n, left = counts[2 * side : 2 * side + 2]
+                if left >= own.shape[1]:  # the last part has room
+                    n -= 1
+                    own = np.concatenate([self._part(side, n), own], axis=1)
+                    own = own[:, np.argsort(own[0], kind="stable")]
+                self.parts.updateValue((side, n), (own.tobytes(),))
+                counts[2 * side : 2 * side + 2] = n + 1, self.part_rows - own.shape[1]
+        self.counts.update(tuple(counts))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if not self.counts.exists():
+            self.handle.registerTimer(-(-(key[1] + self.size_us) // 1000))
+        held, n = [], 0
+        for frame in rows:
+            held.append(frame[["us", "id", "trade"]])
+            n += len(frame)
+            if n >= HELD:
+                yield from self._meet(held)
+                held, n = [], 0
+        if n:
+            yield from self._meet(held)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        self.parts.clear()
+        yield from ()
+
+    def close(self) -> None: ...
+
+
 def _keyed(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
     timed = df.where("ms is not null").withColumn("event_time", F.timestamp_millis("ms")).withWatermark("event_time", late)
     return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
@@ -462,3 +551,29 @@ def stream_fills(orders: DataFrame, ticks: DataFrame, max_age_ms: int, share: fl
     placed = orders.select("product", "ms", F.col("order_id").alias("seq"), F.lit(0).alias("rank"), "order_id", "side", "qty", "limit_px")
     shown = ticks.select("product", "ms", "seq", F.lit(1).alias("rank"), "bid_px", "ask_px", "bid_sz", "ask_sz")
     return _keyed(placed.unionByName(shown, allowMissingColumns=True), "product", PaperBroker(max_age_ms, share), FILLS, late)
+
+
+def stream_pair_blocks(quotes: DataFrame, trades: DataFrame, key: str, horizon_ms: int, quote_id: str, trade_id: str, late: str = "1 hour", part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Trades within ``horizon_ms`` after each quote of the same key, both streams with a watermark on ``ts``, as blocks for ``pairs_of``.
+
+    Sides meet by key and span of time, ``HORIZONS`` times the horizon: a trade stands in its own span, a
+    quote in its own and in that where its horizon ends. What comes behind the watermark is dropped, and
+    state is kept until it has passed the span.
+    """
+    horizon, us = horizon_ms * 1000, F.unix_micros("ts")
+    size = horizon * HORIZONS
+    span = lambda at: at - F.pmod(at, F.lit(size))
+
+    def side(df: DataFrame, ident: str, trade: int, spans) -> DataFrame:
+        rows = df.withWatermark("ts", late).where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+        return rows.select(key, "ts", F.explode(spans).alias("span"), us.alias("us"), F.coalesce(F.col(ident), F.lit(NO_ID)).alias("id"), F.lit(trade).alias("trade"))
+
+    both = side(quotes, quote_id, 0, F.array_distinct(F.array(span(us), span(us + horizon)))).union(side(trades, trade_id, 1, F.array(span(us))))
+    return both.groupBy(key, "span").transformWithStateInPandas(PairBlocks(horizon, size, part_rows, block_rows), BLOCKS, "append", "EventTime")
+
+
+def pairs_of(blocks: DataFrame, quote_id: str, trade_id: str) -> DataFrame:
+    """The pairs that blocks stand for, one row each; they are laid open where they are read and nowhere kept."""
+    one = blocks.select("first", "n", "t_id", F.posexplode("q_id").alias("at", "q"))
+    run = F.slice("t_id", F.get("first", F.col("at")), F.get("n", F.col("at")))
+    return one.select("q", F.explode(run).alias("t")).select(F.nullif("q", F.lit(NO_ID)).alias(quote_id), F.nullif("t", F.lit(NO_ID)).alias(trade_id))
